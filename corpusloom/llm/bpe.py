@@ -6,8 +6,7 @@ shared prefix is encoded once. The encoding of a prefix ends in the one vocabula
 of it and that may follow the last token of what stands before; two tokens may stand side by side if no
 merge across their border would have come first. The ids of a word are read backwards along the path.
 
-Texts are cut at a space before a non-space, which the word pattern never crosses, so frequent pieces are
-looked up whole. Ids, words and pieces of a worker are kept in tables of a bounded size.
+Pieces between spaces are looked up whole; a worker keeps those it met in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -17,17 +16,17 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table, ship, spread
+from .pieces import cut, portions
 
-#: Pieces that a worker keeps; beyond it the tables start anew.
-KEPT_PIECES = 250_000
-_CUT = re.compile(r"(?= \S)")
-_ODD = re.compile(r" (?!\S)")
+#: Pieces that a worker keeps; beyond it the table starts anew.
+KEPT_PIECES = 450_000
 
 
 def byte_letters() -> list[str]:
@@ -137,13 +136,6 @@ class TrieEncoder:
         ids = self.encode_words([w.encode() for words in split for w in words])
         return {p: [i for w in words for i in ids[w.encode()]] for p, words in zip(pieces, split)}
 
-    def pieces(self, text: str) -> list[str]:
-        """Cut at each space before a non-space."""
-        if _ODD.search(text):
-            return [p for p in _CUT.split(text) if p]
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + p for p in rest]
-
     def sections(self, text: str) -> list[tuple[str, int | None]]:
         """A text as parts between added tokens, with the id of the added token that follows each."""
         if not any(a in text for a in self.added):
@@ -151,6 +143,14 @@ class TrieEncoder:
         parts = re.split("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", text)
         return [(parts[i], self.added[parts[i + 1]] if i + 1 < len(parts) else None) for i in range(0, len(parts), 2)]
 
+    def encode_whole(self, text: str) -> list[int]:
+        """Ids of a text that holds added tokens."""
+        ids: list[int] = []
+        for part, added in self.sections(text):
+            ids += self.encode_pieces([part])[part]
+            ids += [added] if added is not None else []
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.text_of[i] for i in ids).decode("utf-8", "replace")
 
@@ -163,54 +163,39 @@ def encoder(path: str) -> tuple[TrieEncoder, dict]:
 def encode(texts: list[str], path: str) -> list[list[int]]:
     """Ids of each whole text."""
     enc, _ = encoder(path)
-    out = []
-    for text in texts:
-        ids: list[int] = []
-        for part, added in enc.sections(text):
-            pieces = enc.pieces(part)
-            known = enc.encode_pieces(list(dict.fromkeys(pieces)))
-            for p in pieces:
-                ids += known[p]
-            ids += [added] if added is not None else []
-        out.append(ids)
-    return out
+    found = cut(pa.array(texts, pa.string()), list(enc.added))
+    ids = enc.encode_pieces(found.keys)
+    at, bounds = found.at.tolist(), found.bounds.tolist()
+    return [enc.encode_whole(found.whole[at[s]]) if e - s == 1 and at[s] in found.whole else [i for k in at[s:e] for i in ids[found.keys[k]]] for s, e in zip(bounds, bounds[1:])]
 
 
-def _digests(texts: list[str], path: str) -> list[tuple[int, str, str]]:
+def _digests(texts: pa.Array, path: str) -> tuple[list[int], list[str], list[str]]:
     """Number of ids, hash of the ids and hash of the decoded text of each text."""
     enc, kept = encoder(path)
-    cut = [[(enc.pieces(part), added) for part, added in enc.sections(t)] for t in texts]
-    new = {p for sections in cut for pieces, _ in sections for p in pieces}.difference(kept)
+    found = cut(texts, list(enc.added))
+    new = [k for k in found.keys if k not in kept]
     if len(kept) + len(new) > KEPT_PIECES:
         kept.clear()
-        new = {p for sections in cut for pieces, _ in sections for p in pieces}
-    for piece, ids in enc.encode_pieces(list(new)).items():
-        kept[piece] = (len(ids), ",".join(map(str, ids)), b"".join([enc.text_of[i] for i in ids]))
-    out = []
-    for sections in cut:
-        got = []
-        for pieces, added in sections:
-            got += map(kept.__getitem__, pieces)
-            if added is not None:
-                got.append((1, str(added), enc.text_of[added]))
-        n = sum([g[0] for g in got])
-        decoded = b"".join([g[2] for g in got]).decode("utf-8", "replace")
-        out.append((n, hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    return out
-
-
-def portions(column, most: int = 2_000_000):
-    """The texts of an Arrow column (null: empty), so many characters at a time."""
-    part, size = [], 0
-    for x in column:
-        text = x.as_py() or ""
-        part.append(text)
-        size += len(text)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        new = found.keys
+    own = enc.text_of
+
+    def entry(ids):
+        return len(ids), "".join([f"{i}," for i in ids]).encode(), b"".join([own[i] for i in ids])
+
+    for piece, ids in enc.encode_pieces(new).items():
+        kept[piece] = entry(ids)
+    got = [kept[k] for k in found.keys]
+    for k, text in found.whole.items():
+        got[k] = entry(enc.encode_whole(text))
+    sizes = np.concatenate([[0], np.cumsum(np.array([g[0] for g in got], np.int64)[found.at])])[found.bounds]
+    at = pa.array(found.at)
+    hashes = []
+    for column, finish in ((1, lambda b: b[:-1]), (2, lambda b: b"".join([bytes(b)]).decode("utf-8", "replace").encode())):
+        run = pa.array([g[column] for g in got], pa.large_binary()).take(at)  # all texts one after the other
+        ends = np.frombuffer(run.buffers()[1], np.int64)[run.offset :][found.bounds].tolist() if len(run) else [0] * len(found.bounds)
+        data = memoryview(run.buffers()[2] or b"")
+        hashes.append([hashlib.sha256(finish(data[s:e])).hexdigest() for s, e in zip(ends, ends[1:])])
+    return np.diff(sizes).tolist(), hashes[0], hashes[1]
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,8 +207,10 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            got = [x for part in portions(batch.column(1)) for x in _digests(part, path)]
-            n, ids, text = zip(*got) if got else ((), (), ())
+            n, ids, text = [], [], []
+            for part, _ in portions(batch.column(1)):
+                for all_, some in zip((n, ids, text), _digests(part, path)):
+                    all_ += some
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,0 +1,83 @@
+"""Texts cut into pieces at a space before a non-space, which byte-level word patterns never cross.
+
+Cutting and finding the distinct pieces is done by Arrow on a whole column; only distinct pieces become
+Python strings.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text cut at a time.
+PORTION = 12_000_000
+_CUT = re.compile(r"(?= \S)")
+#: A space before white space or at the end (RE2): such texts are cut one by one.
+_ODD = r" (?:[\s\x0b\x{85}\p{Z}]|$)"
+
+
+@dataclass
+class Cut:
+    keys: list[str]  # distinct pieces
+    whole: dict[int, str]  # places in ``keys`` that stand for a whole text with an added token
+    at: np.ndarray  # for each piece of each text, in order, its place in ``keys``
+    bounds: np.ndarray  # where the pieces of each text begin, and the end
+
+
+def portions(column: pa.Array):
+    """Parts of a text column of about PORTION bytes each (one text at least), and where they start."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + PORTION, "right")))
+        yield column.slice(start, end - start), start
+        start = end
+
+
+def cut(column: pa.Array, added: list[str]) -> Cut:
+    """Pieces of each text of a column; null is empty and has none."""
+    column = pc.fill_null(column, "")
+    odd = pc.match_substring_regex(column, _ODD)
+    for a in added:
+        odd = pc.or_(odd, pc.match_substring(column, a))
+    odd = odd.to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+    sizes = pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = plain.flatten()
+    coded = values.dictionary_encode()
+    keys = [" " + k for k in coded.dictionary.to_pylist()]
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    heads = values.take(pa.array(starts)).dictionary_encode()  # the first piece of a text has no space before it
+    at[starts] = len(keys) + heads.indices.to_numpy(zero_copy_only=False)
+    keys += heads.dictionary.to_pylist()
+    if not odd.any():
+        return Cut(keys, {}, at, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    place, whole = {k: i for i, k in enumerate(keys)}, {}
+    lists = iter(np.split(at, starts[1:]) if len(starts) else ())
+    texts = iter(column.filter(pa.array(odd)).to_pylist())
+    out = []
+    for is_odd in odd.tolist():
+        if not is_odd:
+            out.append(next(lists))
+            continue
+        text = next(texts)
+        if any(a in text for a in added):
+            whole[len(keys)] = text
+            out.append(np.array([len(keys)]))
+            keys.append("")
+        else:
+            mine = []
+            for p in _CUT.split(text):
+                k = place.get(p)
+                if k is None:
+                    k = place[p] = len(keys)
+                    keys.append(p)
+                mine.append(k)
+            out.append(np.array(mine, np.int64))
+    return Cut(keys, whole, np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64))

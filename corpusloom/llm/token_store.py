@@ -16,7 +16,6 @@ neither moved nor read again.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -28,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import portions, vocabulary_path
+from .bpe import vocabulary_path
 from .common import read_table, scratch_path, ship, spread
+from .pieces import cut, portions
 
 END_ID = 2
 #: Ids of a chunk: at least, on average above that, at most.
 LEAST, MEAN, MOST = 256, 1024, 16_384
-KEPT_PIECES = 400_000
-_CUT, _ODD = re.compile(r"(?= \S)"), re.compile(r" (?!\S)")
+KEPT_PIECES = 700_000
 _POLY = 0xEDB88320
 
 
@@ -49,31 +48,42 @@ def _library(path: str):
     return tok, {}, "H" if tok.get_vocab_size() <= 1 << 16 else "I", [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each whole text by the tokenizers library, as little-endian integers of 2 or 4 bytes.
-
-    The library encodes each distinct piece once; pieces end at a space before a non-space, which its word
-    pattern never crosses. A text with an added token goes to the library whole.
-    """
+def _encode_pieces(keys: list[str], path: str) -> list[bytes]:
+    """Ids of each piece by the library, from the worker's table where it has them."""
     tok, kept, code, added = _library(path)
-    pieces: list[list[str] | None] = []
-    for text in texts:
-        if any(a in text for a in added):
-            pieces.append(None)
-        elif _ODD.search(text):
-            pieces.append([p for p in _CUT.split(text) if p])
-        else:
-            head, *rest = text.split(" ")
-            pieces.append(([head] if head else []) + [" " + p for p in rest])
-    new = set().union(*(p for p in pieces if p)).difference(kept)
+    new = [k for k in keys if k not in kept]
     if len(kept) + len(new) > KEPT_PIECES:
         kept.clear()
-        new = set().union(*(p for p in pieces if p))
-    todo = list(new)
-    for p, e in zip(todo, tok.encode_batch_fast(todo, add_special_tokens=False)):
-        kept[p] = array(code, e.ids).tobytes()
-    get = kept.__getitem__
-    return [array(code, tok.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
+        new = keys
+    if added:  # an added token between pieces keeps them apart, so that the library is called once for many
+        mark, size, kind = tok.token_to_id(added[0]), array(code).itemsize, np.dtype(code)
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = np.array(tok.encode_batch_fast([added[0].join(some)], add_special_tokens=False)[0].ids, kind)
+            raw, at = ids.tobytes(), np.flatnonzero(ids == mark) * size
+            kept.update(zip(some, map(lambda s, e: raw[s:e], [0, *(at + size).tolist()], [*at.tolist(), len(raw)])))
+    else:
+        kept.update((k, array(code, e.ids).tobytes()) for k, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)))
+    return [kept[k] for k in keys]
+
+
+def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all whole texts of an Arrow column one after the other, and where each text's begin (and the end).
+
+    The library encodes each distinct piece once; a text with an added token goes to it whole. Null is empty.
+    """
+    tok, _, code, added = _library(path)
+    kind = np.dtype("<u2" if code == "H" else "<u4")
+    found = cut(column, added)
+    raw = _encode_pieces(found.keys, path)
+    for k, text in found.whole.items():
+        raw[k] = array(code, tok.encode(text, add_special_tokens=False).ids).tobytes()
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // kind.itemsize
+    table, first = np.frombuffer(b"".join(raw), kind), np.cumsum(size) - size
+    each = size[found.at]
+    ends = np.cumsum(each)
+    ids = table[np.repeat(first[found.at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids, np.concatenate([[0], ends])[found.bounds]
 
 
 def cut_points(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
@@ -140,19 +150,19 @@ def _cutter(path: str, end_id: int, chunking: tuple):
         part, row = TaskContext.get().partitionId(), 0
         code = _library(path)[2]
         kind, press = np.dtype("<u2" if code == "H" else "<u4"), zstandard.ZstdCompressor(level=3)
-        tail = array(code, [end_id]).tobytes()
+        tail = np.array([end_id], kind)
         seen: set[bytes] = set()
         for batch in batches:
-            at = 0
-            for texts in portions(batch.column(1)):
+            for texts, at in portions(batch.column(1)):
                 out = {k: [] for k in _STORE.names}
 
                 def put(**x):
                     for k, v in out.items():
                         v.append(x.get(k))
 
-                for raw in encode_texts(texts, path):
-                    ids = np.frombuffer(raw + tail, kind)
+                flow, bounds = encode_texts(texts, path)
+                for k in range(len(texts)):
+                    ids = np.concatenate([flow[bounds[k] : bounds[k + 1]], tail])
                     hashes, start = [], 0
                     for end in cut_points(ids, *chunking):
                         piece = ids[start:end]
@@ -164,8 +174,8 @@ def _cutter(path: str, end_id: int, chunking: tuple):
                             put(kind="chunk", key=h, n=end - start, width=kind.itemsize, data=press.compress(piece.tobytes()))
                         hashes.append(h)
                         start = end
-                    put(kind="recipe", key=part.to_bytes(8, "big") + row.to_bytes(8, "big"), n=len(ids), data=merkle(hashes), doc_id=batch.column(0)[at].as_py(), hashes=hashes)
-                    at, row = at + 1, row + 1
+                    put(kind="recipe", key=part.to_bytes(8, "big") + row.to_bytes(8, "big"), n=len(ids), data=merkle(hashes), doc_id=batch.column(0)[at + k].as_py(), hashes=hashes)
+                    row += 1
                 yield pa.record_batch([pa.array(out[f.name], f.type) for f in _STORE], schema=_STORE)
 
     return run

@@ -81,3 +81,14 @@ def test_streamed_merkle_root():
         for h in hs:
             s.add(h)
         assert s.root() == M.merkle(hs)
+
+
+def test_encoding_equals_the_library():
+    import pyarrow as pa
+
+    texts = ["", None, " lead", "two  spaces", "end ", "tab \t x", "nb \u00a0x", "a <|endoftext|>b", "  <|endoftext|>", "plain words here, and more.\nNew line", "x\n y", "\u2003 em", "日本 語"] + [t for _, t in rows()]
+    ids, bounds = M.encode_texts(pa.array(texts, pa.string()), PATH)
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == LIB.encode(t or "", add_special_tokens=False).ids, t
+    ids, bounds = M.encode_texts(pa.array([], pa.string()), PATH)
+    assert len(ids) == 0 and bounds.tolist() == [0]

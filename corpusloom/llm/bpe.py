@@ -6,7 +6,7 @@ shared prefix is encoded once. The encoding of a prefix ends in the one vocabula
 of it and that may follow the last token of what stands before; two tokens may stand side by side if no
 merge across their border would have come first. The ids of a word are read backwards along the path.
 
-Pieces between spaces are looked up whole; a worker keeps those it met in a table of bounded size.
+Pieces between spaces are looked up whole; a task keeps those it met in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import read_table, ship, spread
 from .pieces import cut, portions
 
-#: Pieces that a worker keeps; beyond it the table starts anew.
-KEPT_PIECES = 450_000
+#: Pieces, and pairs of tokens, that a task keeps; beyond it the table starts anew.
+KEPT_PIECES = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -126,7 +126,7 @@ class TrieEncoder:
             ids.reverse()
             result[word] = ids
             before = word
-        if len(side) > 2_000_000:
+        if len(side) > KEPT_PIECES:
             side.clear()
         return result
 
@@ -208,10 +208,13 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         for batch in batches:
             n, ids, text = [], [], []
-            for part, _ in portions(batch.column(1)):
+            for part, _ in portions(batch.column(1), 6_000_000):
                 for all_, some in zip((n, ids, text), _digests(part, path)):
                     all_ += some
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc, kept = encoder(path)  # workers are used again; what a task kept is not
+        kept.clear()
+        enc.side.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

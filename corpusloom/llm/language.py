@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, read_table, ship, spread
+from .pieces import portions
 
 ORDERS = (1, 2, 3)
 #: Training rows per language, languages learned (the most frequent), landmarks; longer texts are landmarks only
@@ -164,24 +165,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches):
         m = held.value
-        most = max(1, 4_000_000 // max(1, len(m.grams))) if m else 0
+        most = max(1, 2_000_000 // max(1, len(m.grams))) if m else 1 << 30
         for batch in batches:
-            langs, scores, part, size = [], [], [], 0
-
-            def flush():
-                got = m.predict(part) if m else ([UNKNOWN] * len(part), np.zeros(len(part)))
-                langs.extend(got[0])
+            langs, scores = [], []
+            for part, _ in portions(batch.column(1), 500_000, most):
+                got = m.predict(part.to_pylist()) if m else ([UNKNOWN] * len(part), np.zeros(len(part)))
+                langs += got[0]
                 scores.append(got[1])
-                part.clear()
-
-            for x in batch.column(1):
-                part.append(x.as_py())
-                size += len(part[-1] or "")
-                if size > 500_000 or len(part) >= most > 0:
-                    flush()
-                    size = 0
-            if part:
-                flush()
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -196,11 +186,11 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
 
     def run(batches):
         m = held.value
-        most = max(1, 4_000_000 // max(1, len(m.grams))) if m else 1
+        most = max(1, 2_000_000 // max(1, len(m.grams))) if m else 1 << 30
         for batch in batches:
-            keep = []
-            for s in range(0, batch.num_rows, most):
-                texts = batch.column(at).slice(s, most).to_pylist()
+            keep: list[bool] = []
+            for part, _ in portions(batch.column(at), 500_000, most):
+                texts = part.to_pylist()
                 keep += [x != UNKNOWN for x in (m.predict(texts)[0] if m else [UNKNOWN] * len(texts))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

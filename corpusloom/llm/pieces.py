@@ -28,13 +28,13 @@ class Cut:
     bounds: np.ndarray  # where the pieces of each text begin, and the end
 
 
-def portions(column: pa.Array):
-    """Parts of a text column of about PORTION bytes each (one text at least), and where they start."""
+def portions(column: pa.Array, most: int = PORTION, rows: int = 1 << 30):
+    """Parts of a text column of about ``most`` bytes and at most ``rows`` rows each (one text at least), and where they start."""
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(column):
         before = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, before + PORTION, "right")))
+        end = min(start + rows, max(start + 1, int(np.searchsorted(size, before + most, "right"))))
         yield column.slice(start, end - start), start
         start = end
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between two words: ASCII that is neither digit nor lower-case letter.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,14 +32,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) * 2 < cores and df.rdd.getNumPartitions() < cores else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for scratch tables and checkpoints."""
     sc = spark.sparkContext

@@ -86,10 +86,10 @@ def author_hash(salt: str):
 
 def list_price(tokens_in: Column, cached: Column, tokens_out: Column, price_in: str, price_cached: str, price_out: str) -> Column:
     """Estimated price per million tokens, in exact decimals; cached input is part of the input."""
-    d = lambda x: F.lit(x).cast("decimal(18,6)")
+    d = lambda x: F.lit(x).cast("decimal(10,4)")
     hit = F.least(F.greatest(cached, F.lit(0)), tokens_in)
-    n = lambda c: c.cast("decimal(18,0)")
-    return (n(tokens_in - hit) * d(price_in) + n(hit) * d(price_cached) + n(tokens_out) * d(price_out)) / F.lit(1_000_000).cast("decimal(8,0)")
+    n = lambda c: c.cast("decimal(15,0)")
+    return (n(tokens_in - hit) * d(price_in) + n(hit) * d(price_cached) + n(tokens_out) * d(price_out)) * F.lit("0.000001").cast("decimal(7,6)")
 
 
 def retry_wait(attempt: Column) -> Column:

@@ -105,8 +105,12 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
 
 def pii_spans(text: Column) -> Column:
     """Non-overlapping personal data: the longest wins, then the earliest, then the first kind; in text order."""
-    ranked = [F.transform(matches(text, p, k), lambda m, r=r: F.struct((m["start"] - m["stop"]).alias("less"), m["start"].alias("start"), F.lit(r).alias("rank"), m["stop"].alias("stop"), m["kind"].alias("kind"))) for r, (k, p) in enumerate(PII)]
-    order = F.array_sort(F.concat(*ranked))
+
+    def ranked(rank: int, kind: str, pattern: str) -> Column:
+        found = matches(text, pattern, kind)
+        return F.transform(found, lambda m: F.struct((m["start"] - m["stop"]).alias("less"), m["start"].alias("start"), F.lit(rank).alias("rank"), m["stop"].alias("stop"), m["kind"].alias("kind")))
+
+    order = F.array_sort(F.concat(*[ranked(r, k, p) for r, (k, p) in enumerate(PII)]))
     none = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
 
     def pick(acc, m):

@@ -67,14 +67,14 @@ def opportunities(cases: DataFrame, scope: str | None = None, threshold: float =
     per = direct.groupBy("src").agg(F.count("*").alias("population"), F.count_if(chosen).alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # a row per source
     shares = per.withColumn("share", F.try_divide("n", total)).agg(
-        F.count_if("n > 0").alias("source_count"),
+        F.count_if(F.col("n") > 0).alias("source_count"),
         F.coalesce(F.avg(F.col("n") / F.col("population")), F.lit(0.0)).alias("source_balanced_mean"),
         F.array_sort(F.collect_list(F.when(F.col("share") > threshold, F.col("src")))).alias("concentration_disclosure"),
     )
     e = direct.where(chosen)
     thread = F.nullif(F.coalesce(F.nullif("parent_thread_id", F.lit("")), F.col("doc_id"), F.lit("")), F.lit(""))
     counts = e.agg(F.count("*").alias("unique_cases"), F.count_distinct(F.coalesce("doc_id", F.lit(""))).alias("unique_documents"), F.count_distinct(thread).alias("unique_threads"), F.count_distinct(F.nullif("author_hash", F.lit(""))).alias("unique_authors"), F.avg("severity").alias("mean_severity"), F.count("severity").alias("severity_denominator"), F.count_if(F.col("severity").isNull()).alias("severity_nulls"))
-    out = c.agg(F.count_if("state <> 'ok'").alias("excluded_technical_failures"), F.count_if("state = 'ok' and tier not in ('direct_user', 'synthetic_test')").alias("excluded_non_direct"))
+    out = c.agg(F.count_if(F.col("state") != "ok").alias("excluded_technical_failures"), F.count_if((F.col("state") == "ok") & ~F.col("tier").isin("direct_user", "synthetic_test")).alias("excluded_non_direct"))
     return counts.join(F.broadcast(shares)).join(F.broadcast(out)).withColumn("scope", F.lit(scope or "all_direct"))  # one row each
 
 
@@ -127,7 +127,7 @@ def ordered_counts(df: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
-    return df.groupBy(row).pivot(col, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def top_items(df: DataFrame, col: Column, n: int) -> DataFrame:

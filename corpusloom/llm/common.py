@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401
+from ..session import ship, spread  # noqa: F401
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between two words: ASCII that is neither digit nor lower-case letter.
@@ -25,13 +25,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of too few splits (one small file) over all cores; larger inputs stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) * 2 < cores and df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for scratch tables and checkpoints."""
     sc = spark.sparkContext

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text, urls
 from ..operators import analysis, dedupe, evaluation, evidence, extraction, retrieval, review, routing
 from ..sources import writers
-from ..session import ship
+from ..session import ship, spread
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,12 @@ def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+            def table(name: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                return spread(df) if name in ("documents", "pages") else df  # texts go through Python and regular expressions
+
+            return f(table)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run

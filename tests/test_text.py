@@ -75,3 +75,11 @@ def test_author_hash(spark):
     got = one(spark, ids.author_hash("salt"), "p", " Name ")
     assert got == hmac.new(b"salt", b"p|Name", hashlib.sha256).hexdigest()[:16]
     assert one(spark, ids.author_hash("salt"), "p", "  ") is None
+
+
+def test_occurrences_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("ab\\E.é") for _ in range(rng.randint(0, 30))), "".join(rng.choice("ab\\E.é") for _ in range(rng.randint(0, 3)))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string, n string")
+    for r in df.select("t", "n", text.occurrences(F.col("t"), F.col("n")).alias("o")).collect():
+        assert r.o == ([i for i in range(len(r.t)) if r.t.startswith(r.n, i)] if r.n else []), (r.t, r.n)

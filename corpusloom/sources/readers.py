@@ -46,7 +46,7 @@ def csv_exact(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """(line, url): distinct URLs of a text file in order; blank lines and comments are left out."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "url"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "url"))
     return lines.select((F.col("line") + 1).alias("line"), F.trim("url").alias("url")).where("url <> '' and url not like '#%'").groupBy("url").agg(F.min("line").alias("line")).select("line", "url")
 
 

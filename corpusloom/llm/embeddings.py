@@ -25,7 +25,7 @@ from .common import connected_components, read_table, shared_dir, ship, spread,
 
 COSINE, BLOCK = 0.95, 8
 #: Vectors of a cell that are compared as one chunk; vectors per cell that the grid aims at.
-CHUNK, CROWD = 8_000, 10_000
+CHUNK, CROWD = 20_000, 10_000
 #: Rounding of the shipped half-precision vectors, per block and for the whole vector.
 SLACK, SLACK_COS = 1e-3, 2e-3
 
@@ -112,28 +112,42 @@ def _compare(dim: int, block: int, left, right, cosine: float, size: int, same:
     (ids1, home1, v1), (ids2, home2, v2) = left, right
     a, b, radius = limits[block]
     x, y = v1[:, a:b], v2[:, a:b]
-    nx, ny = (x * x).sum(1), (y * y).sum(1)
-    out, most = [], (radius + SLACK) ** 2
-    step = max(1, 8_000_000 // max(1, len(y)))
-    for s in range(0, len(x), step):
-        d = x[s : s + step] @ y.T
-        d *= -2
-        d += nx[s : s + step, None]
-        d += ny[None]
-        i, j = np.nonzero(d <= most)
-        i += s
+    # One product gives |x|^2 + |y|^2 - 2xy; blocks of it stay in the processor's cache.
+    x = np.hstack([x, np.ones((len(x), 1), np.float32), (x * x).sum(1, keepdims=True)])
+    y = np.ascontiguousarray(np.hstack([-2 * y, (y * y).sum(1, keepdims=True), np.ones((len(y), 1), np.float32)]).T)
+    out, most = [], np.float32((radius + SLACK) ** 2)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def settle():
+        i, j = (np.concatenate(z) for z in zip(*found))
         ok = home1[i] | home2[j]
         if same:
             ok &= i < j
         i, j = i[ok], j[ok]
-        for t in range(0, len(i), 200_000):
-            p, q = v1[i[t : t + 200_000]], v2[j[t : t + 200_000]]
-            good = (p * q).sum(1) >= cosine - SLACK_COS
-            for c, e, r in limits[:block]:  # surely found in an earlier block
-                low = p[:, c:e] - q[:, c:e]
-                good &= (low * low).sum(1) > max(0.0, r - SLACK) ** 2
-            one, two = ids1[i[t : t + 200_000]][good], ids2[j[t : t + 200_000]][good]
-            out.append((np.minimum(one, two), np.maximum(one, two)))
+        p, q = v1[i], v2[j]
+        good = np.einsum("ij,ij->i", p, q) >= cosine - SLACK_COS
+        for c, e, r in limits[:block]:  # surely found in an earlier block
+            low = p[:, c:e] - q[:, c:e]
+            good &= np.einsum("ij,ij->i", low, low) > max(0.0, r - SLACK) ** 2
+        one, two = ids1[i][good], ids2[j][good]
+        out.append((np.minimum(one, two), np.maximum(one, two)))
+        found.clear()
+
+    wide = 1024
+    for s in range(0, len(x), 256):
+        rows = x[s : s + 256]
+        for t in range(s // wide * wide if same else 0, y.shape[1], wide):
+            near = np.flatnonzero(rows @ y[:, t : t + wide] <= most)
+            if len(near):
+                i, j = np.divmod(near, min(wide, y.shape[1] - t))
+                found.append((i + s, j + t))
+                held += len(near)
+                if held > 200_000:
+                    settle()
+                    held = 0
+    if found:
+        settle()
     return out
 
 

@@ -61,6 +61,10 @@ class ShardStore:
         if self._fs.exists(final) or not self._fs.rename(self._path(staged), final):
             self._fs.delete(self._path(staged), True)
             raise Conflict(f"version {base + 1} exists")
+        inside = self._path(final, staged.rsplit("/", 1)[1])
+        if self._fs.exists(inside):  # some stores move into a folder that came meanwhile
+            self._fs.delete(inside, True)
+            raise Conflict(f"version {base + 1} exists")
         return base + 1
 
     def _retried(self, change, tries: int = 5) -> int:

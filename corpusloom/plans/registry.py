@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, urls
-from ..operators import analysis, dedupe, evaluation, evidence, extraction, retrieval, review, routing
+from ..operators import analysis, assembly, dedupe, evaluation, evidence, extraction, retrieval, review, routing
 from ..sources import writers
 from ..session import ship, spread
 from ..streaming import incremental
@@ -553,3 +553,68 @@ def snapshot_cross_check(t):
 def cluster_assignment(t):
     k = t("lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.first("l_returnflag").alias("cluster_id")).select("cluster_id", F.array("l_orderkey").alias("case_ids"))
     return review.assign_clusters(t("orders").select(F.col("o_orderkey").alias("case_id")), k)
+
+
+# -- batches, datasets, reports ---------------------------------------------------------------------
+
+
+def _sound(t) -> DataFrame:
+    return t("customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_acctbal") < 0, F.array(F.lit("hash_mismatch"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal < 0) AS failed, count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 4 = 0) AS frozen, count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 4 <> 0) AS eligible, least(count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 4 <> 0), 50) AS taken, count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 4 <> 0) - least(count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 4 <> 0), 50) AS held_back FROM customer")
+def batch_plan(t):
+    d = _sound(t)
+    return assembly.batch_counts(d, d.where("doc_id % 4 = 0"), 50)
+
+
+@query("SELECT count(*) FILTER (WHERE c_custkey % 5 = 0) AS withheld, count(*) FILTER (WHERE c_custkey % 5 = 0 AND c_custkey % 2 = 0) AS overlap, count(*) FILTER (WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 0) AS used, count(*) FILTER (WHERE c_custkey % 5 <> 0 AND c_custkey % 2 <> 0) AS unassigned FROM customer")
+def split_policy_counts(t):
+    d = _sound(t)
+    return assembly.split_policy(d, d.where("doc_id % 2 = 0"), d.where("doc_id % 5 = 0"))[1]
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 100000) AS eligible, count(*) FILTER (WHERE o_totalprice <= 100000) AS ineligible FROM orders GROUP BY ALL")
+def verdict_counts(t):
+    verdict, reasons = extraction.assess({"too_small": F.col("o_totalprice") <= 100000})
+    return assembly.verdict_counts(t("orders").select("o_orderstatus", verdict.alias("verdict"), reasons.alias("reasons")), "o_orderstatus", ["eligible", "ineligible"])
+
+
+@query("SELECT count(*) FILTER (WHERE coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'out_of_scope' END, CASE WHEN o_orderkey % 2 = 0 THEN 'core' END) = 'out_of_scope') AS excluded, count(*) FILTER (WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0) AS undecided FROM orders")
+def excluded_documents(t):
+    o = t("orders").select(F.col("o_orderkey").alias("doc_id"))
+    return assembly.excluded_count(o, o.where("doc_id % 3 = 0").withColumn("scope", F.lit("out_of_scope")), o.where("doc_id % 2 = 0").withColumn("scope", F.lit("core")))
+
+
+@query(f"WITH {_LINKS}, sure AS (SELECT doc_id, min(canonical_doc_id) AS c FROM links WHERE review_state = 'auto_confirmed' GROUP BY doc_id) SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(DISTINCT coalesce(c, d.doc_id)) FROM documents d LEFT JOIN sure ON d.doc_id = sure.doc_id) AS n_canonical, (SELECT count(*) FROM links WHERE review_state <> 'pending_review') AS n_confirmed, (SELECT count(*) FROM links WHERE review_state = 'pending_review') AS n_pending, (SELECT count(*) FROM labels) AS n_cases, (SELECT count(*) FROM labels WHERE quality = 1) AS n_valid, (SELECT count(DISTINCT doc_id) FROM labels) AS n_case_documents")
+def dataset_summary(t):
+    cases = t("labels").select("doc_id", F.when(F.col("quality") == 1, "valid").otherwise("invalid").alias("validation_state"))
+    return assembly.summary(t("documents"), _links(t), cases)
+
+
+@query("SELECT o_orderkey AS card, min(c_custkey) AS record FROM orders JOIN customer ON c_custkey = o_custkey OR c_custkey = o_orderkey GROUP BY o_orderkey")
+def reference_overlap(t):
+    index = assembly.key_index(t("customer"), "c_custkey", ["c_custkey"])
+    return assembly.overlaps(t("orders"), "o_orderkey", ["o_custkey", "o_orderkey"], index)
+
+
+@query("""
+WITH s AS (SELECT l_returnflag AS g, CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS p FROM lineitem),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p IS NULL) AS abstained, count(*) FILTER (WHERE g IS NOT DISTINCT FROM p) AS correct,
+ count(*) FILTER (WHERE g = 'N' AND p = 'N') AS tn, count(*) FILTER (WHERE p = 'N') AS pn, count(*) FILTER (WHERE g = 'N') AS gn, count(*) FILTER (WHERE g = 'R' AND p = 'R') AS tr, count(*) FILTER (WHERE p = 'R') AS pr, count(*) FILTER (WHERE g = 'R') AS gr, count(*) FILTER (WHERE g = 'A') AS ga FROM s)
+SELECT n, abstained, round(correct / n, 6) AS accuracy, round(tn / pn, 6) AS precision_N, round(tn / gn, 6) AS recall_N, round(tr / pr, 6) AS precision_R, round(tr / gr, 6) AS recall_R, 0.0 AS precision_A, 0.0 AS recall_A, round((round(tn / pn, 6) + round(tr / pr, 6)) / 3, 6) AS macro_precision, round((round(tn / gn, 6) + round(tr / gr, 6)) / 3, 6) AS macro_recall, round(tr / pr, 6) AS binary_precision, round(tr / gr, 6) AS binary_recall FROM c""")
+def three_way_scores(t):
+    p = F.when(F.col("l_orderkey") % 7 == 0, None).when(F.col("l_linestatus") == "O", "N").otherwise("R")
+    return assembly.three_way_scores(t("lineitem").select(F.col("l_returnflag").alias("g"), p.alias("p")), "g", "p", ["N", "R", "A"], ["R"])
+
+
+@query("SELECT 'repeated_url' AS warning, url AS value, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1 UNION ALL SELECT 'kept_count', '-1', count(*) FROM pages")
+def import_warnings(t):
+    return assembly.import_warnings(t("pages").select("url", F.lit(None).cast("string").alias("alias")), -1)
+
+
+@query("SELECT count(*) AS succeeded, 3 AS failed, list(event_id ORDER BY event_id) AS ids FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 50)")
+def fold_batches(t):
+    """A scheduled batch holds 50 items; that limit is the operator's."""
+    b = incremental.lots(t("events").select("event_id"), ["event_id"]).groupBy("lot").agg(F.count("*").alias("succeeded"), F.lit(1).alias("failed"), F.sort_array(F.collect_list("event_id")).alias("ids"))
+    return assembly.fold_outcomes(b)

@@ -5,7 +5,7 @@ probabilities of the categories before it. For training, those probabilities com
 not see the row (out of fold), so later models learn from what they will meet. The last category is the
 labelled one; the ones before it are its kinds: rows labelled toxic that use words of a kind.
 
-Features say whether a word, or the first letters of a longer word, occurs anywhere in the whole text;
+Features say whether a word, or the first letters of longer words, occur anywhere in the whole text, once or more often;
 the ones that tell the categories apart best are kept. The threshold is the one of best F1 over the
 out-of-fold predictions, in the middle of the gap around it.
 """
@@ -38,9 +38,18 @@ _WORD = re.compile(r"\w+")
 
 
 def features(text: str | None) -> set[str]:
-    """Words of a whole text in lower case, and stems ``abcd-`` of longer ones."""
-    found = set(_WORD.findall((text or "").lower()))
-    return found.union(*({w[:n] + "-" for w in found if len(w) > n} for n in STEMS))
+    """Words of a whole text in lower case, stems ``abcd-`` of longer ones, and ``abcd=`` of stems met twice or more."""
+    counts = Counter(_WORD.findall((text or "").lower()))
+    out = set(counts)
+    for n in STEMS:
+        stems: dict[str, int] = {}
+        for w, c in counts.items():
+            if len(w) > n:
+                s = w[:n]
+                stems[s] = stems.get(s, 0) + c
+        out.update([s + "-" for s in stems])
+        out.update([s + "=" for s, c in stems.items() if c > 1])
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

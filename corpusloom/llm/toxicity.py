@@ -98,21 +98,29 @@ class Chain:
 def fit_chain(texts: list[str], toxic: list[int], kinds=KINDS, folds: int = FOLDS, most: int = FEATURES) -> Chain:
     """Fit on labelled texts."""
     y = np.array(toxic, np.float32)
-    found = [features(t) for t in texts]
     names = [*kinds, "toxic"]
-    targets = [np.array([float(t > 0 and not f.isdisjoint(ws)) for t, f in zip(toxic, found)], np.float32) for ws in kinds.values()] + [y]
-    one, zero = Counter(f for s, t in zip(found, toxic) if t for f in s), Counter(f for s, t in zip(found, toxic) if not t for f in s)
+    index: dict[str, int] = {}
+    found, kind = [], np.zeros((len(kinds), len(texts)), np.float32)
+    for i, t in enumerate(texts):  # features as numbers: the driver holds a few bytes for each
+        got = features(t)
+        found.append(np.array([index.setdefault(f, len(index)) for f in sorted(got)], np.int32))
+        kind[:, i] = [float(toxic[i] > 0 and not got.isdisjoint(ws)) for ws in kinds.values()]
+    targets = [*kind, y]
+    rows = np.repeat(y > 0, [len(f) for f in found])
+    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    one, zero = np.bincount(flat[rows], minlength=len(index)), np.bincount(flat[~rows], minlength=len(index))
     p, n = max(1, int(y.sum())), max(1, len(y) - int(y.sum()))
-
-    def gain(f):
-        a, b = (one[f] + 0.5) / (p + 1), (zero[f] + 0.5) / (n + 1)
-        return (a - b) * math.log(a / b)
-
-    ranked = sorted((f for f in one.keys() | zero.keys() if one[f] + zero[f] >= LEAST_ROWS), key=lambda f: (-gain(f), f))[:most]
+    a, b = (one + 0.5) / (p + 1), (zero + 0.5) / (n + 1)
+    gain = (a - b) * np.log(a / b)
+    ranked = sorted((f for f, k in index.items() if one[k] + zero[k] >= LEAST_ROWS), key=lambda f: (-gain[index[f]], f))[:most]
     vocabulary = {f: i for i, f in enumerate(ranked)}
+    column = np.full(len(index), -1)
+    column[[index[f] for f in ranked]] = np.arange(len(ranked))
     x = np.zeros((len(texts), len(ranked)), np.float32)
     for i, s in enumerate(found):
-        x[i, [vocabulary[f] for f in s & vocabulary.keys()]] = 1
+        at = column[s]
+        x[i, at[at >= 0]] = 1
+    del index, found, flat, rows
     fold = np.arange(len(texts)) % folds
     weights = []
     for t in targets:

@@ -16,6 +16,8 @@ neither moved nor read again.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary_path
+from .bpe import byte_letters, vocabulary_path
 from .common import read_table, scratch_path, ship, spread
 from .pieces import cut, portions
 
@@ -38,6 +40,21 @@ KEPT_PIECES = 700_000
 _POLY = 0xEDB88320
 
 
+#: Pieces of ASCII and Latin letters, whose words these classes give as the library's byte-level pattern does.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+_SIMPLE = re.compile(f"[\\x00-\\x7f{_LATIN}]+")
+_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r {_LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_LETTERS = dict(enumerate(byte_letters()))
+
+
+def _byte_level(tok) -> bool:
+    """Whether the library cuts words by the byte-level pattern alone and then calls its BPE model."""
+    spec = json.loads(tok.to_str())
+    cut_by, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return spec["normalizer"] is None and cut_by.get("type") == "ByteLevel" and not cut_by.get("add_prefix_space") and cut_by.get("use_regex", True) and model["type"] == "BPE" and plain
+
+
 @lru_cache(maxsize=2)
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -45,16 +62,39 @@ def _library(path: str):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return tok, {}, "H" if tok.get_vocab_size() <= 1 << 16 else "I", [t.content for t in tok.get_added_tokens_decoder().values()]
+    return tok, {}, "H" if tok.get_vocab_size() <= 1 << 16 else "I", [t.content for t in tok.get_added_tokens_decoder().values()], _byte_level(tok)
 
 
 def _encode_pieces(keys: list[str], path: str) -> list[bytes]:
-    """Ids of each piece by the library, from the worker's table where it has them."""
-    tok, kept, code, added = _library(path)
+    """Ids of each piece by the library, from the worker's table where it has them.
+
+    Of a byte-level file, simple pieces are cut into words here and each distinct word goes to the library's
+    model; all others go through the whole of the library.
+    """
+    tok, kept, code, added, byte_level = _library(path)
     new = [k for k in keys if k not in kept]
     if len(kept) + len(new) > KEPT_PIECES:
         kept.clear()
         new = keys
+    if byte_level:
+        others, words, parts = [], {}, []
+        for k in new:
+            bare = k[1:] if k[:1] == " " else k
+            if bare.isascii() and bare.isalpha():
+                words[k] = None
+            elif _SIMPLE.fullmatch(k):
+                found = _WORDS.findall(k)
+                words.update(dict.fromkeys(found))
+                parts.append((k, found))
+            else:
+                others.append(k)
+        model = tok.model
+        for w in words:
+            if w not in kept:
+                letters = w.replace(" ", "\u0120") if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_LETTERS)
+                kept[w] = array(code, [t.id for t in model.tokenize(letters)]).tobytes()
+        kept.update([(k, b"".join([kept[w] for w in found])) for k, found in parts])
+        new = others
     if added:  # an added token between pieces keeps them apart, so that the library is called once for many
         mark, size, kind = tok.token_to_id(added[0]), array(code).itemsize, np.dtype(code)
         for i in range(0, len(new), 2000):
@@ -72,7 +112,7 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     The library encodes each distinct piece once; a text with an added token goes to it whole. Null is empty.
     """
-    tok, _, code, added = _library(path)
+    tok, _, code, added, _ = _library(path)
     kind = np.dtype("<u2" if code == "H" else "<u4")
     found = cut(column, added)
     raw = _encode_pieces(found.keys, path)

@@ -419,9 +419,21 @@ def export_cards(t):
 
 @query(r"SELECT 'text' AS \"column\", 'email' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') HAVING count(*) > 0".replace('\\"', '"'))
 def leak_scan(t):
+    """E-mail addresses alone, as its SQL; ``leak_scan_kinds`` reports every kind."""
     return writers.leaking_rows(t("documents").select("text")).where("kind = 'email'")
 
 
+# A look-around of one character is that character or the text's edge; Java's \s has \x0b too.
+@query(r"""
+SELECT 'text' AS "column", kind, count(*) AS n FROM documents JOIN (VALUES
+('email', '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'),
+('phone', '(^|[^0-9])(\+[0-9]{1,3}[\s\x0b.\-]?)?(\([0-9]{3}\)|[0-9]{3})[\s\x0b.\-][0-9]{3}[\s\x0b.\-][0-9]{4}($|[^0-9])'),
+('secret', '(?i)\b(api[_-]?key|secret|password|token)[\s\x0b]*[=:][\s\x0b]*[^\s\x0b]')) k(kind, pattern) ON regexp_matches(text, pattern) GROUP BY kind""")
+def leak_scan_kinds(t):
+    """Documents that still show an e-mail address, a phone number or a secret, by kind."""
+    return writers.leaking_rows(t("documents").select("text"))
+
+
 @query("SELECT case_id, 'status' AS dimension, o_orderstatus AS value FROM (SELECT o_orderkey AS case_id, * FROM orders) UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders")
 def label_rows(t):
     lab = lambda c: F.array(F.struct(F.col(c).alias("value"), F.lit(None).cast("string").alias("detail"), F.lit("e").alias("evidence_id")))

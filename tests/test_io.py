@@ -1,10 +1,12 @@
 import json
+import re
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.plans import views
+from corpusloom.plans import registry, views
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import incremental
 
@@ -129,3 +131,15 @@ def test_views(spark):
     assert rows("v_current_relevance")[0][1] == "d2" and len(rows("v_relevance_unavailable")) == 1
     assert [r[3] for r in rows("v_valid_cases")] == ["human"] and len(rows("v_prevalence_core_direct")) == 1
     assert rows("v_case_clusters") == [("k", "c1", rows("v_case_clusters")[0][2])]
+
+
+def test_leak_scan_reports_every_kind(spark, tmp_path):
+    texts = ["mail a@b.example", "call +1 555-123-4567 now", "(555) 123-4567", "9555 123 45678", "1555-123-4567", "5551234567", "API_key = x1", "password:\thunter2 a.b@c.org", "tokens: 3", "token=", None, "", "fine", "555\x0b123\x0b4567 secret: s"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    brute = {"email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "phone": r"(?<!\d)(?:\+\d{1,3}[\s.\-]?)?(?:\(\d{3}\)|\d{3})[\s.\-]\d{3}[\s.\-]\d{4}(?!\d)", "secret": r"(?i)\b(?:api[_-]?key|secret|password|token)\s*[=:]\s*\S+"}
+    want = {k: sum(bool(re.search(p, t or "", re.A)) for t in texts) for k, p in brute.items()}
+    assert min(want.values()) >= 2
+    got = registry.QUERIES["leak_scan_kinds"](spark, str(tmp_path)).collect()
+    assert sorted((r.column, r.kind, r.n) for r in got) == sorted(("text", k, n) for k, n in want.items())
+    sql = registry.SQL["leak_scan_kinds"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duckdb.sql(sql).fetchall()) == sorted(("text", k, n) for k, n in want.items())

@@ -22,18 +22,27 @@ from pyspark.sql import functions as F
 from .common import read_table, ship, spread
 
 # Names of HTML elements by what they do to the text.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "canvas", "math", "audio", "video", "map", "datalist")
+HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "audio", "video", "map", "datalist")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that ends an open element of these names.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+#: Only in these two does a slash close a hidden element.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b" + _ATTRIBUTES + r"(?<=/)>|<(" + "|".join(HIDDEN) + r")\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    re.S | re.I,
+)
+_HEAD = re.compile(r"<head\b", re.I)
+_HEAD_END = re.compile(r"</head\s*>", re.I)
+_BODY = re.compile(r"</head\s*>|(?=<body\b)", re.I)
+#: What can stand in a head; anything else ends one that is not closed.
+_IN_HEAD = re.compile(
+    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(title|style|script|noscript|noframes|template)\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(?:base|basefont|bgsound|link|meta)\b" + _ATTRIBUTES + r"(?:>|\Z))*",
     re.S | re.I,
 )
-_HEAD = re.compile(r"<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role|data-truth)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -49,11 +58,14 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, white space inside each turned into one space; blank ones are left out."""
-    page = _HEAD.sub(" ", page, count=1)
+    head = _HEAD.search(page)
+    if head and (stop := _BODY.search(page, head.end())):
+        page = page[: head.start()] + " " + page[stop.end() :]
     out: list[Block] = []
     stack: list[tuple[str, tuple, bool | None]] = []  # tag, names, truth
     current: Block | None = None
     links = at = 0
+    closed = True  # whether a head's end can still come
 
     def end():
         nonlocal current
@@ -76,6 +88,8 @@ def blocks(page: str) -> list[Block]:
             current.linked += len(text)
 
     for m in _TOKEN.finditer(page):
+        if m.start() < at:  # in a head
+            continue
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
@@ -83,6 +97,12 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head" and not m.group(2):
+            stop = _HEAD_END.search(page, at) if closed else None
+            closed = stop is not None
+            at = (stop or _IN_HEAD.match(page, at)).end()
+            end()
+            continue
         if tag == "br":
             if current is not None:
                 current.parts.append(" ")

@@ -55,3 +55,23 @@ def test_rows(spark):
     text = M.extract(PAGE)
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
     assert M.extract_pages(df.limit(0)).count() == 0
+
+
+def test_self_closed_svg_hides_nothing():
+    want = M.extract(PAGE)
+    for icon in ('<svg class="icon"/>', "<math/>", '<SVG viewBox="0 0 1 1" />'):
+        assert M.extract(PAGE.replace("First", icon + "First")) == want, icon
+    assert M.extract(PAGE.replace("First", "<svg><path d='x'/><text>hidden</text></svg>First")) == want
+    assert M.extract(PAGE.replace("First", "<svg/><svg><text>hidden</text></svg><svg/>First")) == want
+    assert M.extract(PAGE.replace("First", "<script src=x />hidden</script>First")) == want  # a slash does not close a script
+
+
+def test_unclosed_head():
+    want = M.extract(PAGE)
+    bare = PAGE.replace("</head><body>", "").replace("</body>", "")
+    assert M.extract(bare) == M.extract(bare.replace("<head>", "<head><meta charset=x><link rel='a>b' href=y/><!-- </p> --><base>")) == want
+    assert [b.text for b in M.blocks("<head><title>T</title> Words at once <p>more")] == ["Words at once", "more"]
+    assert [b.text for b in M.blocks("<p>one<head><meta a=b><title>T</title><p>two<head><p>three<head>")] == ["one", "two", "three"]
+    assert [b.text for b in M.blocks("<head><title>T</title></head><p>one<head><div>x</div></head><p>two")] == ["one", "two"]
+    assert M.blocks("<head><title>T</title>") == M.blocks("<head") == M.blocks("<head><script>x") == []
+    M.blocks("<head>" * 100_000)

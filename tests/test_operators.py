@@ -80,6 +80,21 @@ def test_calibration(spark):
     assert got == [("a", "b", 5, False, "pending_review"), ("a", "c", 8, True, "none")]
 
 
+def test_calibration_is_whole(spark):
+    """The automatic band is in it, and controls are the nearest pairs at any distance."""
+    prints = {"a": 0, "b": 0, "c": 0b111, "d": 0b1111 << 10, "e": -1, "f": (1 << 30) - 1}
+    df = spark.createDataFrame(list(prints.items()), "doc_id string, simhash long")
+    none = spark.createDataFrame([], "doc_id string, canonical_doc_id string, link_id string, review_state string")
+    every = sorted((((prints[x] ^ prints[y]) & (1 << 64) - 1).bit_count(), x, y) for x in prints for y in prints if x < y)
+    for k in (0, 1, 4, 8, 50):
+        want = [p for p in every if p[0] <= 6] + [p for p in every if p[0] > 6][:k]
+        got = dedupe.calibration_rows(df, none, k).collect()
+        assert sorted((r.distance, r.a, r.b) for r in got) == want
+        for r in got:
+            assert r.selection_reason == ("automatic_band" if r.distance <= 3 else "review_band" if r.distance <= 6 else "nearest_negative_control")
+    assert (0, "a", "b") in every and max(every)[0] == 64
+
+
 def test_routing(spark):
     rows = [("1", "my backup failed and it says sync error"), ("2", "backup failed but i can't find a photo"), ("3", "storage full"), ("4", "i searched for the video of us"), ("5", "backup failed payment failed charged my card"), ("6", "hello"), ("7", "backup failed and sync error")]
     canon = spark.createDataFrame([("7", "1")], "doc_id string, canonical_doc_id string")

@@ -25,7 +25,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,9 +184,13 @@ _STORE = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64(
 _STORE_DDL = "kind string, key binary, n long, width int, data binary, doc_id long, hashes array<binary>"
 
 
+def recipe_key(doc_id: int | None, root: bytes) -> bytes:
+    """The same for equal rows alone, whatever task meets them in whatever order: a task that runs again repeats it."""
+    return (b"" if doc_id is None else doc_id.to_bytes(8, "big", signed=True)) + root
+
+
 def _cutter(path: str, end_id: int, chunking: tuple):
     def run(batches):
-        part, row = TaskContext.get().partitionId(), 0
         code = _library(path)[2]
         kind, press = np.dtype("<u2" if code == "H" else "<u4"), zstandard.ZstdCompressor(level=3)
         tail = np.array([end_id], kind)
@@ -214,8 +217,8 @@ def _cutter(path: str, end_id: int, chunking: tuple):
                             put(kind="chunk", key=h, n=end - start, width=kind.itemsize, data=press.compress(piece.tobytes()))
                         hashes.append(h)
                         start = end
-                    put(kind="recipe", key=part.to_bytes(8, "big") + row.to_bytes(8, "big"), n=len(ids), data=merkle(hashes), doc_id=batch.column(0)[at + k].as_py(), hashes=hashes)
-                    row += 1
+                    doc_id, whole = batch.column(0)[at + k].as_py(), merkle(hashes)
+                    put(kind="recipe", key=recipe_key(doc_id, whole), n=len(ids), data=whole, doc_id=doc_id, hashes=hashes)
                 yield pa.record_batch([pa.array(out[f.name], f.type) for f in _STORE], schema=_STORE)
 
     return run
@@ -296,11 +299,12 @@ def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID, id_
     spark = docs.sparkSession
     ship(spark)
     made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(path, end_id, chunking), _STORE_DDL)
-    # Sorted by kind for the writer; a chunk found by several tasks is kept once.
-    once = made.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("n", "width", "data", "doc_id", "hashes")])
+    # Sorted by kind for the writer; a chunk found by several tasks is kept once, a recipe with the number of its rows.
+    once = made.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("n", "width", "data", "doc_id", "hashes")], F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{root}/objects")
-    recipes = spark.read.schema("key binary, n long, data binary, doc_id long, hashes array<binary>, kind string").parquet(f"{root}/objects").where("kind = 'recipe'")
-    recipes.select("doc_id", F.col("n").alias("n_tokens"), "hashes", F.col("data").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()).write.parquet(f"{root}/sorted")
+    recipes = spark.read.schema("key binary, n long, data binary, doc_id long, hashes array<binary>, copies long, kind string").parquet(f"{root}/objects").where("kind = 'recipe'")
+    each = recipes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    each.select("doc_id", F.col("n").alias("n_tokens"), "hashes", F.col("data").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()).write.parquet(f"{root}/sorted")
     ordered = spark.read.parquet(f"{root}/sorted")
     sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     first = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))  # a row per part
@@ -309,6 +313,9 @@ def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID, id_
     ordered.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0).cast("long"))).join(places.select("part", F.col("start").alias("base")), "part").select("part", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "hashes", "root").write.parquet(f"{root}/recipes")
     roots = ordered.select("part", "root", "doc_id").repartition("part").sortWithinPartitions("part", "doc_id", "root").select("part", "root").mapInArrow(_part_roots, "part int, merkle_root binary, n_docs long")
     places.join(roots, "part").orderBy("part").write.parquet(f"{root}/manifest")
+    given, held = docs.count(), spark.read.parquet(f"{root}/manifest").agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    if given != held:
+        raise RuntimeError(f"{given} rows were given, and the store has {held} recipes")
 
 
 def read_store(spark, root: str) -> DataFrame:

@@ -143,3 +143,42 @@ def test_leak_scan_reports_every_kind(spark, tmp_path):
     assert sorted((r.column, r.kind, r.n) for r in got) == sorted(("text", k, n) for k, n in want.items())
     sql = registry.SQL["leak_scan_kinds"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(duckdb.sql(sql).fetchall()) == sorted(("text", k, n) for k, n in want.items())
+
+
+def test_review_frame_is_found_anywhere(spark):
+    inner = lambda i: json.dumps([[[i, ["Ann"], 4, None, "Nice"], [i + "b", ["Bo"], 5, None, "Good"]], [None, "tok"]])
+    other, mine = ["wrb.fr", "zzz", "[[]]"], lambda i: ["wrb.fr", "oCPfdb", inner(i)]
+    answers = [")]}'\n\n9\n" + json.dumps([other, mine("a")]), json.dumps([["di", 5], other]) + "\r\n77\r\n" + json.dumps([["e", 1], mine("c")]) + "\n", json.dumps([mine("x"), mine("y")]), json.dumps([other, other]), "junk"]
+    df = body(spark, *answers)
+    assert sorted(r.review_id for r in readers.framed_reviews(df).collect()) == ["a", "ab", "c", "cb"]
+    assert sorted(r.body for r in readers.framed_refusals(df).collect()) == sorted(answers[2:])
+
+
+def test_original_post(spark):
+    ld = lambda d: f'<script type="application/ld+json">{d if isinstance(d, str) else json.dumps(d)}</script>'
+    whole = "First paragraph.\n\nSecond one.\n\nThird \U0001f600."
+    main = {"@type": "Question", "name": "T", "text": whole, "author": {"name": "Ann"}, "datePublished": "2024-01-02T03:04:05Z", "url": "https://support.google.com/photos/thread/7/x"}
+    page = {"@type": ["QAPage"], "mainEntity": main}
+    shown = "<h1>H</h1><p>First paragraph.</p><p>Second one.</p>"
+    view = [None, [["7", 1700000000123456], 0, 0, 0, 0, 0, "u", 0, "V", 0, 0, 0, whole, 0], None, [["Zoe"], 0, "u"]]
+
+    def thread(v, item=7):
+        literal = json.dumps(v).replace("\\", "\\\\").replace("'", "\\'").replace('"', "\\x22")
+        return f"<html data-page-type='SUPPORT_FORUM_THREAD'><link rel='canonical' href='https://support.google.com/photos/thread/{item}'><script>var thread_view = '{literal}';</script>{shown}"
+
+    cases = [
+        (ld({"headline": "no"}) + ld([{"@graph": [page]}]) + shown, ("T", whole, "Ann", "2024-01-02T03:04:05Z", "QAPage.mainEntity.text", None)),
+        (thread(view), ("V", whole, "Zoe", "2023-11-14T22:13:20.123Z", "thread_view[1][12]", None)),
+        (thread(view, 8), (None,) * 5 + ("thread_identity_mismatch",)),
+        (ld(page).replace("thread/7", "thread/9"), (None,) * 5 + ("thread_identity_mismatch",)),
+        (ld(page) + ld(page), (None,) * 5 + ("ambiguous_original_post",)),
+        (thread(view) + thread(view), (None,) * 5 + ("ambiguous_original_post",)),
+        (thread([1, [["7", 2]]]), (None,) * 5 + ("unsupported_thread_bootstrap",)),
+        (ld("{broken") + ld({"articleBody": "A", "headline": "B"}) + shown, (None,) * 5 + ("no_verified_plain_original_post",)),
+        (ld(page | {"mainEntity": main | {"text": "<b>x</b>"}}), (None,) * 5 + ("no_verified_plain_original_post",)),
+        (None, (None,) * 5 + ("no_verified_plain_original_post",)),
+    ]
+    df = spark.createDataFrame([(i, h, "7") for i, (h, _) in enumerate(cases)], "id int, html string, item string")
+    got = readers.original_post(df, item="item").orderBy("id").collect()
+    assert [tuple(r)[3:] for r in got] == [w for _, w in cases]
+    assert [r.body_text for r in readers.original_post(df).orderBy("id").limit(4).collect()] == [whole, whole, None, whole]

@@ -79,6 +79,42 @@ def even_split(df: DataFrame, key: str, strata: list[str], holdout: int) -> Data
     return ranked.select(key, *strata, F.when(picked, "holdout").otherwise("dev").alias("split"))
 
 
+# The pilot's seats.
+CORE, ADJACENT = "core_incomplete_recall", "adjacent_known_item_retrieval"
+REQUIRED_ADJACENT = ("reddit-23be97c93709", "reddit-c49086caf891")
+EXCLUDED = ("google_support-3d15a7ae4cd0", "google_support-5b2ec98df32b")
+
+
+def pilot_ids(inputs: DataFrame, approved: DataFrame, core_seats: int = 2, adjacent_seats: int = 3, required: tuple = REQUIRED_ADJACENT, excluded: tuple = EXCLUDED) -> list[str]:
+    """Ids of the pilot: the first agreeing core documents, the required adjacent ones and the first others.
+
+    inputs: doc_id, eligible, scope_class, decided_by, validation_state; approved: doc_id, scope_class. A
+    required or excluded document that is missing, a required one that is no agreeing, valid human decision,
+    and too few documents for the seats are errors.
+    """
+    named = {r.doc_id: r for r in inputs.where(F.col("doc_id").isin([*required, *excluded])).collect()}
+    missing = [d for d in (*excluded, *required) if d not in named]
+    if missing:
+        raise ValueError("documents are missing: " + ", ".join(missing))
+    label = approved.select("doc_id", F.col("scope_class").alias("approved"))
+    agreeing = inputs.where(F.col("eligible") & ~F.col("doc_id").isin(list(excluded))).join(label, "doc_id").where("scope_class = approved")
+    core = [r.doc_id for r in agreeing.where(F.col("scope_class") == CORE).select("doc_id").orderBy("doc_id").limit(core_seats).collect()]
+    adjacent = agreeing.where(F.col("scope_class") == ADJACENT).select("doc_id")
+    if len(core) < core_seats:
+        raise ValueError(f"agreeing core documents are {len(core)}; the pilot needs {core_seats}")
+    met = {r.doc_id for r in adjacent.where(F.col("doc_id").isin(list(required))).collect()}
+    for d in required:
+        if d not in met:
+            raise ValueError(f"{d} is not an agreeing adjacent decision")
+        if (named[d].decided_by, named[d].validation_state) != ("human", "valid"):
+            raise ValueError(f"{d} is not a validated human decision")
+    seats = adjacent_seats - len(required)
+    rest = [r.doc_id for r in adjacent.where(~F.col("doc_id").isin(list(required))).orderBy("doc_id").limit(seats).collect()]
+    if len(rest) < seats:
+        raise ValueError("not enough agreeing adjacent documents for the pilot")
+    return sorted([*core, *required, *rest])
+
+
 def first_per_class(df: DataFrame, key: str, label: str, n: int = 2) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("rn") <= n).select(key, label, "rn")
 

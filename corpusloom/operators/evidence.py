@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +103,54 @@ def first_code(codes: Column, priority: list[str]) -> Column:
     return F.try_element_at(F.filter(F.array(*map(F.lit, priority)), lambda p: F.array_contains(codes, p)), F.lit(1))
 
 
+# By observation, whether a value and evidence must be there (True), must not (False) or may (None).
+STATUS_GATE = {"stated": (True, True), "explicitly_none": (False, True), "uncertain": (None, True), "not_stated": (False, False), "not_applicable": (False, False)}
+
+
 def gate_errors(records: DataFrame, required: list[str]) -> Column:
-    """Fields that are stated without evidence, or have evidence without being stated. Columns x_observation and x_spans."""
-    return F.array_compact(F.array(*[F.when((F.col(f"{f}_observation") == "stated") != (F.coalesce(F.size(f"{f}_spans"), F.lit(0)) > 0), f) for f in required]))
+    """Every (field, error) of a record: its spans first, then each required field against the gate of its status.
+
+    Columns owner_id, x_observation, x_value (text or array) and spans (owner_id, field_name, validation_state).
+    A span of no required field, of another owner or not valid is an error; only valid spans of the record count
+    as evidence. An optional technical_state other than ok exempts the record.
+    """
+    spans = F.coalesce("spans", F.array().cast(records.schema["spans"].dataType))
+    known = lambda s: F.coalesce(s["field_name"].isin(required), F.lit(False))
+    own = lambda s: s["owner_id"].eqNullSafe(F.col("owner_id"))
+    valid = lambda s: s["validation_state"].eqNullSafe(F.lit("valid"))
+    error = lambda field, name: F.struct(field.alias("field"), F.lit(name).alias("error"))
+    of_span = lambda s: F.when(~known(s), error(s["field_name"], "unknown_field")).when(~own(s), error(s["field_name"], "wrong_owner")).when(~valid(s), error(s["field_name"], "unusable_span"))
+    found = []
+    for f in sorted(required):
+        value, status = F.col(f"{f}_value"), F.col(f"{f}_observation")
+        empty = value.isNull() | (F.size(value) == 0 if isinstance(records.schema[f"{f}_value"].dataType, T.ArrayType) else value.cast("string") == "")
+        mine = F.filter(spans, lambda s: own(s) & s["field_name"].eqNullSafe(F.lit(f)))
+        is_ = lambda i, want: status.isin([k for k, rule in STATUS_GATE.items() if rule[i] is want])
+        found += [
+            F.when(~F.coalesce(status.isin(list(STATUS_GATE)), F.lit(False)), error(F.lit(f), "unknown_status")),
+            F.when(is_(1, True) & ~F.exists(mine, valid), error(F.lit(f), "missing_evidence")),
+            F.when(is_(1, False) & (F.size(mine) > 0), error(F.lit(f), "forbidden_evidence")),
+            F.when(is_(0, True) & empty, error(F.lit(f), "missing_value")),
+            F.when(is_(0, False) & ~empty, error(F.lit(f), "forbidden_value")),
+        ]
+    errors = F.array_compact(F.concat(F.transform(spans, of_span), F.array(*found)))
+    if "technical_state" not in records.columns:
+        return errors
+    return F.when(F.col("technical_state") == "ok", errors).otherwise(F.array().cast("array<struct<field:string,error:string>>"))
+
+
+@F.udf(T.ArrayType(_RANGE))
+def _delimited(value, text):
+    """Where a query stands in quotes, or alone on a line that names it a query."""
+    if not value or text is None:
+        return []
+    q = re.escape(value)
+    patterns = [re.escape(left) + f"({q})" + re.escape(right) for left, right in ('""', "''", "\u201c\u201d", "\u2018\u2019", "``")]
+    patterns.append(rf"(?im)^\s*(?:query|search query|search term)\s*:\s*({q})\s*$")
+    return [m.span(1) for p in patterns for m in re.finditer(p, text)]
+
+
+def exact_query_supported(value: Column, spans: Column, text: Column) -> Column:
+    """Whether a valid span of exact_query covers the delimited query. spans: field_name, validation_state, start, stop."""
+    covers = lambda s, at: (s["field_name"] == "exact_query") & (s["validation_state"] == "valid") & (s["start"] <= at["start"]) & (s["stop"] >= at["stop"])
+    return F.coalesce(F.exists(_delimited(value, text), lambda at: F.exists(spans, lambda s: F.coalesce(covers(s, at), F.lit(False)))), F.lit(False))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
@@ -177,3 +178,44 @@ def test_cards_and_json_repair(spark):
     c = extraction.cards(d, s).first()
     assert c.excerpt[c.spans[0].start : c.spans[0].stop] == "quote" and len(c.excerpt) == 325 and c.rejected == ["bad"]
     assert extraction.repaired_json('```json\n{“a”: [1, 2,],}\n```') == '{"a": [1, 2]}' and extraction.repaired_json("{") is None
+
+
+def test_status_gate(spark):
+    schema = "id int, owner_id string, a_observation string, a_value string, b_observation string, b_value array<string>, spans array<struct<owner_id:string,field_name:string,validation_state:string>>"
+    va, vb, bad = ("o", "a", "valid"), ("o", "b", "valid"), ("o", "a", "rejected")
+    cases = [
+        (("stated", "x", "not_stated", []), [va], []),
+        (("explicitly_none", None, "uncertain", ["y"]), [va, vb], []),
+        (("explicitly_none", None, "uncertain", None), [], [("a", "missing_evidence"), ("b", "missing_evidence")]),
+        (("stated", "x", "not_applicable", None), [bad], [("a", "missing_evidence"), ("a", "unusable_span")]),
+        (("stated", "", "explicitly_none", ["y"]), [va, vb], [("a", "missing_value"), ("b", "forbidden_value")]),
+        (("not_stated", "x", "not_stated", None), [va], [("a", "forbidden_evidence"), ("a", "forbidden_value")]),
+        (("stated", "x", "not_stated", None), [("p", "a", "valid")], [("a", "missing_evidence"), ("a", "wrong_owner")]),
+        (("stated", "x", "not_stated", None), [va, ("o", "z", "valid")], [("z", "unknown_field")]),
+        (("stated", "x", None, None), None, [("a", "missing_evidence"), ("b", "unknown_status")]),
+    ]
+    df = spark.createDataFrame([(i, "o", *v, s) for i, (v, s, _) in enumerate(cases)], schema)
+    got = df.select("id", evidence.gate_errors(df, ["a", "b"]).alias("e")).orderBy("id").collect()
+    assert [sorted(tuple(e) for e in r.e) for r in got] == [w for _, _, w in cases]
+    failed = df.withColumn("technical_state", F.lit("provider_failed"))
+    assert failed.select(evidence.gate_errors(failed, ["a", "b"]).alias("e")).where("size(e) > 0").count() == 0
+
+
+def test_exact_query(spark):
+    span = lambda a, b, field="exact_query", state="valid": (field, state, a, b)
+    cases = [("red car", 'I typed "red car" twice', [span(8, 17)], True), ("red car", "I typed red car twice", [span(0, 20)], False), ("red car", 'x "red car"', [span(3, 9)], False), ("red car", "a\n Query : Red Car \nb", [span(0, 20)], True), ("a.b", "`axb`", [span(0, 5)], False), ("a.b", "`a.b`", [span(0, 5, "outcome"), span(0, 5, state="rejected")], False), (None, "x", [], False), ("a", None, None, False)]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, v string, t string, s array<struct<field_name:string,validation_state:string,start:int,stop:int>>")
+    assert [r.ok for r in df.select("i", evidence.exact_query_supported(F.col("v"), F.col("s"), F.col("t")).alias("ok")).orderBy("i").collect()] == [c[3] for c in cases]
+
+
+def test_pilot_seats(spark):
+    C, A = evaluation.CORE, evaluation.ADJACENT
+    r, x = evaluation.REQUIRED_ADJACENT, evaluation.EXCLUDED
+    rows = [(d, True, C, "model", "valid") for d in ("c3", "c1", "c2", x[0])] + [(d, True, A, "human", "valid") for d in (*r, "z9", "b1")] + [(x[1], True, A, "human", "valid"), ("a0", True, A, "model", "valid"), ("a1", False, A, "model", "valid")]
+    labels = [(d, s) for d, _, s, _, _ in rows if d != "a0"] + [("a0", C)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id string, eligible boolean, scope_class string, decided_by string, validation_state string")
+    approved = spark.createDataFrame(labels, "doc_id string, scope_class string")
+    assert evaluation.pilot_ids(make(rows), approved) == sorted(["c1", "c2", *r, "b1"])
+    for wrong, why in (([q for q in rows if q[0] != x[1]], "missing"), ([q for q in rows if q[0] not in ("c1", "c2")], "are 1"), ([q if q[0] != r[0] else (*q[:3], "model", "valid") for q in rows], "human"), ([q for q in rows if q[0] not in ("z9", "b1")], "not enough"), ([q if q[0] != r[1] else (q[0], False, *q[2:]) for q in rows], "agreeing adjacent")):
+        with pytest.raises(ValueError, match=why):
+            evaluation.pilot_ids(make(wrong), approved)

@@ -6,7 +6,7 @@ shared prefix is encoded once. The encoding of a prefix ends in the one vocabula
 of it and that may follow the last token of what stands before; two tokens may stand side by side if no
 merge across their border would have come first. The ids of a word are read backwards along the path.
 
-Pieces between spaces are looked up whole; a task keeps those it met in a table of bounded size.
+Words a task met are looked up in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -14,19 +14,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table, ship, spread
-from .pieces import cut, portions
+from .words import Table, cut, id_flow, portions
 
-#: Pieces, and pairs of tokens, that a task keeps; beyond it the table starts anew.
-KEPT_PIECES = 300_000
+#: Words that a task keeps in each of two generations, and pairs of tokens, which start anew beyond it.
+KEPT_WORDS = 200_000
+IDS = np.dtype("<u4")
 
 
 def byte_letters() -> list[str]:
@@ -44,7 +45,6 @@ class TrieEncoder:
             spec = json.load(f)
         vocab, byte_of = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_letters())}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.pattern = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         letters = byte_letters()
         self.bytes = [bytes([b]) for b in range(256)]
         self.out = [vocab[c] for c in letters]
@@ -63,11 +63,16 @@ class TrieEncoder:
         for t, (a, b) in enumerate(self.parts):
             if t < 256 or self._may_meet(a, b, t):
                 self.token.setdefault(self.bytes[t], t)
-        self.suffixes = {x[i:] for x in self.token for i in range(len(x))}
+        #: Each end of a token, with the token it is itself, or -1.
+        self.tails = {x[i:]: -1 for x in self.token for i in range(len(x))} | self.token
         self.text_of = {self.out[t]: self.bytes[t] for t in range(len(self.bytes))} | {i: c.encode() for c, i in self.added.items()}
 
     def _may_meet(self, a: int, b: int, limit: int = 1 << 40) -> bool:
-        """Whether no merge below ``limit`` joins the border of ``a`` and ``b`` before they are complete."""
+        """Whether no merge below ``limit`` joins the border of ``a`` and ``b`` before they are complete.
+
+        The compatibility test published for byte pair encodings that are built token by token: the merges of
+        both tokens are undone, latest first, and no pair that meets at the border may be a merge of its own.
+        """
         pair, parts = self.pair, self.parts
         while True:
             made = pair.get((a, b))
@@ -90,7 +95,7 @@ class TrieEncoder:
 
     def encode_words(self, found: list[bytes]) -> dict[bytes, list[int]]:
         """Vocabulary ids of each distinct word."""
-        token, suffixes, side, out, size = self.token, self.suffixes, self.side, self.out, self.bytes
+        tails, side, out, size = self.tails, self.side, self.out, self.bytes
         path, before, result = [-1], b"", {}
         for word in sorted(set(found)):
             shared = 0
@@ -100,13 +105,11 @@ class TrieEncoder:
                 shared += 1
             del path[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                start = end - 1
-                while start >= 0:
-                    tail = word[start:end]
-                    if tail not in suffixes:
+                for start in range(end - 1, -1, -1):
+                    t = tails.get(word[start:end])
+                    if t is None:
                         raise ValueError(f"no encoding of {word!r}")
-                    t = token.get(tail)
-                    if t is not None:
+                    if t >= 0:
                         left = path[start]
                         if left < 0:
                             break
@@ -116,7 +119,8 @@ class TrieEncoder:
                             ok = side[key] = self._may_meet(left, t)
                         if ok:
                             break
-                    start -= 1
+                else:
+                    raise ValueError(f"no encoding of {word!r}")
                 path.append(t)
             ids, end = [], len(word)
             while end:
@@ -126,16 +130,10 @@ class TrieEncoder:
             ids.reverse()
             result[word] = ids
             before = word
-        if len(side) > KEPT_PIECES:
+        if len(side) > KEPT_WORDS:
             side.clear()
         return result
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Ids of texts cut at a space before a non-space."""
-        split = [self.pattern.findall(p) for p in pieces]
-        ids = self.encode_words([w.encode() for words in split for w in words])
-        return {p: [i for w in words for i in ids[w.encode()]] for p, words in zip(pieces, split)}
-
     def sections(self, text: str) -> list[tuple[str, int | None]]:
         """A text as parts between added tokens, with the id of the added token that follows each."""
         if not any(a in text for a in self.added):
@@ -143,59 +141,65 @@ class TrieEncoder:
         parts = re.split("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", text)
         return [(parts[i], self.added[parts[i + 1]] if i + 1 < len(parts) else None) for i in range(0, len(parts), 2)]
 
-    def encode_whole(self, text: str) -> list[int]:
+    def id_bytes(self, found: list[bytes]) -> list[bytes]:
+        """Vocabulary ids of each word as unsigned 32-bit integers."""
+        ids = self.encode_words(found)
+        return [array("I", ids[w]).tobytes() for w in found]
+
+    def encode_whole(self, text: str) -> bytes:
         """Ids of a text that holds added tokens."""
-        ids: list[int] = []
-        for part, added in self.sections(text):
-            ids += self.encode_pieces([part])[part]
-            ids += [added] if added is not None else []
-        return ids
+        parts = self.sections(text)
+        found = cut(pa.array([p for p, _ in parts], pa.string()), [])
+        ids, bounds = id_flow(found, self.id_bytes(found.keys), IDS)
+        marks = [b"" if added is None else array("I", [added]).tobytes() for _, added in parts]
+        return b"".join(ids[s:e].tobytes() + m for s, e, m in zip(bounds.tolist(), bounds[1:].tolist(), marks))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.text_of[i] for i in ids).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tuple[TrieEncoder, dict]:
-    return TrieEncoder(path), {}
+def encoder(path: str) -> tuple[TrieEncoder, Table]:
+    return TrieEncoder(path), Table(KEPT_WORDS)
+
+
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all whole texts of an Arrow column one after the other, and where each text's begin (and the end). Null is empty."""
+    enc, kept = encoder(path)
+    found = cut(texts, list(enc.added))
+    whole = {k: found.keys[k].decode() for k in found.whole}
+    for k in whole:
+        found.keys[k] = b" "
+    raw = kept.look_up(found.keys, enc.id_bytes)
+    for k, text in whole.items():
+        raw[k] = enc.encode_whole(text)
+    return id_flow(found, raw, IDS)
 
 
 def encode(texts: list[str], path: str) -> list[list[int]]:
     """Ids of each whole text."""
-    enc, _ = encoder(path)
-    found = cut(pa.array(texts, pa.string()), list(enc.added))
-    ids = enc.encode_pieces(found.keys)
-    at, bounds = found.at.tolist(), found.bounds.tolist()
-    return [enc.encode_whole(found.whole[at[s]]) if e - s == 1 and at[s] in found.whole else [i for k in at[s:e] for i in ids[found.keys[k]]] for s, e in zip(bounds, bounds[1:])]
+    ids, bounds = encode_texts(pa.array(texts, pa.string()), path)
+    return [ids[s:e].tolist() for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+@lru_cache(maxsize=2)
+def _spellings(path: str) -> tuple[pa.Array, pa.Array]:
+    """By id: its digits with a comma, and the bytes it stands for."""
+    text_of = encoder(path)[0].text_of
+    size = max(text_of) + 1
+    return pa.array([b"%d," % i for i in range(size)], pa.large_binary()), pa.array([text_of.get(i, b"") for i in range(size)], pa.large_binary())
 
 
 def _digests(texts: pa.Array, path: str) -> tuple[list[int], list[str], list[str]]:
     """Number of ids, hash of the ids and hash of the decoded text of each text."""
-    enc, kept = encoder(path)
-    found = cut(texts, list(enc.added))
-    new = [k for k in found.keys if k not in kept]
-    if len(kept) + len(new) > KEPT_PIECES:
-        kept.clear()
-        new = found.keys
-    own = enc.text_of
-
-    def entry(ids):
-        return len(ids), "".join([f"{i}," for i in ids]).encode(), b"".join([own[i] for i in ids])
-
-    for piece, ids in enc.encode_pieces(new).items():
-        kept[piece] = entry(ids)
-    got = [kept[k] for k in found.keys]
-    for k, text in found.whole.items():
-        got[k] = entry(enc.encode_whole(text))
-    sizes = np.concatenate([[0], np.cumsum(np.array([g[0] for g in got], np.int64)[found.at])])[found.bounds]
-    at = pa.array(found.at)
-    hashes = []
-    for column, finish in ((1, lambda b: b[:-1]), (2, lambda b: b"".join([bytes(b)]).decode("utf-8", "replace").encode())):
-        run = pa.array([g[column] for g in got], pa.large_binary()).take(at)  # all texts one after the other
-        ends = np.frombuffer(run.buffers()[1], np.int64)[run.offset :][found.bounds].tolist() if len(run) else [0] * len(found.bounds)
+    ids, bounds = encode_texts(texts, path)
+    at, hashes = pa.array(ids.astype(np.int32)), []
+    for column, finish in zip(_spellings(path), (lambda b: b[:-1], lambda b: str(b, "utf-8", "replace").encode())):
+        run = column.take(at)  # all texts one after the other
+        ends = np.frombuffer(run.buffers()[1], np.int64)[run.offset :][bounds].tolist() if len(run) else [0] * len(bounds)
         data = memoryview(run.buffers()[2] or b"")
         hashes.append([hashlib.sha256(finish(data[s:e])).hexdigest() for s, e in zip(ends, ends[1:])])
-    return np.diff(sizes).tolist(), hashes[0], hashes[1]
+    return np.diff(bounds).tolist(), hashes[0], hashes[1]
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,14 +224,19 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text in ``out_col``."""
-    ship(docs.sparkSession)
+    """``docs`` with the ids of each text in ``out_col``, which takes the place of a column of that name.
 
-    @F.pandas_udf("array<int>")
-    def ids(s):
-        import pandas as pd
+    Null and empty texts have an empty list. Repeated rows each come back; an empty table gives no rows.
+    """
+    ship(docs.sparkSession)
 
-        return pd.Series(encode([x or "" for x in s], path))
+    @F.arrow_udf("array<int>")
+    def ids(column: pa.Array) -> pa.Array:
+        lists = []
+        for part, _ in portions(column, 6_000_000):
+            flow, bounds = encode_texts(part, path)
+            lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flow.astype(np.int32))))
+        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(out_col, ids(F.col(text_col)))
 

@@ -48,3 +48,18 @@ def test_query_rows(spark):
         want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIB.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted([tuple(r) for r in M.bpe_digests(df, PATH).collect()], key=str) == sorted(want, key=str)
     assert M.bpe_digests(df.limit(0), PATH).count() == 0
+
+
+def test_the_table_of_words_starts_anew(monkeypatch):
+    monkeypatch.setattr(M.encoder(PATH)[1], "size", 3)
+    for text in ["one two three four", "four five six", "one two three four", "six"]:
+        same(text)
+    assert len(M.encoder(PATH)[1].young) < 10
+
+
+def test_a_very_long_text_and_word(spark):
+    texts = ["word né " * 300_000, "x" * 30_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in M.encode_column(df, PATH, out_col="doc_id2").collect():
+        assert r.doc_id2 == LIB.encode(texts[r.doc_id], add_special_tokens=False).ids
+    assert [r.ids for r in M.encode_column(spark.createDataFrame([(None,), ("",)], "text string"), PATH).collect()] == [[], []]

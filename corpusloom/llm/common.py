@@ -1,7 +1,9 @@
 """Shared by the operators of this folder: tables, words, scratch space, broadcasts and components.
 
 Scratch data goes to ``spark.checkpoint.dir`` of the session, a folder that all executors share;
-only where that is unset (tests, a laptop) one is made below the system's temporary folder.
+only where that is unset and all runs in one process (tests, a laptop) one is made below the system's
+temporary folder. Scratch tables outlive the query, as the frame that reads them is lazy; ``forget_scratch``
+removes those of a session that is done with its results.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="corpusloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(place)
@@ -37,7 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def forget_scratch(spark: SparkSession) -> int:
+    """Remove the scratch tables this session wrote, once nothing reads them any more; returns their number."""
+    jvm, n = spark._jvm, len(_SCRATCH)
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with bars before it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_odd_vectors(spark):
     rows = [(1, None), (2, []), (3, [0.0] * 4), (4, [1.0, None, 0.0, 0.0]), (5, [float("nan"), 1.0, 0.0, 0.0]), (6, [float("inf")] + v[1:]), (7, v), (8, [1.0, 2.0, -0.0, 3.0]), (9, v[:3]), (7, v), (None, v), (10, [-x for x in v]), (7, [9.0, -1.0, 4.0, 0.0])]
     run(spark, rows)
     run(spark, [])
+
+
+def test_very_small_and_very_large_vectors(spark):
+    v = [1.0, 2.0, 0.5, 3.0, -1.0, 0.25]
+    scaled = lambda k: [x * k for x in v]
+    rows = [(i, scaled(k)) for i, k in enumerate((1e-200, 2e-200, 1e200, 2e200, 1.0, 5e-310, 4e307))] + [(8, [3e-300, -1e-300, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in M.near_vectors(df).collect()}
+    assert got == {**{i: (6, 0) for i in range(7)}, 8: (0, 8)}

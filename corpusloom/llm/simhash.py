@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, shared_dir, ship, spread, text_key
+from .common import connected_components, free_names, read_table, shared_dir, ship, spread, text_key
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints below one prefix that a task joins whole; beyond it the subtree is cut at CUT_BITS more bits.
@@ -280,14 +280,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = MAX_BITS) -> DataFrame:
-    """One row of each near-duplicate group, with all its columns: the one of smallest id (null ids last)."""
+    """One row of each near-duplicate group, with all its columns: the one of smallest id (null ids last).
+
+    Of rows with that id, the one of smallest text key; of equal ones, any. Null and empty texts are a group
+    like any other. An empty table gives no rows.
+    """
     fps, named = _grouped(docs, id_col, text_col, budget)
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("tkey").alias("_key"))
+    none, id_, key_ = key = free_names(docs, "_none", "_id", "_key")
+    order = F.struct(F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0).cast("long")).alias(id_), F.col("tkey").alias(key_))
     best = fps.groupBy("fp").agg(F.min(order).alias("first"))
     kept = best.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     # Plain columns as keys, so that the rows dealt out for the join are not dealt out again to drop repeated ones.
-    key = ["_none", "_id", "_key"]
-    rows = docs.withColumns({"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col), F.lit(0)).cast("long"), "_key": text_key(F.col(text_col))})
+    rows = docs.withColumns({none: F.col(id_col).isNull(), id_: F.coalesce(F.col(id_col), F.lit(0)).cast("long"), key_: text_key(F.col(text_col))})
     return rows.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
 
 

@@ -94,3 +94,16 @@ def test_trie_join_loses_no_link(spark):
     cloud = sorted({dense ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for _ in range(250)})
     linked(spark, cloud)
     linked(spark, cloud, subtree=20)  # cut into smaller subtrees
+
+
+def test_kept_rows_keep_all_columns(spark):
+    rows = [(1, "a b c", "p", 1, "q"), (2, "a b c", None, 2, "r"), (None, "other words here", "s", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key int, _None string")
+    got = M.keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_a_very_long_text():
+    text = " ".join(f"w{i % 997}" for i in range(400_000))
+    assert M.fingerprint_batch([text, None]).tolist() == [brute(text), 0]

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, read_table, spread, stored, text_key, words
+from .common import checked_broadcast, free_names, read_table, spread, stored, text_key, words
 
 WINDOW, SHARE = 13, 20
 
@@ -93,7 +93,12 @@ def phrase_matches(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
 
 
 def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
-    """(doc_id, item_id, n_near): windows whose two rarest words stand in a document no more than ``slop`` words nearer or farther apart than in the window."""
+    """(doc_id, item_id, n_near): windows whose two rarest words stand in a document no more than ``slop`` words nearer
+    or farther apart than in the window, in either order.
+
+    Windows of one word, and windows with a word that no document has, are near nothing. Documents without a
+    match, null and empty ones too, have no row; repeated rows and places count once; no index, no rows.
+    """
     first = index.postings.withColumnRenamed("term", "term1").join(index.anchors.where("term2 is not null"), "term1").select("doc_id", "tkey", "phrase", "term2", F.col("pos").alias("p1"), (F.col("off2") - F.col("off1")).alias("gap"))
     width = F.lit(2 * slop + 1)
     first = first.withColumn("cell", F.explode(F.array(*[F.floor((F.col("p1") + F.col("gap") + d * slop) / width) for d in (-1, 1)]))).dropDuplicates(["doc_id", "tkey", "phrase", "p1", "gap", "cell"])
@@ -133,9 +138,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = stored(contamination(docs, items, window, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("tkey").alias("_bad_key")).distinct(), "contaminated")
-    return docs.join(checked_broadcast(bad, bad.count()), F.col(id_col).eqNullSafe(F.col("_bad_id")) & (text_key(F.col(text_col)) == F.col("_bad_key")), "left_anti")
+    """Rows of ``docs`` that are not contaminated, with all their columns.
+
+    Null and empty texts stay; rows that share an id but not the text are judged apart; repeated rows all stay
+    or all go. An empty table gives no rows, and items without id or words take nothing away.
+    """
+    id_, key = free_names(docs, "_bad_id", "_bad_key")
+    bad = stored(contamination(docs, items, window, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(id_), F.col("tkey").alias(key)).distinct(), "contaminated")
+    return docs.join(checked_broadcast(bad, bad.count()), F.col(id_col).eqNullSafe(F.col(id_)) & (text_key(F.col(text_col)) == F.col(key)), "left_anti")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -46,3 +46,21 @@ def test_proximity(spark):
     i = spark.createDataFrame([(9, "zeta q alpha")], "item_id long, text string")
     index = M.build_index(d, i)
     assert [tuple(r) for r in M.proximity_matches(index, 3).orderBy("doc_id").collect()] == [(1, 9, 1), (3, 9, 1)]
+
+
+def test_kept_rows_keep_all_columns(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, item, "p", 1), (1, "clean", "q", 2), (None, None, "r", 3), (2, item + " x" * 400, "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _bad_id string, _bad_key int")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = M.keep_uncontaminated(df, items)
+    assert got.columns == df.columns
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted(rows[1:], key=str)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice(["ta", "re", "mi", "so"]) + rng.choice(["na", "vo", "k"])
+    items = [(1, " ".join(word() for _ in range(20))), (2, "zzz")]
+    long = " ".join(word() for _ in range(60_000))
+    run(spark, [(1, long[:200_000] + " " + items[0][1] + " " + long[200_000:]), (2, long + " zzz")], items)

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, spread
+from .common import free_names, read_table, scratch_path, spread
 
 TARGET_BYTES, FAN_IN, LEAST_BYTES = 128 << 20, 4, 1 << 20
 _MANIFEST = "run string, tier int, n_shards long, n_rows long, n_bytes long"
@@ -160,9 +160,7 @@ def shard_documents(docs: DataFrame, root: str, arrivals: int = 8, **options) ->
     a version without runs.
     """
     store = ShardStore(docs.sparkSession, root, **options)
-    lot = "_arrival"
-    while lot in docs.columns:
-        lot = "_" + lot
+    (lot,) = free_names(docs, "_arrival")
     store.append(docs.withColumn(lot, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), lot)
     store.compact()
     store.expire()
@@ -174,7 +172,7 @@ def op6_shards(spark, sf_dir: str) -> DataFrame:
     store = shard_documents(docs, scratch_path(spark, "shards"))
     back = store.read()
     back = docs.limit(0) if back is None else back
-    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "lang", "source")
 
 
-OP6_SQL = "SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM documents"
+OP6_SQL = "SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256, lang, source FROM documents"

@@ -121,3 +121,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
     return license_scan(spread(read_table(spark, sf_dir, "documents")))
+
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', {base}, {k}, '{words_}')" for i, (label, words_, base, k) in enumerate([(a, b, "true", SHORT_GRAM) for a, b in BASE_PHRASES] + [(a, b, "false", LONG_GRAM) for a, b in NOTICES]))
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t(tid, label, base, k, words) AS (VALUES {_TEMPLATES}),
+tg AS (SELECT tid, label, base, k, len(tw) - k + 1 AS n, p AS tpos, array_to_string(tw[p + 1:p + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(tw) - k + 1)) AS p FROM (SELECT *, string_split(words, ' ') AS tw FROM t))),
+dg AS (SELECT rid, k, p, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT rid, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (VALUES ({SHORT_GRAM}), ({LONG_GRAM})) s(k) WHERE len(w) >= k)),
+votes AS (SELECT DISTINCT rid, tid, label, base, n, tpos, p - tpos AS diag FROM dg JOIN tg USING (k, g)),
+lines AS (SELECT rid, tid, diag, sum(new) OVER (PARTITION BY rid, tid ORDER BY diag) AS island FROM (SELECT rid, tid, diag, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) > {MAX_SHIFT}, true) THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT rid, tid, base, diag FROM votes))),
+spans AS (SELECT rid, tid, island, label, base, min(diag) AS start, count(DISTINCT tpos) / n AS cover FROM votes JOIN lines USING (rid, tid, diag) GROUP BY rid, tid, island, label, base, n),
+good AS (SELECT * FROM spans WHERE CASE WHEN base THEN cover = 1 ELSE cover >= {MIN_COVER} END),
+per AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM good GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN per USING (rid)"""

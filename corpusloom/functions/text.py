@@ -28,8 +28,8 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def composed(text: Column) -> Column:
-    """NFKC; only texts beyond ASCII cross to Python."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+    """NFKC. A condition does not keep rows from a UDF, so texts of ASCII alone are sent there as null."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def collapse(text: Column) -> Column:
@@ -65,20 +65,23 @@ def raw_hash(text: Column) -> Column:
 
 @F.pandas_udf(T.LongType())
 def simhash(norm: pd.Series) -> pd.Series:
-    """64-bit SimHash over 3-word shingles (first 8 bytes of SHA-1), a tie gives 0; signed."""
-
-    def one(text):
-        if text is None:
-            return None
-        w = text.split()
-        grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-        if not grams:
-            return 0
-        raw = b"".join(hashlib.sha1(g.encode()).digest()[:8] for g in grams)
-        ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        return int(np.packbits(2 * ones > len(grams)).view(">u8")[0].astype(np.uint64).view(np.int64))
-
-    return norm.map(one).astype("Int64")
+    """64-bit SimHash over 3-word shingles (first 8 bytes of SHA-1), a tie gives 0; signed. Null stays null."""
+    sha1, raw, sizes = hashlib.sha1, [], []
+    for t in norm:
+        w = t.split() if t else []
+        sizes.append(max(1, len(w) - 2) if w else 0)
+        raw += [sha1(" ".join(w[i : i + 3]).encode()).digest()[:8] for i in range(sizes[-1])]
+    size = np.array(sizes, np.int64)
+    out = np.zeros(len(size), np.int64)
+    if raw:
+        some = np.flatnonzero(size)
+        starts, found = np.cumsum(size[some]) - size[some], np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
+        bits = np.zeros(len(some), np.uint64)
+        for b in range(64):  # one bit of all shingles of the batch at a time
+            ones = np.add.reduceat((found >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
+            bits |= (2 * ones > size[some]).astype(np.uint64) << np.uint64(b)
+        out[some] = bits.view(np.int64)
+    return pd.Series(out, index=norm.index, dtype="Int64").mask(norm.isna())
 
 
 def hex64(bits: Column) -> Column:

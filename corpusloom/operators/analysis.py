@@ -89,8 +89,9 @@ def balanced_mean(df: DataFrame, group: str, hit: Column) -> DataFrame:
 
 
 def groupings(cases: DataFrame, fields: list[str], key: str = "case_id") -> DataFrame:
-    """Cases with the same labels: signature, size and sorted ids."""
-    return cases.groupBy(F.concat_ws("|", *[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("signature")).agg(F.count("*").alias("size"), F.sort_array(F.collect_list(key)).alias("ids"))
+    """(signature, size, key): cases with the same labels, a row for each case; no group's ids stand in one row."""
+    signed = cases.select(F.concat_ws("|", *[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("signature"), key)
+    return signed.join(signed.groupBy("signature").agg(F.count("*").alias("size")), "signature").select("signature", "size", key)
 
 
 def established(df: DataFrame, by: str, doc: str, source: str) -> DataFrame:
@@ -156,5 +157,5 @@ def first_per_key(df: DataFrame, keys: list[str], order: list, last: bool = Fals
 
 
 def repeated(df: DataFrame, by: str, key: str) -> DataFrame:
-    """Values with two rows or more, and their sorted ids."""
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("ids")).where("n >= 2")
+    """(by, n, key): a row for each row whose value has two or more; null values repeat nothing."""
+    return df.select(by, key).join(df.groupBy(by).agg(F.count("*").alias("n")).where("n >= 2"), by).select(by, "n", key)

@@ -137,5 +137,6 @@ def import_warnings(docs: DataFrame, expected: int) -> DataFrame:
 
 
 def fold_outcomes(batches: DataFrame) -> DataFrame:
-    """One row: sums of the counters and all ids of several sub-batches in order."""
-    return batches.agg(F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("lot", "ids"))), lambda x: x["ids"])).alias("ids"))
+    """(lot, id, succeeded, failed): the ids of several sub-batches, a row each, with the sums of their counters."""
+    sums = batches.agg(F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"))
+    return batches.select("lot", F.explode("ids").alias("id")).join(F.broadcast(sums))  # one row

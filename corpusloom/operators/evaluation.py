@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import occurrences
+from ..session import ranked
+
 GATES = {"prefilter_recall": 0.90, "precision": 0.85, "recall": 0.80}
 
 
@@ -64,19 +67,17 @@ def gates(report: DataFrame, thresholds=GATES) -> DataFrame:
 
 def gold_split(df: DataFrame, key: str, strata: list[str], seed: str = "gold-v1") -> DataFrame:
     """(key, strata, split): the first two fifths of each stratum, in the order of a seeded hash, are dev."""
-    w = Window.partitionBy(*strata)
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)
-    ranked = df.withColumn("rn", F.row_number().over(w.orderBy(order, key))).withColumn("n", F.count("*").over(w))
-    return ranked.select(key, *strata, F.when(F.col("rn") <= F.floor(F.col("n") * 2 / 5), "dev").otherwise("holdout").alias("split"))
+    got = ranked(df.select(key, *strata), strata, [order, F.col(key)])
+    return got.select(key, *strata, F.when(F.col("rn") <= F.floor(F.col("n") * 2 / 5), "dev").otherwise("holdout").alias("split"))
 
 
 def even_split(df: DataFrame, key: str, strata: list[str], holdout: int) -> DataFrame:
     """Of each stratum in key order, evenly spaced rows (index i*n/h) are held out."""
-    w = Window.partitionBy(*strata)
-    h = F.least(F.lit(holdout), F.col("n"))
-    ranked = df.withColumn("rn", F.row_number().over(w.orderBy(key)) - 1).withColumn("n", F.count("*").over(w).cast("int"))
-    picked = F.array_contains(F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.floor(i * F.col("n") / h).cast("int")), F.col("rn"))
-    return ranked.select(key, *strata, F.when(picked, "holdout").otherwise("dev").alias("split"))
+    got = ranked(df.select(key, *strata), strata, [F.col(key)])
+    h, n = F.least(F.lit(holdout), F.col("n")), F.col("n")
+    picked = F.array_contains(F.transform(F.sequence(F.lit(0).cast("long"), h - 1), lambda i: F.floor(i * n / h)), F.col("rn") - 1)
+    return got.select(key, *strata, F.when(picked, "holdout").otherwise("dev").alias("split"))
 
 
 # The pilot's seats.
@@ -135,16 +136,17 @@ def greedy_matches(scores: DataFrame) -> DataFrame:
 
 
 def overlap_scores(gold: DataFrame, cases: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, gold_id, case_id, score): gold quotes of which some occurrence overlaps a span of the case.
+    """(doc_id, gold_id, case_id, score): gold quotes that equal a span's quote, or of which some occurrence overlaps a span.
 
-    gold: doc_id, gold_id, quotes; cases: doc_id, case_id, spans (start, stop); texts: doc_id, text.
+    gold: doc_id, gold_id, quotes; cases: doc_id, case_id, spans (quote, start, stop; offsets may be null); texts:
+    doc_id, text. A document without text is matched by equal quotes alone.
     """
-    from ..functions.text import occurrences
-
-    at = gold.join(texts, "doc_id").select("doc_id", "gold_id", "text", F.explode("quotes").alias("quote")).select("doc_id", "gold_id", "quote", F.explode(occurrences(F.col("text"), F.col("quote"))).alias("s1"), F.length("quote").alias("len"))
-    spans = cases.select("doc_id", "case_id", F.explode("spans").alias("x")).select("doc_id", "case_id", F.col("x.start").alias("s2"), F.col("x.stop").alias("e2"))
-    hit = at.join(spans, "doc_id").where((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("s1") + F.col("len")))
-    return hit.groupBy("doc_id", "gold_id", "case_id").agg(F.count_distinct("quote").alias("score"))
+    quotes = gold.select("doc_id", "gold_id", F.explode(F.array_distinct("quotes")).alias("quote"))
+    spans = cases.select("doc_id", "case_id", F.explode("spans").alias("x")).select("doc_id", "case_id", F.col("x.quote").alias("span_quote"), F.col("x.start").alias("s2"), F.col("x.stop").alias("e2"))
+    equal = quotes.join(spans.withColumnRenamed("span_quote", "quote"), ["doc_id", "quote"]).select("doc_id", "gold_id", "case_id", "quote")
+    at = quotes.join(texts, "doc_id").select("doc_id", "gold_id", "quote", F.explode(occurrences(F.col("text"), F.col("quote"))).alias("s1"), F.length("quote").alias("len"))
+    over = at.join(spans, "doc_id").where((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("s1") + F.col("len"))).select("doc_id", "gold_id", "case_id", "quote")
+    return equal.union(over).groupBy("doc_id", "gold_id", "case_id").agg(F.count_distinct("quote").alias("score"))
 
 
 def span_validation_rate(spans: DataFrame) -> DataFrame:
@@ -158,8 +160,12 @@ def reconcile_counts(docs: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def failure_ledger(df: DataFrame, categories: dict[str, Column], key: str) -> DataFrame:
-    """(category, n, ids): every category, also those without rows."""
+    """(category, n): every category, also those without rows. ``failure_ids`` has the ids."""
     names = df.sparkSession.createDataFrame([(c,) for c in categories], "category string")
-    rows = df.select(key, F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in categories.items()]))).alias("category"))
-    found = rows.groupBy("category").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("ids"))
+    found = failure_ids(df, categories, key).groupBy("category").agg(F.count("*").alias("n"))
     return names.join(found, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def failure_ids(df: DataFrame, categories: dict[str, Column], key: str) -> DataFrame:
+    """(category, key): a row for each failure."""
+    return df.select(F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in categories.items()]))).alias("category"), key)

@@ -16,28 +16,14 @@ _RANGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("s
 
 @F.pandas_udf(_RANGE)
 def spaced_match(text: pd.Series, quote: pd.Series, hint: pd.Series) -> pd.DataFrame:
-    """The match of a quote whose white space differs, nearest to the hint; offsets address the original text."""
+    """The match of a quote whose white space differs, nearest to the hint; offsets address the original text. Null text: none."""
     out = []
     for t, q, h in zip(text, quote, hint):
-        flat, at, gap = [], [], True
-        for i, c in enumerate(t or ""):
-            if c.isspace():
-                if not gap:
-                    flat.append(" ")
-                    at.append(i)
-                gap = True
-            else:
-                flat.append(c)
-                at.append(i)
-                gap = False
-        whole, want = "".join(flat), " ".join((q or "").split())
-        found, k = [], whole.find(want) if want else -1
-        while k >= 0:
-            found.append((at[k], at[k + len(want) - 1] + 1))
-            k = whole.find(want, k + 1)
+        words = (q or "").split()
+        found = [m.span(1) for m in re.finditer(r"(?=(" + r"\s+".join(map(re.escape, words)) + r"))", t)] if t and words else []
         known = None if pd.isna(h) else int(h)
         if len(found) == 1 or (found and known is not None):
-            out.append(min(found, key=lambda f: (abs(f[0] - (known or 0)), f[0])) if known is not None else found[0])
+            out.append(min(found, key=lambda f: (abs(f[0] - known), f[0])) if known is not None else found[0])
         else:
             out.append((None, None))
     return pd.DataFrame(out, columns=["start", "stop"]).astype("Int32")
@@ -54,7 +40,7 @@ def ladder(spans: DataFrame, text: str = "raw_text", redactions: str = "redactio
     d = spans.withColumn("hits", F.when(F.coalesce(exact, F.lit(False)), F.array().cast("array<int>")).otherwise(tx.occurrences(t, q))).withColumn("exact", F.coalesce(exact, F.lit(False)))
     nearest = F.array_min(F.transform("hits", lambda h: F.struct(F.abs(h - F.col("start")).alias("d"), h.alias("at"))))["at"]
     lost = ~F.col("exact") & (F.size("hits") == 0)
-    d = d.withColumn("loose", F.when(lost, spaced_match(t, q, F.col("start"))))
+    d = d.withColumn("loose", spaced_match(F.when(lost, t), q, F.col("start")))  # other texts are sent as null
     rung = (
         F.when(F.col("exact"), "exact")
         .when(F.size("hits") == 1, "unique")

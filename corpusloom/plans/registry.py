@@ -56,8 +56,10 @@ sb AS (SELECT doc_id, {_BITS} AS simhash FROM sh GROUP BY doc_id),
 p AS (SELECT dt.*, coalesce(simhash, 0) AS simhash FROM dt LEFT JOIN sb USING (doc_id))"""
 _LINKS = f"""{_SIMHASH},
 stars AS (SELECT b.doc_id AS doc_id, a.doc_id AS canonical_doc_id, false AS quoted FROM (SELECT content_hash, min(doc_id) AS doc_id FROM p GROUP BY content_hash) a JOIN p b ON a.content_hash = b.content_hash AND a.doc_id < b.doc_id),
-near AS (SELECT a.doc_id AS l, b.doc_id AS r, false AS quoted FROM p a JOIN p b ON a.doc_id < b.doc_id AND a.content_hash <> b.content_hash AND bit_count(xor(a.simhash, b.simhash)) <= 6),
-g AS (SELECT doc_id, n_tokens, content_hash, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, n_tokens, content_hash, string_split(norm, ' ') AS w, unnest(range(1, n_tokens - 6)) AS i FROM p WHERE n_tokens >= 8)),
+one AS (SELECT * FROM p WHERE doc_id IN (SELECT min(doc_id) FROM p GROUP BY norm)),
+cls AS (SELECT simhash, min(doc_id) AS rep FROM one GROUP BY simhash),
+near AS (SELECT a.doc_id AS l, b.doc_id AS r, false AS quoted FROM one a JOIN one b ON a.doc_id < b.doc_id AND a.content_hash <> b.content_hash AND bit_count(xor(a.simhash, b.simhash)) <= 6 JOIN cls ca ON ca.simhash = a.simhash JOIN cls cb ON cb.simhash = b.simhash WHERE a.doc_id = ca.rep AND (b.doc_id = cb.rep OR a.simhash = b.simhash)),
+g AS (SELECT doc_id, n_tokens, content_hash, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, n_tokens, content_hash, string_split(norm, ' ') AS w, unnest(range(1, n_tokens - 6)) AS i FROM one WHERE n_tokens >= 8)),
 m AS (SELECT a.doc_id AS l, b.doc_id AS r, a.i AS i, a.i - b.i AS diag, least(a.n_tokens, b.n_tokens) AS shorter FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n_tokens <> b.n_tokens AND a.content_hash <> b.content_hash),
 isl AS (SELECT *, i - row_number() OVER (PARTITION BY l, r, diag ORDER BY i) AS island FROM m),
 runs AS (SELECT l, r, any_value(shorter) AS shorter, max(c) + 7 AS run FROM (SELECT l, r, diag, island, any_value(shorter) AS shorter, count(*) AS c FROM isl GROUP BY l, r, diag, island) GROUP BY l, r),
@@ -153,8 +155,9 @@ def exact_duplicate_stars(t):
     return d.join(k, "content_hash").where("doc_id <> canonical_doc_id").select("doc_id", "canonical_doc_id")
 
 
-@query(f"WITH {_SIMHASH} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM p a JOIN p b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 6")
+@query(f"WITH {_SIMHASH}, cls AS (SELECT simhash, min(doc_id) AS rep FROM p GROUP BY simhash) SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM cls a JOIN cls b ON a.rep < b.rep AND bit_count(xor(a.simhash, b.simhash)) <= 6 UNION ALL SELECT rep, doc_id, 0 FROM p JOIN cls USING (simhash) WHERE doc_id > rep")
 def hamming_pairs(t):
+    """Pairs of documents that stand for a fingerprint; the others of it are paired with that one (distance 0)."""
     d = t("documents").select("doc_id", text.simhash(text.normalized(F.coalesce("text", F.lit("")))).alias("simhash"))
     return dedupe.hamming_pairs(d, "doc_id")
 
@@ -200,10 +203,11 @@ def stage_funnel(t):
     return analysis.funnel(e, ["view", "click", "signup", "purchase"])
 
 
-@query("SELECT event_type AS stage, CASE WHEN value < 20 THEN 'failed' ELSE 'done' END AS status, count(*) AS n_events FROM events WHERE user_id % 3 = 0 GROUP BY ALL")
+@query("SELECT event_type AS stage, CASE WHEN value < 20 THEN 'failed' ELSE 'done' END AS status, count(*) AS n_events FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY ALL")
 def stage_status_counts(t):
+    """Over the users that signed up."""
     e = t("events").select(F.col("event_type").alias("stage"), F.col("user_id").alias("target_id"), F.when(F.col("value") < 20, "failed").otherwise("done").alias("status"))
-    return analysis.stage_status_counts(e, e.where("target_id % 3 = 0"))
+    return analysis.stage_status_counts(e, e.where("stage = 'signup'"))
 
 
 @query("SELECT user_id, event_type AS stage, max_by(CAST(event_id AS VARCHAR), (ts, event_id)) AS last_event FROM events GROUP BY ALL")
@@ -271,7 +275,7 @@ def journeys(t):
     return analysis.journeys(_map_cases(t), ["cues", "forgotten"])
 
 
-@query("SELECT coalesce(p_brand, '') || '|' || coalesce(p_type, '') AS signature, count(*) AS size, list_sort(list(p_partkey)) AS ids FROM part GROUP BY ALL")
+@query("SELECT coalesce(p_brand, '') || '|' || coalesce(p_type, '') AS signature, count(*) OVER (PARTITION BY coalesce(p_brand, '') || '|' || coalesce(p_type, '')) AS size, p_partkey FROM part")
 def case_groupings(t):
     return analysis.groupings(t("part"), ["p_brand", "p_type"], "p_partkey")
 
@@ -330,9 +334,10 @@ def first_per_thread(t):
     return analysis.first_per_key(t("conversations"), ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "role")
 
 
-@query("SELECT url, count(*) AS n, list_sort(list(page_id)) AS ids FROM pages GROUP BY url HAVING count(*) >= 2")
+@query("SELECT host, n, page_id FROM (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]*)', 1)) AS n FROM pages) WHERE n >= 2")
 def repeated_urls(t):
-    return analysis.repeated(t("pages"), "url", "page_id")
+    """Pages that share a host, as URLs repeat in no table of the driver."""
+    return analysis.repeated(t("pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), "page_id"), "host", "page_id")
 
 
 @query("SELECT count(*) AS n_groups, avg(share) AS balanced_mean FROM (SELECT source, avg(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS share FROM documents GROUP BY source)")
@@ -508,7 +513,7 @@ def smoke_ids(t):
     return evaluation.first_per_class(t("customer"), "c_custkey", "c_mktsegment")
 
 
-@query("SELECT category, coalesce(n, 0) AS n, ids FROM (VALUES ('negative'), ('large'), ('none')) c(category) LEFT JOIN (SELECT category, count(*) AS n, list_sort(list(c_custkey)) AS ids FROM (SELECT c_custkey, 'negative' AS category FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'large' FROM customer WHERE c_acctbal > 9000) GROUP BY category) USING (category)")
+@query("SELECT category, coalesce(n, 0) AS n FROM (VALUES ('negative'), ('large'), ('none')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM (SELECT c_custkey, 'negative' AS category FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'large' FROM customer WHERE c_acctbal > 9000) GROUP BY category) USING (category)")
 def failure_ledger(t):
     return evaluation.failure_ledger(t("customer"), {"negative": F.col("c_acctbal") < 0, "large": F.col("c_acctbal") > 9000, "none": F.lit(False)}, "c_custkey")
 
@@ -625,7 +630,7 @@ def import_warnings(t):
     return assembly.import_warnings(t("pages").select("url", F.lit(None).cast("string").alias("alias")), -1)
 
 
-@query("SELECT count(*) AS succeeded, 3 AS failed, list(event_id ORDER BY event_id) AS ids FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 50)")
+@query("SELECT CAST(CASE WHEN rn <= 20 THEN 1 WHEN rn <= 40 THEN 2 ELSE 3 END AS INTEGER) AS lot, event_id AS id, count(*) OVER () AS succeeded, 3 AS failed FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events) WHERE rn <= 50")
 def fold_batches(t):
     """A scheduled batch holds 50 items; that limit is the operator's."""
     b = incremental.lots(t("events").select("event_id"), ["event_id"]).groupBy("lot").agg(F.count("*").alias("succeeded"), F.lit(1).alias("failed"), F.sort_array(F.collect_list("event_id")).alias("ids"))

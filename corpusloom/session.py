@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -19,3 +21,36 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal a scan of fewer splits than cores (one small file) over all cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, which all executors share; survives lost executors.
+
+    Only where that folder is unset and all runs in one process (tests, a laptop) one is made.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint()
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[Column], rank: str = "rn", size: str = "n") -> DataFrame:
+    """``df`` with the rank (from 1) of each row in its group and the group's size; no task holds a whole group.
+
+    Rows are dealt by range over group and order, which must tell all rows of a group apart or ranks of equal
+    ones are any of theirs; a row's rank is its place in its part and the rows of its group in the parts before.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(keys, order))).repartitionByRange(*groups, *keys)
+    base = settled(dealt.withColumn("_part", F.spark_partition_id()))
+    counts = base.groupBy(*groups, "_part").agg(F.count("*").alias("_c"))  # a row per group and part
+    w = Window.partitionBy(*groups)
+    sums = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias(size))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*keys))
+    return base.join(sums, same).withColumn(rank, inside + F.col("_before")).drop(*keys, "_part", "_p", "_before", *[f"_g{i}" for i in range(len(groups))])

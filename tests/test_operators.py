@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.functions import text
 from corpusloom.operators import analysis, dedupe, evaluation, evidence, extraction, retrieval, review, routing
 
@@ -46,9 +47,12 @@ def test_hamming_pairs_equal_all_pairs(spark):
     prints = [b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(4)]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame(list(enumerate(signed)), "k int, simhash long")
-    want = {(i, j, (prints[i] ^ prints[j]).bit_count()) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 6}
-    got = [tuple(r) for r in dedupe.hamming_pairs(df, "k").collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    first = [prints.index(p) for p in prints]  # the row that stands for a fingerprint
+    want = {(i, j, (prints[i] ^ prints[j]).bit_count()) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 6 and first[i] == i and (first[j] in (i, j))}
+    for count in (None, 10_000, 10_000_000):  # more blocks must agree where more values are expected
+        got = [tuple(r) for r in dedupe.hamming_pairs(df, "k", count=count).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(dedupe.block_keys(100, 6)) == 7 and len(dedupe.block_keys(10_000_000, 6)) == 84
 
 
 def test_quotes_equal_dynamic_programming(spark):
@@ -74,6 +78,24 @@ def test_quotes_equal_dynamic_programming(spark):
     assert got == want
 
 
+def test_quotes_wherever_they_lie(spark):
+    """Texts of all lengths, quoted by half from every start, some of it a passage that all have."""
+    rng = random.Random(5)
+    hot = [f"h{i}" for i in range(12)]
+    rows, want = [], {}
+    for n in [*range(8, 40), 61, 64, 100, 101]:
+        words = [f"w{n}x{i}" for i in range(n)]
+        if n > 30:
+            words[n // 2 - 6 : n // 2 + 6] = hot
+        half = max(8, -(-n // 2))
+        for s in {0, 1, (n - half) // 2, max(0, n - half - 1), n - half, rng.randint(0, n - half)} & set(range(n - half + 1)):
+            rows.append((f"q{n:03}s{s:03}", " ".join([f"o{n}x{s}x{i}" for i in range(n + 3)] + words[s : s + half])))
+            want[f"q{n:03}s{s:03}", f"t{n:03}"] = half
+        rows.append((f"t{n:03}", " ".join(words)))
+    got = {(r.a, r.b): r.run for r in dedupe.quoted_pairs(spark.createDataFrame(rows, "k string, normalized_text string"), "k").collect()}
+    assert {k: v for k, v in got.items() if k[1][0] == "t"} == want
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0b11111), ("c", 0b11111111 << 20)], "doc_id string, simhash long")
     none = spark.createDataFrame([("b", "a", "l1", "pending_review")], "doc_id string, canonical_doc_id string, link_id string, review_state string")
@@ -87,6 +109,7 @@ def test_calibration_is_whole(spark):
     df = spark.createDataFrame(list(prints.items()), "doc_id string, simhash long")
     none = spark.createDataFrame([], "doc_id string, canonical_doc_id string, link_id string, review_state string")
     every = sorted((((prints[x] ^ prints[y]) & (1 << 64) - 1).bit_count(), x, y) for x in prints for y in prints if x < y)
+    every = [p for p in every if "b" not in p[1:] or p[1:] == ("a", "b")]  # a stands for b
     for k in (0, 1, 4, 8, 50):
         want = [p for p in every if p[0] <= 6] + [p for p in every if p[0] > 6][:k]
         got = dedupe.calibration_rows(df, none, k).collect()
@@ -134,8 +157,12 @@ def test_greedy_matching(spark):
 
 def test_overlap_scores(spark):
     gold = spark.createDataFrame([("d", "g", ["b c", "zz"])], "doc_id string, gold_id string, quotes array<string>")
-    cases = spark.sql("select 'd' doc_id, 'c' case_id, array(named_struct('start', 3, 'stop', 4), named_struct('start', 9, 'stop', 12)) spans")
-    assert evaluation.overlap_scores(gold, cases, spark.createDataFrame([("d", "a b c d")], "doc_id string, text string")).first().score == 1
+    cases = spark.sql("select 'd' doc_id, 'c' case_id, array(named_struct('quote', 'c', 'start', 3, 'stop', 4), named_struct('quote', 'q', 'start', 9, 'stop', 12)) spans")
+    texts = spark.createDataFrame([("d", "a b c d")], "doc_id string, text string")
+    assert evaluation.overlap_scores(gold, cases, texts).first().score == 1
+    equal = spark.sql("select 'd' doc_id, 'c' case_id, array(named_struct('quote', 'zz', 'start', cast(null as int), 'stop', cast(null as int)), named_struct('quote', 'b c', 'start', 2, 'stop', 5)) spans")
+    assert evaluation.overlap_scores(gold, equal, texts).first().score == 2  # an equal quote needs no offsets and counts once
+    assert evaluation.overlap_scores(gold, equal, texts.limit(0)).first().score == 2  # nor the text
 
 
 def test_search_floor_cap_and_multiplicity(spark):
@@ -219,3 +246,26 @@ def test_pilot_seats(spark):
     for wrong, why in (([q for q in rows if q[0] != x[1]], "missing"), ([q for q in rows if q[0] not in ("c1", "c2")], "are 1"), ([q if q[0] != r[0] else (*q[:3], "model", "valid") for q in rows], "human"), ([q for q in rows if q[0] not in ("z9", "b1")], "not enough"), ([q if q[0] != r[1] else (q[0], False, *q[2:]) for q in rows], "agreeing adjacent")):
         with pytest.raises(ValueError, match=why):
             evaluation.pilot_ids(make(wrong), approved)
+
+
+def test_ranks_over_several_parts(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]) if i % 3 else "hot", i, rng.random()) for i in range(900)]
+    got = session.ranked(spark.createDataFrame(rows, "g string, i int, x double").repartition(7), ["g"], [F.col("x"), F.col("i")]).collect()
+    groups = {}
+    for g, i, x in sorted(rows, key=lambda r: (r[2], r[1])):
+        groups.setdefault(g, []).append(i)
+    assert {r.i: (r.rn, r.n) for r in got} == {i: (k + 1, len(v)) for v in groups.values() for k, i in enumerate(v)} and len(got) == 900
+
+
+def test_simhash_of_batches(spark):
+    import hashlib
+
+    def one(text):
+        w = text.split()
+        hs = [int.from_bytes(hashlib.sha1(" ".join(w[i : i + 3]).encode()).digest()[:8], "big") for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+    texts = ["", "one", "one two", "a b c d a b c", None] + [" ".join(f"w{i * k % 31}" for i in range(k)) for k in range(3, 400, 37)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.hex64(text.simhash(F.col("t"))).alias("h")).orderBy("i").collect()
+    assert [r.h for r in got] == [None if t is None else f"{one(t):016x}" for t in texts]

@@ -1,12 +1,13 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted in a fixed order; each logistic model sees the features of a text and the
-probabilities of the categories before it. For training, those probabilities come from models that did
-not see the row (out of fold), so later models learn from what they will meet. The last category is the
-labelled one; the ones before it are its kinds: rows labelled toxic that use words of a kind.
+probabilities of the categories before it. For training, those probabilities come from models that saw
+neither the row nor a copy of it (out of fold, folds by text, features chosen anew in each), so later models
+learn from what they will meet. First come the other labelled columns (quality), then kinds of toxicity (rows
+labelled toxic that use words of a kind), last the toxic label itself.
 
 Features say whether a word, or the first letters of longer words, occur anywhere in the whole text, once or more often;
-the ones that tell the categories apart best are kept. The threshold is the one of best F1 over the
+the ones that tell the toxic label apart best are kept. The threshold is the one of best F1 over the
 out-of-fold predictions, in the middle of the gap around it.
 """
 
@@ -14,15 +15,18 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, spread
+from .common import read_table, ship, spread, text_key
+from .words import portions
 
 #: Labelled rows used for training at most, half of them toxic where there are so many; features; folds.
 TRAIN_ROWS, FEATURES, FOLDS = 4_000, 700, 3
@@ -58,7 +62,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 80) -> np.ndarray:
     """Weights and bias of a class-balanced logistic regression, by accelerated gradient steps."""
-    n, pos = len(y), max(1, y.sum())
+    n, pos = max(1, len(y)), max(1, y.sum())
     c = np.where(y > 0, n / (2 * pos), n / (2 * max(1, n - pos))).astype(np.float32) / n
     x1 = np.hstack([x, np.ones((n, 1), np.float32)])
     v = np.ones(x1.shape[1], np.float32) / math.sqrt(x1.shape[1])
@@ -83,54 +87,81 @@ class Chain:
     weights: list[np.ndarray]  # of each category: features, earlier categories, bias
     threshold: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Weights by feature and category; a last row of zeros."""
+        n = len(self.vocabulary)
+        return np.vstack([np.stack([w[:n] for w in self.weights], 1), np.zeros((1, len(self.weights)))])
+
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities of each category for each whole text."""
-        names, col = self.vocabulary.keys(), self.vocabulary
+        col, names, none = self.vocabulary, self.vocabulary.keys(), len(self.vocabulary)
+        found = [[none, *(col[f] for f in features(text) & names)] for text in texts]
+        if not found:
+            return np.zeros((0, len(self.categories)))
+        starts = np.cumsum([0, *map(len, found)])[:-1]
+        sums = np.add.reduceat(self.table[np.concatenate(found)], starts, axis=0)
         out = np.zeros((len(texts), len(self.categories)))
-        for i, text in enumerate(texts):
-            at = [col[f] for f in features(text) & names]
-            for k, w in enumerate(self.weights):
-                z = float(w[at].sum()) + float(w[len(col) : len(col) + k] @ out[i, :k]) + float(w[-1])
-                out[i, k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        for k, w in enumerate(self.weights):
+            out[:, k] = _sigmoid(sums[:, k] + out[:, :k] @ w[none : none + k] + w[-1])
         return out
 
 
-def fit_chain(texts: list[str], toxic: list[int], kinds=KINDS, folds: int = FOLDS, most: int = FEATURES) -> Chain:
-    """Fit on labelled texts."""
-    y = np.array(toxic, np.float32)
-    names = [*kinds, "toxic"]
+def _chosen(counts: tuple[np.ndarray, np.ndarray], rows: tuple[int, int], rank: np.ndarray, most: int) -> np.ndarray:
+    """Features that tell the label apart best, best first, from their rows with and without it; ties by ``rank``."""
+    one, zero = counts
+    p, n = max(1, rows[0]), max(1, rows[1])
+    a, b = (one + 0.5) / (p + 1), (zero + 0.5) / (n + 1)
+    gain = (a - b) * np.log(a / b)
+    known = np.flatnonzero(one + zero >= LEAST_ROWS)
+    return known[np.lexsort((rank[known], -gain[known]))][:most]
+
+
+def fit_chain(texts: list[str], toxic: list[int], links: dict[str, list] | None = None, kinds=KINDS, folds: int = FOLDS, most: int = FEATURES) -> Chain:
+    """Fit on labelled texts. ``links``: other labels that are predicted before, 0, 1 or None (unknown) for each text."""
+    y, n = np.array(toxic, np.float32), len(texts)
+    names = [*(links or {}), *kinds, "toxic"]
     index: dict[str, int] = {}
-    found, kind = [], np.zeros((len(kinds), len(texts)), np.float32)
+    found, kind = [], np.zeros((len(kinds), n), np.float32)
     for i, t in enumerate(texts):  # features as numbers: the driver holds a few bytes for each
         got = features(t)
         found.append(np.array([index.setdefault(f, len(index)) for f in sorted(got)], np.int32))
         kind[:, i] = [float(toxic[i] > 0 and not got.isdisjoint(ws)) for ws in kinds.values()]
-    targets = [*kind, y]
-    rows = np.repeat(y > 0, [len(f) for f in found])
-    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-    one, zero = np.bincount(flat[rows], minlength=len(index)), np.bincount(flat[~rows], minlength=len(index))
-    p, n = max(1, int(y.sum())), max(1, len(y) - int(y.sum()))
-    a, b = (one + 0.5) / (p + 1), (zero + 0.5) / (n + 1)
-    gain = (a - b) * np.log(a / b)
-    ranked = sorted((f for f, k in index.items() if one[k] + zero[k] >= LEAST_ROWS), key=lambda f: (-gain[index[f]], f))[:most]
-    vocabulary = {f: i for i, f in enumerate(ranked)}
-    column = np.full(len(index), -1)
-    column[[index[f] for f in ranked]] = np.arange(len(ranked))
-    x = np.zeros((len(texts), len(ranked)), np.float32)
-    for i, s in enumerate(found):
-        at = column[s]
-        x[i, at[at >= 0]] = 1
-    del index, found, flat, rows
-    fold = np.arange(len(texts)) % folds
-    weights = []
+    targets = [*(np.array([np.nan if v is None else v for v in vs], np.float32) for vs in (links or {}).values()), *kind, y]
+    spelled = list(index)
+    rank = np.empty(len(spelled), np.int64)
+    rank[sorted(range(len(spelled)), key=spelled.__getitem__)] = np.arange(len(spelled))
+    size, flat = np.array([len(f) for f in found], int), np.concatenate(found) if found else np.zeros(0, np.int32)
+    fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t in texts])
+    # Rows of each feature with and without the label, by fold.
+    per = [[np.bincount(flat[np.repeat((fold == k) & ((y > 0) == side), size)], minlength=len(index)) for side in (True, False)] for k in range(folds)]
+    total = [sum(p[s] for p in per) for s in (0, 1)]
+
+    def matrix(out_of: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of the features chosen without a fold, for all rows."""
+        counts = tuple(t if out_of is None else t - p for t, p in zip(total, per[out_of or 0]))
+        inside = np.ones(n, bool) if out_of is None else fold != out_of
+        best = _chosen(counts, (int((y[inside] > 0).sum()), int((y[inside] <= 0).sum())), rank, most)
+        column = np.full(len(index), -1)
+        column[best] = np.arange(len(best))
+        x = np.zeros((n, len(best)), np.float32)
+        rows, at = np.repeat(np.arange(n), size), column[flat]
+        x[rows[at >= 0], at[at >= 0]] = 1
+        return x, best
+
+    x, best = matrix(None)
+    parts = [matrix(k)[0] for k in range(folds)]
+    before, weights = np.zeros((n, 0), np.float32), []
     for t in targets:
-        weights.append(_logistic(x, t))
-        unseen = np.zeros(len(texts), np.float32)
+        known = ~np.isnan(t)
+        weights.append(_logistic(np.hstack([x, before])[known], t[known]))
+        unseen = np.zeros(n, np.float32)
         for k in range(folds):
-            w = _logistic(x[fold != k], t[fold != k])
-            unseen[fold == k] = _sigmoid(x[fold == k] @ w[:-1] + w[-1])
-        x = np.hstack([x, unseen[:, None]])
-    return Chain(names, vocabulary, weights, best_threshold(x[:, -1], y))
+            z, train = np.hstack([parts[k], before]), known & (fold != k)
+            w = _logistic(z[train], t[train])
+            unseen[fold == k] = _sigmoid(z[fold == k] @ w[:-1] + w[-1])
+        before = np.hstack([before, unseen[:, None]])
+    return Chain(names, {spelled[f]: i for i, f in enumerate(best.tolist())}, weights, best_threshold(before[:, -1], y))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -144,23 +175,43 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((ranked[k] + (ranked[k + 1] if k + 1 < len(ranked) else 0)) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain | None:
-    """Fit on at most ``rows`` labelled texts, those of smallest id hash of each class; None without both classes."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", link_cols: tuple = ("quality",)) -> Chain | None:
+    """Fit on at most ``rows`` labelled texts, those of smallest id hash of each class; None without both classes.
+
+    Those of ``link_cols`` that ``labels`` has come first in the chain; an unknown one is left out of that model
+    alone. Of several labels of a document the largest counts, and of rows that share an id the text of smallest
+    key, so training can be repeated. Null ids, texts and labels take no part.
+    """
+    links = [c for c in link_cols if c in labels.columns]
+    named = {f"l{i}": F.max(F.col(c).cast("int")).alias(f"l{i}") for i, c in enumerate(links)}
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"), *named.values())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     known = marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("mark", F.xxhash64("doc_id"))
     chosen = known.where("y > 0").orderBy("mark", "doc_id").limit(rows // 2).union(known.where("y <= 0").orderBy("mark", "doc_id").limit(rows - rows // 2))
-    got = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("mark", "doc_id").select("text", "y").collect()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "mark", "y", *named).agg(F.min_by("text", F.struct(text_key(F.col("text")), "text")).alias("text"))
+    got = one.orderBy("mark", "doc_id").select("text", "y", *named).collect()
     y = [int(r.y > 0) for r in got]
-    return fit_chain([r.text for r in got], y) if 0 < sum(y) < len(y) else None
+    return fit_chain([r.text for r in got], y, {c: [r[k] for r in got] for c, k in zip(links, named)}) if 0 < sum(y) < len(y) else None
+
+
+def _judge(chain: Chain | None, column: pa.Array) -> np.ndarray:
+    """Probabilities of each category for a text column, a few MB at a time; 0 for null and empty texts."""
+    out = []
+    for part, _ in portions(column, 4_000_000):
+        texts = part.to_pylist()
+        got = chain.probabilities(texts) if chain else np.zeros((len(texts), 1))
+        got[[not t for t in texts]] = 0
+        out.append(got)
+    return np.concatenate(out) if out else np.zeros((0, 1))
 
 
 def score(docs: DataFrame, chain: Chain | None, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, toxic, score, categories), a row for each row of ``docs``; score: probability of the last category.
 
-    A text is toxic from ``threshold`` on, by default the chain's own.
+    A text is toxic from ``threshold`` on, by default the chain's own; equal scores are judged alike. ``categories``
+    names the kinds, and the label, that reach the threshold too.
     Null and empty texts, and all texts without a chain, have score 0 and are not toxic. Rows may repeat and
-    ids be null; other columns play no part.
+    ids be null; an empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -169,18 +220,22 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float | None = None,
     def run(batches):
         c = held.value
         limit = 1.0 if c is None else c.threshold if threshold is None else threshold
+        shown = [k for k, n in enumerate(c.categories) if n in KINDS or n == "toxic"] if c else []
         for batch in batches:
-            texts = (x.as_py() for x in batch.column(1))
-            rows = [c.probabilities([t])[0] if c and t else None for t in texts]
-            total = [0.0 if r is None else float(r[-1]) for r in rows]
-            kinds = [[] if r is None else [n for n, p in zip(c.categories, r) if p >= limit] for r in rows]
-            yield pa.record_batch([batch.column(0), pa.array([t >= limit for t in total], pa.bool_()), pa.array(total, pa.float64()), pa.array([",".join(k) for k in kinds], pa.string())], names=["doc_id", "toxic", "score", "categories"])
+            p = _judge(c, batch.column(1))
+            total = p[:, -1]
+            kinds = [",".join([c.categories[k] for k in shown if r[k] >= limit]) for r in p] if c else [""] * len(p)
+            yield pa.record_batch([batch.column(0), pa.array(total >= limit), pa.array(total), pa.array(kinds, pa.string())], names=["doc_id", "toxic", "score", "categories"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, toxic boolean, score double, categories string")
 
 
 def keep_clean(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the chain does not call toxic, with all their columns."""
+    """Rows of ``docs`` that the chain does not call toxic, with all their columns.
+
+    Null and empty texts stay, and so do all without a chain. Repeated rows all stay or all go. An empty table
+    gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(chain)
@@ -189,8 +244,7 @@ def keep_clean(docs: DataFrame, chain: Chain | None, text_col: str = "text") ->
     def run(batches):
         c = held.value
         for batch in batches:
-            texts = (x.as_py() for x in batch.column(at))
-            yield batch.filter(pa.array([not (c and t and c.probabilities([t])[0, -1] >= c.threshold) for t in texts], pa.bool_()))
+            yield batch if c is None else batch.filter(pa.array(_judge(c, batch.column(at))[:, -1] < c.threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -33,6 +34,66 @@ def test_held_out_and_chain():
     assert ((p[:, 0] >= 0.5) == kind).mean() > 0.97
 
 
+def brute_chain(texts, toxic, links, kinds, folds, most):
+    """The chain on dense matrices, with each step written out."""
+    found = [M.features(t) for t in texts]
+    y = np.array(toxic, np.float32)
+    fold = np.array([zlib.crc32(t.encode()) % folds for t in texts])
+
+    def vocabulary(inside):
+        p, n = max(1, sum(y[inside] > 0)), max(1, sum(y[inside] <= 0))
+        gain = {}
+        for f in set().union(*(found[i] for i in np.flatnonzero(inside))):
+            one, zero = (sum(f in found[i] for i in np.flatnonzero(inside & ((y > 0) == s))) for s in (True, False))
+            if one + zero >= M.LEAST_ROWS:
+                a, b = (one + 0.5) / (p + 1), (zero + 0.5) / (n + 1)
+                gain[f] = (a - b) * np.log(a / b)
+        return sorted(gain, key=lambda f: (-gain[f], f))[:most]
+
+    def matrix(words):
+        return np.array([[f in s for f in words] for s in found], np.float32)
+
+    targets = [np.array([np.nan if v is None else v for v in vs], np.float32) for vs in links.values()]
+    targets += [np.array([float(b > 0 and bool(f & set(ws))) for f, b in zip(found, toxic)], np.float32) for ws in kinds.values()] + [y]
+    words = vocabulary(np.ones(len(y), bool))
+    x, parts, before, weights = matrix(words), [matrix(vocabulary(fold != k)) for k in range(folds)], np.zeros((len(y), 0), np.float32), []
+    for t in targets:
+        known, unseen = ~np.isnan(t), np.zeros(len(y), np.float32)
+        weights.append(M._logistic(np.hstack([x, before])[known], t[known]))
+        for k in range(folds):
+            z, train = np.hstack([parts[k], before]), known & (fold != k)
+            w = M._logistic(z[train], t[train])
+            unseen[fold == k] = (1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30))))[fold == k]
+        before = np.hstack([before, unseen[:, None]])
+    return words, weights, M.best_threshold(before[:, -1], y)
+
+
+def test_chain_equals_brute_force():
+    rows = made(160, 8)
+    texts, toxic = [t for _, t, _ in rows] + [rows[0][1]] * 3, [y for _, _, y in rows] + [rows[0][2]] * 3
+    links = {"quality": [None if i % 7 == 0 else int(len(t) > 900) for i, t in enumerate(texts)]}
+    c = M.fit_chain(texts, toxic, links, M.KINDS, 3, 40)
+    words, weights, threshold = brute_chain(texts, toxic, links, M.KINDS, 3, 40)
+    assert c.categories == ["quality", "insult", "contempt", "degrading", "toxic"] and list(c.vocabulary) == words
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(c.weights, weights)) and abs(c.threshold - threshold) < 1e-3
+    for t in [*texts[:5], None, "", "nothing known"]:  # one text at a time, model after model
+        have, p = M.features(t), []
+        for w in c.weights:
+            z = sum(float(w[i]) for f, i in c.vocabulary.items() if f in have) + sum(float(a) * b for a, b in zip(w[len(words) : -1], p)) + float(w[-1])
+            p.append(1 / (1 + np.exp(-max(-30, min(30, z)))))
+        assert np.allclose(c.probabilities([t])[0], p, atol=1e-6)
+    assert c.probabilities([]).shape == (0, 5)
+
+
+def test_training_does_not_depend_on_row_order(spark):
+    data = made(120, 4)
+    rows = [(i, t) for i, t, _ in data] + [(3, "another text of the same id"), (3, None), (None, "x")]
+    labels = spark.createDataFrame([(i, y, i % 2) for i, _, y in data] + [(3, 1, None)], "doc_id long, toxic int, quality int")
+    one, two = (M.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert one.vocabulary == two.vocabulary and one.threshold == two.threshold and all((a == b).all() for a, b in zip(one.weights, two.weights))
+    assert one.categories == ["quality", "insult", "contempt", "degrading", "toxic"]
+
+
 def test_rows_and_edges(spark):
     data = made(400, 3)
     rows = [(i, t, 0.5) for i, t, _ in data] + [(900, None, 0.1), (901, "", 0.1), (902, "thand " * 50_000 + "scum", 0.1), (None, "idiot scum", 0.1), (5, data[5][1], 0.5)]

@@ -1,9 +1,12 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of a page.
 
-A page is cut at block-level tags into leaf blocks, each with the tags, classes and ids above it. Features
-of a block are those names and what its text looks like; the chain decides block by block whether it
-belongs to the article, and Viterbi finds the best sequence of the whole page. The field is trained by
-gradient steps on labelled pages that ``labelled_pages`` composes from common layouts.
+A page is read tag by tag and cut at block-level tags into leaf blocks, each with the tags, classes and ids
+above it. Features of a block are those names and what its text looks like; the chain decides block by
+block whether it belongs to the article, and Viterbi finds the best sequence of the whole page. The field is
+trained by gradient steps on labelled pages that ``labelled_pages`` composes from common layouts.
+
+Only what never shows is left out before the field sees it: comments, the head, scripts, styles, frames and
+drawings (svg). Fallback texts of media, formulas and templates are blocks like any other.
 """
 
 from __future__ import annotations
@@ -11,8 +14,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +26,24 @@ from pyspark.sql import functions as F
 from .common import read_table, ship, spread
 
 # Names of HTML elements by what they do to the text.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "audio", "video", "map", "datalist")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Their content is not markup; it ends at their own end tag alone.
+RAW = frozenset("script style iframe noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that ends an open element of these names.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: An opening tag that ends an svg or math element that is not closed.
+BREAKS_OUT = ENDS_P | frozenset("b big body br code dd dt em embed head i img li listing meta nobr ruby s small span strike strong sub sup tt u var".split())
 
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-#: Only in these two does a slash close a hidden element.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b" + _ATTRIBUTES + r"(?<=/)>|<(" + "|".join(HIDDEN) + r")\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_HEAD = re.compile(r"<head\b", re.I)
+# A quote counts as one if what follows it can follow a value; otherwise the tag ends at the next bracket.
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*+"""
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)(?:(" + _ATTRIBUTES + r")>|([^>]*+)(?:>|\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _HEAD_END = re.compile(r"</head\s*>", re.I)
-_BODY = re.compile(r"</head\s*>|(?=<body\b)", re.I)
-#: What can stand in a head; anything else ends one that is not closed.
+#: What can stand in a head, and its end; anything else ends one that is not closed.
 _IN_HEAD = re.compile(
-    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(title|style|script|noscript|noframes|template)\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(?:base|basefont|bgsound|link|meta)\b" + _ATTRIBUTES + r"(?:>|\Z))*",
+    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<title\b" + _ATTRIBUTES + r">.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)|<(style|script|noscript|noframes|template)\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(?:base|basefont|bgsound|link|meta)\b[^>]*(?:>|\Z))*+(?:</head\s*>)?",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role|data-truth)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -50,22 +53,33 @@ _NAME = re.compile(r"[a-z]+")
 @dataclass
 class Block:
     parts: list[str]
-    above: tuple  # names of the elements above it, outermost first
+    above: frozenset  # names of the elements above it
+    near: tuple  # tags of the two nearest, outer one first
     linked: int = 0
     truth: bool | None = None
     text: str = field(default="")
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, white space inside each turned into one space; blank ones are left out."""
-    head = _HEAD.search(page)
-    if head and (stop := _BODY.search(page, head.end())):
-        page = page[: head.start()] + " " + page[stop.end() :]
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    above: frozenset
+    near: tuple
+    truth: bool | None = None
+    links: int = 0
+    foreign: str = ""  # svg or math, inside one
+
+
+def blocks(page: str, known: frozenset | None = None) -> list[Block]:
+    """Leaf blocks in page order, white space inside each turned into one space; blank ones are left out.
+
+    With ``known``, only those names of the elements above a block are kept.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple, bool | None]] = []  # tag, names, truth
+    stack: list[_Open] = [_Open("", frozenset(), ())]
+    open_: Counter = Counter()
     current: Block | None = None
-    links = at = 0
-    closed = True  # whether a head's end can still come
+    at, heads, closed = 0, 0, True  # closed: whether a head's end can still come
 
     def end():
         nonlocal current
@@ -77,67 +91,87 @@ def blocks(page: str) -> list[Block]:
 
     def say(data):
         nonlocal current
+        top = stack[-1]
+        if top.foreign == "svg":
+            return
         if current is None:
             if not data.strip():
                 return
-            truth = next((t for _, _, t in reversed(stack) if t is not None), None)
-            current = Block([], tuple(n for _, names, _ in stack for n in names), truth=truth)
+            current = Block([], top.above, top.near, truth=top.truth)
         text = entities.unescape(data) if "&" in data else data
         current.parts.append(text)
-        if links:
+        if top.links:
             current.linked += len(text)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:  # in a head
-            continue
+    def drop(k):
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(2)
         if tag is None:
             continue
-        tag = tag.lower()
-        if tag == "head" and not m.group(2):
-            stop = _HEAD_END.search(page, at) if closed else None
-            closed = stop is not None
-            at = (stop or _IN_HEAD.match(page, at)).end()
+        tag, ends, top = tag.lower(), m.group(1), stack[-1]
+        given = m.group(3) if m.group(3) is not None else m.group(4) or ""
+        if tag in RAW:
+            if not ends and not (top.foreign and given.endswith("/")):
+                stop = _RAW_END[tag].search(page, at)
+                at = stop.end() if stop else len(page)
+            continue
+        if top.foreign and not ends and tag in BREAKS_OUT:
+            while stack[-1].foreign:
+                drop(len(stack) - 1)
+            top = stack[-1]
+        if tag == "head":
+            if not ends:
+                heads += 1
+                stop = _HEAD_END.search(page, at) if heads > 1 and closed else None
+                closed = closed and (heads == 1 or stop is not None)
+                at = (stop or _IN_HEAD.match(page, at)).end()
             end()
             continue
         if tag == "br":
             if current is not None:
                 current.parts.append(" ")
             continue
-        inline = tag in INLINE
-        if not inline:
+        inline = tag in INLINE or top.foreign == "math"
+        if not inline and tag != "svg" and top.foreign != "svg":
             end()
-        if m.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+        if ends:
+            if not open_[tag]:
+                continue
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    drop(k)
                     break
-                if inline and stack[k][0] not in INLINE:
+                if inline and not top.foreign and stack[k].tag not in INLINE:
                     break
-            links = sum(t == "a" for t, _, _ in stack)
-        elif tag not in VOID and not m.group(4).endswith("/"):
-            ends = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P and tag != "p" else ())
-            if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
+        elif tag not in VOID and not given.endswith("/"):
+            stops = () if top.foreign else CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P and tag != "p" else ())
+            if any(open_[x] for x in stops):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in stops:
+                        drop(k)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k].tag not in INLINE:
                         break
-                links = sum(t == "a" for t, _, _ in stack)
-            names, truth = [tag], None
-            if "=" in m.group(4):
-                for key, a, b, c in _NAMES.findall(m.group(4)):
+            top = stack[-1]
+            names, truth = [tag], top.truth
+            if "=" in given:
+                for key, a, b, c in _NAMES.findall(given):
                     value = (a or b or c).lower()
                     if key.lower() == "data-truth":
                         truth = value == "1"
                     else:
                         names += ["." + n for n in _NAME.findall(value)]
-            stack.append((tag, tuple(names), truth))
-            links += tag == "a"
+            new = [n for n in names if n not in top.above and (known is None or n in known)]
+            foreign = tag if tag in ("svg", "math") else "" if tag == "foreignobject" else top.foreign
+            stack.append(_Open(tag, top.above | frozenset(new) if new else top.above, (*top.near, tag)[-2:], truth, top.links + (tag == "a"), foreign))
+            open_[tag] += 1
     if at < len(page):
         say(page[at:])
     end()
@@ -148,28 +182,28 @@ def _level(x: float, steps: tuple) -> int:
     return sum(x >= s for s in steps)
 
 
+def _marks(b: Block, place: float) -> list[str]:
+    """Marks of a block's text and place."""
+    t = b.text
+    words = t.count(" ") + 1
+    return [
+        "bias",
+        f"words:{_level(words, (3, 8, 20, 50))}",
+        f"links:{_level(b.linked / len(t), (0.01, 0.3, 0.8))}",
+        f"stop:{t[-1] in '.!?:…»”'}",
+        f"stops:{_level(sum(map(t.count, '.,;')) / words, (0.02, 0.1, 0.3))}",
+        f"sign:{t[:40].startswith(('©', '(c)')) or '©' in t[:40]}",
+        f"place:{_level(place, (0.1, 0.5, 0.9))}",
+    ]
+
+
+def _names_above(above: frozenset, near: tuple) -> list[str]:
+    return [*("in:" + x for x in sorted(above)), *(f"near{k}:{x}" for k, x in enumerate(reversed(near)))]
+
+
 def block_features(found: list[Block]) -> list[list[str]]:
     """Names above each block, the nearest ones marked, and marks of its text and place."""
-    n, out = len(found), []
-    heads = {}
-    for i, b in enumerate(found):
-        names = heads.get(b.above)
-        if names is None:
-            near = [x for x in b.above if x[0] != "."][-2:]
-            names = heads[b.above] = [*{"in:" + x for x in b.above}, *(f"near{k}:{x}" for k, x in enumerate(reversed(near)))]
-        t = b.text
-        words = t.count(" ") + 1
-        out.append([
-            *names,
-            "bias",
-            f"words:{_level(words, (3, 8, 20, 50))}",
-            f"links:{_level(b.linked / len(t), (0.01, 0.3, 0.8))}",
-            f"stop:{t[-1] in '.!?:…»”'}",
-            f"stops:{_level(sum(map(t.count, '.,;')) / words, (0.02, 0.1, 0.3))}",
-            f"sign:{t[:40].startswith(('©', '(c)')) or '©' in t[:40]}",
-            f"place:{_level(i / n, (0.1, 0.5, 0.9))}",
-        ])
-    return out
+    return [_names_above(b.above, b.near) + _marks(b, i / len(found)) for i, b in enumerate(found)]
 
 
 @dataclass
@@ -177,17 +211,28 @@ class Field:
     weights: dict[str, float]  # for the article, against the rest
     moves: tuple  # from rest or article to rest or article
 
+    @cached_property
+    def known(self) -> frozenset:
+        """Names of elements that have a weight."""
+        return frozenset(f[3:] for f in self.weights if f.startswith("in:"))
+
+    def scores(self, found: list[Block]) -> list[float]:
+        """Weight of the article's features of each block; equal names above are summed once."""
+        get, n, met, out = self.weights.get, len(found), {}, []
+        for i, b in enumerate(found):
+            head = met.get((b.above, b.near))
+            if head is None:
+                head = met[b.above, b.near] = sum([get(f, 0.0) for f in _names_above(b.above, b.near)])
+            out.append(head + sum([get(f, 0.0) for f in _marks(b, i / n)]))
+        return out
+
     def decode(self, found: list[Block]) -> list[bool]:
-        """The best sequence of labels by Viterbi."""
+        """The best sequence of labels by Viterbi; of equal ones, that with the article."""
         if not found:
             return []
-        get, m = self.weights.get, self.moves
-        rest, body, back = 0.0, sum(get(f, 0.0) for f in block_features(found[:1])[0]), []
-        for k, fs in enumerate(block_features(found)):
-            s = sum([get(f, 0.0) for f in fs])
-            if k == 0:
-                body = s
-                continue
+        scores, m = self.scores(found), self.moves
+        rest, body, back = 0.0, scores[0], []
+        for s in scores[1:]:
             r0, r1, b0, b1 = rest + m[0], body + m[2], rest + m[1], body + m[3]
             back.append((r1 > r0, b1 >= b0))
             rest, body = max(r0, r1), max(b0, b1) + s
@@ -200,33 +245,38 @@ class Field:
 
 
 def fit_field(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 40, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by adaptive gradient steps; the gradient comes from forward-backward."""
+    """Maximum likelihood by adaptive gradient steps; the gradient comes from forward-backward over all pages at once."""
+    pages = [(x, y) for x, y in pages if x]
     index: dict[str, int] = {}
-    coded = [([[index.setdefault(f, len(index)) for f in fs] for fs in x], np.array(y, int)) for x, y in pages if x]
+    size = np.array([len(x) for x, _ in pages])
+    n, width = len(pages), int(size.max())
+    flat = [[index.setdefault(f, len(index)) for f in fs] for x, _ in pages for fs in x]
+    cols, starts = np.concatenate(flat), np.cumsum([0, *map(len, flat)])[:-1]
+    rows = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    inside = np.arange(width)[None] < size[:, None]
+    y = np.zeros((n, width), int)
+    y[inside] = np.concatenate([np.array(t, int) for _, t in pages])
+    both = inside[:, 1:]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
     w, t = np.zeros(len(index)), np.zeros((2, 2))
     gw, gt = np.full(len(index), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        dw, dt = -l2 * w * len(coded), -l2 * t * len(coded)
-        for x, y in coded:
-            n = len(x)
-            e = np.zeros((n, 2))
-            e[:, 1] = [w[f].sum() for f in x]
-            a, b = np.zeros((n, 2)), np.zeros((n, 2))
-            a[0] = e[0]
-            for i in range(1, n):
-                s = a[i - 1][:, None] + t
-                a[i] = np.logaddexp(s[0], s[1]) + e[i]
-            for i in range(n - 2, -1, -1):
-                s = t + (e[i + 1] + b[i + 1])[None]
-                b[i] = np.logaddexp(s[:, 0], s[:, 1])
-            z = np.logaddexp(*a[-1])
-            p = np.exp(a[:, 1] + b[:, 1] - z)
-            for i in range(n):
-                np.add.at(dw, x[i], y[i] - p[i])
-            for i in range(1, n):
-                q = np.exp(a[i - 1][:, None] + t + (e[i] + b[i])[None] - z)
-                dt -= q
-                dt[y[i - 1], y[i]] += 1
+        e = np.zeros((n, width, 2))
+        e[inside, 1] = np.add.reduceat(w[cols], starts)
+        a, b = np.zeros((n, width, 2)), np.zeros((n, width, 2))
+        a[:, 0] = e[:, 0]
+        for i in range(1, width):
+            a[:, i] = np.logaddexp(a[:, i - 1, :1] + t[0], a[:, i - 1, 1:] + t[1]) + e[:, i]
+        for i in range(width - 2, -1, -1):
+            s = t[None] + (e[:, i + 1] + b[:, i + 1])[:, None]
+            b[:, i] = np.where(inside[:, i + 1, None], np.logaddexp(s[:, :, 0], s[:, :, 1]), 0.0)
+        last = a[np.arange(n), size - 1]
+        z = np.logaddexp(last[:, 0], last[:, 1])[:, None]
+        p = np.exp(a[:, :, 1] + b[:, :, 1] - z)
+        dw = np.bincount(cols, (y - p)[inside][rows], len(index)) - l2 * w * n
+        q = np.exp(a[:, :-1, :, None] + t[None, None] + (e + b)[:, 1:, None, :] - z[:, :, None, None])
+        dt = seen - q[both].sum(0) - l2 * t * n
         gw += dw * dw
         gt += dt * dt
         w += 0.5 * dw / np.sqrt(gw)
@@ -234,7 +284,7 @@ def fit_field(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 40,
     return Field({f: float(w[i]) for f, i in index.items()}, tuple(t.ravel().tolist()))
 
 
-def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 320, seed: int = 7) -> list[str]:
     """Pages of many layouts; ``data-truth`` on an element says whether the text in it is the article's."""
     rng = random.Random(seed)
 
@@ -255,6 +305,8 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
 
     def para():
         text = say(*rng.choice(((1, 3), (4, 20), (8, 60), (8, 60))), rng.choice((".", ".", ".", "", "!", " |")))
+        if rng.random() < 0.05:
+            text += f" <math><mi>{word()}</mi><mo>=</mo><mn>2</mn></math> " + say(2, 9)
         if rng.random() < 0.3:
             text += f" <a href='#'>{say(1, 4, '')}</a> " + say(3, 12)
         if rng.random() < 0.2:
@@ -288,6 +340,11 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
     def notice():
         return box(0, say(4, 25) + " <button>OK</button>", ("div", "cookie|cookie-banner|notice|consent|popup|modal|alert|gdpr|overlay|subscribe|paywall"))
 
+    def fallback():
+        tag = rng.choice(("noscript", "object", "canvas", "video", "audio", "template", "datalist", "map"))
+        inner = say(2, 12) if rng.random() < 0.7 else f"<p>{say(2, 9)} <a href=x>{say(1, 3, '')}</a></p>"
+        return f'<{tag} data-truth="0">{inner}</{tag}>'
+
     def form():
         return f'<form data-truth="0"><label>{say(1, 3, "")}</label><input><select><option>{say(1, 2, "")}<option>{say(1, 2, "")}</select><textarea>{say(2, 6)}</textarea><button>{say(1, 2, "")}</button></form>'
 
@@ -303,16 +360,16 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
         inner = f"<h1>{say(2, 10, '')}</h1>" + "".join(piece() for _ in range(rng.randint(1, 14)))
         if rng.random() < 0.3:
             cut = inner.rfind("<p>")
-            inner = inner[:cut] + rng.choice([ad, form, aside])() + inner[cut:] if cut > 0 else inner
+            inner = inner[:cut] + rng.choice([ad, form, aside, fallback])() + inner[cut:] if cut > 0 else inner
         body = box(1, inner + (comments() if rng.random() < 0.15 else ""), ("article", "|post|entry|story"), ("article", ""), ("main", "|content|main"), ("div", "content|post|article|entry-content|article-body|post-body|story|main|text"), ("section", "article|post|content"))
         if rng.random() < 0.3:
             body = f"<main>{body}</main>" if rng.random() < 0.5 else f'<div id="wrapper">{body}</div>'
         top = [nav()] if rng.random() < 0.9 else []
         if rng.random() < 0.4:
             top.append(box(0, f"<h2>{say(1, 3, '')}</h2><p>{say(2, 8)}</p>", ("header", "|masthead|site-header"), ("div", "header|masthead|logo")))
-        top += [x() for x in (ad, notice, aside, form) if rng.random() < 0.35]
+        top += [x() for x in (ad, notice, aside, form, fallback) if rng.random() < 0.35]
         rng.shuffle(top)
-        end = [x() for x in (comments, aside, ad, form, notice) if rng.random() < 0.35] + ([footer()] if rng.random() < 0.9 else [])
+        end = [x() for x in (comments, aside, ad, form, notice, fallback) if rng.random() < 0.35] + ([footer()] if rng.random() < 0.9 else [])
         pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(top) + "<!-- x -->" + body + "".join(end) + "</body></html>")
     return pages
 
@@ -329,15 +386,18 @@ def trained() -> Field:
 
 def extract(page: str | None, model: Field | None = None) -> str:
     """Article text of a page: its blocks in page order, joined by one space; empty if there are none."""
-    found = blocks(page or "")
-    return " ".join(b.text for b, y in zip(found, (model or trained()).decode(found)) if y)
+    model = model or trained()
+    found = blocks(page or "", model.known)
+    return " ".join(b.text for b, y in zip(found, model.decode(found)) if y)
 
 
 def extract_pages(pages: DataFrame, model: Field | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages``.
 
     Null, empty and textless pages have an empty text. Broken and truncated markup is read as far as it
-    goes. Rows may repeat and ids be null; other columns play no part.
+    goes, and the time grows with a page's length however deep its elements lie. Where two labellings of a
+    page are equally good, the one with more of the article's blocks is taken. Rows may repeat and ids be
+    null; an empty table gives no rows; other columns play no part.
     """
     ship(pages.sparkSession)
     model = model or trained()

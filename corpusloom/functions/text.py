@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MASK, EXCERPT = "#", 160
-# What counts as personal data, in order of precedence.
+# What counts as personal data, in order of precedence. Digits, spaces and word ends are Unicode's: (?U).
 PII = (
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
-    ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[\s.\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\s.\-][0-9]{3}[\s.\-][0-9]{4}(?![0-9])"),
-    ("handle", r"(?<![A-Za-z0-9._%+\-])@[A-Za-z0-9_]{2,30}\b"),
-    ("digit_run", r"(?<![0-9])[0-9]{8,}(?![0-9])"),
+    ("phone", r"(?U)(?<!\d)(?:\+\d{1,3}[\s.\-]?)?(?:\(\d{3}\)|\d{3})[\s.\-]\d{3}[\s.\-]\d{4}(?!\d)"),
+    ("handle", r"(?U)(?<![A-Za-z0-9._%+\-])@[A-Za-z0-9_]{2,30}\b"),
+    ("digit_run", r"(?U)(?<!\d)\d{8,}(?!\d)"),
 )
 SPACES = r"(?U)\s+"
 
@@ -120,7 +120,7 @@ def pii_spans(text: Column) -> Column:
         clash = F.exists(acc, lambda x: (x["start"] < m["stop"]) & (m["start"] < x["stop"]))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["kind"].alias("kind")))))
 
-    return F.when(text.rlike(r"@|[0-9]{4}"), F.array_sort(F.aggregate(order, none, pick))).otherwise(none)
+    return F.when(text.rlike(r"(?U)@|\d{4}"), F.array_sort(F.aggregate(order, none, pick))).otherwise(none)
 
 
 def masked(text: Column, spans: Column) -> Column:

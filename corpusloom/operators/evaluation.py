@@ -169,3 +169,73 @@ def failure_ledger(df: DataFrame, categories: dict[str, Column], key: str) -> Da
 def failure_ids(df: DataFrame, categories: dict[str, Column], key: str) -> DataFrame:
     """(category, key): a row for each failure."""
     return df.select(F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in categories.items()]))).alias("category"), key)
+
+
+def prefilter_recall(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row (hits, total, recall) over gold documents that should pass and have a prediction of state ok. gold: doc_id, should_pass; predictions: doc_id, technical_state, passed."""
+    m = gold.where("should_pass").join(predictions.where("technical_state = 'ok'"), "doc_id")
+    return m.agg(F.count_if("passed").alias("hits"), F.count("*").alias("total")).withColumn("recall", F.try_divide("hits", "total"))
+
+
+def unsupported_inference(values: DataFrame) -> DataFrame:
+    """(field, unsupported, total, rate): the share of non-empty predicted values that no valid span supports or that gold contradicts.
+
+    values: field, predicted (array), gold (array; null: the field has no reference), multi (several labels), supported. A
+    supported value without a reference is not scored: its field has a null rate if nothing else of it is. Only labels beyond
+    the gold ones contradict a field of several labels; a missing one does not. The row ``overall`` sums all fields.
+    """
+    said = values.where(F.coalesce(F.size(F.filter("predicted", lambda v: v.isNotNull() & (v != ""))) > 0, F.lit(False)))
+    wrong = F.when(F.col("multi"), F.size(F.array_except("predicted", "gold")) > 0).otherwise(~F.col("predicted").eqNullSafe(F.col("gold")))
+    scored = ~F.col("supported") | F.col("gold").isNotNull()
+    bad = ~F.col("supported") | F.coalesce(wrong, F.lit(False))
+    got = said.select("field", scored.alias("scored"), (scored & bad).alias("bad"))
+    agg = [F.count_if("bad").alias("unsupported"), F.count_if("scored").alias("total")]
+    both = got.groupBy("field").agg(*agg).unionByName(got.agg(*agg).withColumn("field", F.lit("overall")))
+    return both.select("field", "unsupported", "total", F.try_divide("unsupported", "total").alias("rate"))
+
+
+def labeler_pairs(labels: DataFrame) -> DataFrame:
+    """(doc_id, left_scope, right_scope) of two labelers of a document. labels: doc_id, pos, labeler, scope; blank ones do not count."""
+    good = labels.where("labeler <> '' and scope <> ''")
+    a, b = (good.select("doc_id", *[F.col(c).alias(f"{side}_{c}") for c in ("pos", "labeler", "scope")]) for side in ("left", "right"))
+    return a.join(b, "doc_id").where("left_pos < right_pos and left_labeler <> right_labeler").select("doc_id", "left_scope", "right_scope")
+
+
+def gold_quote_failures(gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row (n_quotes, failures): gold quotes that do not stand in their document's text; documents without text are left out. gold: doc_id, quotes."""
+    q = gold.select("doc_id", F.explode("quotes").alias("quote")).join(texts.where("text is not null"), "doc_id")
+    return q.agg(F.count("*").alias("n_quotes"), F.count_if(~F.contains("text", "quote") | (F.col("quote") == "")).alias("failures"))
+
+
+# Categories of what went wrong with a document, in order.
+DOCUMENT_FAILURES = ("prefilter_drop", "relevance_false_positive", "relevance_false_negative", "scope_boundary")
+EXTRACTION_FAILURES = ("schema_rejected", "evidence_failed", "empty_extraction", "other_failure")
+
+
+def document_failures(gold: DataFrame, predictions: DataFrame, relevant: tuple = ("core", "adjacent")) -> DataFrame:
+    """(category, doc_id) of judged documents. gold: doc_id, scope_class, should_pass; predictions: doc_id, technical_state, passed, scope_class."""
+    p = predictions.where("technical_state = 'ok'").select("doc_id", F.coalesce("passed", F.lit(False)).alias("passed"), F.col("scope_class").alias("found"))
+    m = gold.join(p, "doc_id")
+    is_, said = F.coalesce(F.col("scope_class").isin(*relevant), F.lit(False)), F.col("passed") & F.coalesce(F.col("found").isin(*relevant), F.lit(False))
+    return failure_ids(m, {"prefilter_drop": F.col("should_pass") & ~F.col("passed"), "relevance_false_positive": said & ~is_, "relevance_false_negative": is_ & ~said, "scope_boundary": is_ & said & (F.col("scope_class") != F.col("found"))}, "doc_id")
+
+
+def extraction_failures(events: DataFrame) -> DataFrame:
+    """(category, target_id) of extraction events. events: target_id, stage, status, reason_code, case_count, skip_cause, error_code, output_state; skipped ones do not count."""
+    e = events.where("(stage is null or stage = 'extract') and not coalesce(status = 'skipped', false) and not coalesce(skip_cause = 'out_of_scope', false)")
+    empty, failed = F.coalesce((F.col("status") == "succeeded") & (F.col("case_count") == 0), F.lit(False)), F.coalesce(F.col("status") == "failed", F.lit(False))
+    schema = failed & F.coalesce((F.col("error_code") == "json_validate_failed"), F.lit(False)) | failed & F.coalesce(F.col("output_state") == "invalid", F.lit(False))
+    proof = failed & ~schema & F.coalesce(F.col("reason_code") == "evidence_validation_failed", F.lit(False))
+    return failure_ids(e, {"schema_rejected": schema, "evidence_failed": proof, "empty_extraction": empty, "other_failure": failed & ~schema & ~proof}, "target_id")
+
+
+def unmatched(cases: DataFrame, matches: DataFrame, key: str) -> DataFrame:
+    """Cases that no match names."""
+    return cases.join(matches.select(key).distinct(), key, "left_anti")
+
+
+def coverage(gold: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: gold and found cases, matched ones, those left over on each side, and the share of gold cases matched."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    got = n(gold, "gold_cases").join(F.broadcast(n(found, "model_cases"))).join(F.broadcast(n(matches, "matched_cases")))  # one row each
+    return got.select("gold_cases", "model_cases", "matched_cases", (F.col("gold_cases") - F.col("matched_cases")).alias("unmatched_gold_cases"), (F.col("model_cases") - F.col("matched_cases")).alias("unmatched_model_cases"), F.try_divide("matched_cases", "gold_cases").alias("gold_case_coverage"))

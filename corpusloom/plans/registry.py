@@ -69,7 +69,7 @@ j AS (SELECT pairs.*, a.source AS ls, b.source AS rs, a.n_tokens AS ln, b.n_toke
 k AS (SELECT doc_id, canonical_doc_id, method, distance,
  CASE WHEN quoted AND NOT eq THEN 'quoted_repeat' WHEN ls <> rs THEN 'cross_post' WHEN eq THEN 'exact_text' ELSE 'near' END AS duplicate_kind,
  CASE WHEN quoted THEN 'quoted_repeat_ambiguous' WHEN ln < 25 OR rn < 25 THEN 'short_text_below_dedupe_minimum' WHEN ls <> rs THEN 'low_confidence' WHEN NOT eq AND distance BETWEEN 4 AND 6 THEN 'near_duplicate_in_review_band' END AS reason FROM j),
-links AS (SELECT *, substr(sha1(doc_id || '|' || canonical_doc_id || '|' || method), 1, 16) AS link_id, CASE WHEN reason IS NULL THEN 'auto_confirmed' ELSE 'pending_review' END AS review_state FROM k)"""
+links AS (SELECT *, substr(sha1(doc_id || '|' || canonical_doc_id || '|' || method), 1, 12) AS link_id, CASE WHEN reason IS NULL THEN 'auto_confirmed' ELSE 'pending_review' END AS review_state FROM k)"""
 
 
 def _links(t) -> DataFrame:
@@ -104,7 +104,7 @@ def email_counts(t):
     return d.where("n_emails > 0")
 
 
-@query("SELECT doc_id, substr(sha1(coalesce(source, '') || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(lang, '')), 1, 16) AS short_id, sha256(text) AS raw_text_sha256, substr(sha1(doc_id || '|' || lang), 1, 10) AS fingerprint, doc_id || '#c' || lpad(CAST(doc_id % 90 AS VARCHAR), 2, '0') AS case_id FROM documents")
+@query("SELECT doc_id, substr(sha1(coalesce(source, '') || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(lang, '')), 1, 12) AS short_id, sha256(text) AS raw_text_sha256, substr(sha1(doc_id || '|' || lang), 1, 10) AS fingerprint, doc_id || '#c' || lpad(CAST(doc_id % 90 AS VARCHAR), 2, '0') AS case_id FROM documents")
 def content_ids(t):
     return t("documents").select("doc_id", ids.short_id(F.col("source"), F.col("doc_id"), F.col("lang")).alias("short_id"), text.raw_hash(F.col("text")).alias("raw_text_sha256"), ids.fingerprint(F.col("doc_id"), F.col("lang")).alias("fingerprint"), ids.ordered_case_id(F.col("doc_id").cast("string"), F.col("doc_id") % 90).alias("case_id"))
 
@@ -172,7 +172,7 @@ def links_per_document(t):
     return dedupe.links_per_document(t("documents"), _links(t))
 
 
-@query(f"WITH {_LINKS} SELECT substr(sha1('review|' || link_id || '|' || reason), 1, 16) AS item_id, 'duplicate_link' AS target_type, link_id AS target_id, reason AS reason_code, CASE WHEN reason IN ('near_duplicate_in_review_band', 'quoted_repeat_ambiguous') THEN 1 WHEN reason IN ('different_authors_identical_text', 'short_text_below_dedupe_minimum') THEN 2 ELSE 3 END AS priority, 'open' AS state FROM links WHERE review_state = 'pending_review'")
+@query(f"WITH {_LINKS} SELECT substr(sha1('review|' || link_id || '|' || reason), 1, 12) AS item_id, 'duplicate_link' AS target_type, link_id AS target_id, reason AS reason_code, CASE WHEN reason IN ('near_duplicate_in_review_band', 'quoted_repeat_ambiguous') THEN 1 WHEN reason IN ('different_authors_identical_text', 'short_text_below_dedupe_minimum') THEN 2 ELSE 3 END AS priority, 'open' AS state FROM links WHERE review_state = 'pending_review'")
 def review_queue(t):
     return dedupe.open_items(_links(t))
 
@@ -432,7 +432,7 @@ def leak_scan(t):
 @query(r"""
 SELECT 'text' AS "column", kind, count(*) AS n FROM documents JOIN (VALUES
 ('email', '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'),
-('phone', '(^|[^0-9])(\+[0-9]{1,3}[\s\x0b.\-]?)?(\([0-9]{3}\)|[0-9]{3})[\s\x0b.\-][0-9]{3}[\s\x0b.\-][0-9]{4}($|[^0-9])'),
+('phone', '(^|[^\p{Nd}])(\+\p{Nd}{1,3}[\s\x0b\x{85}\p{Z}.\-]?)?(\(\p{Nd}{3}\)|\p{Nd}{3})[\s\x0b\x{85}\p{Z}.\-]\p{Nd}{3}[\s\x0b\x{85}\p{Z}.\-]\p{Nd}{4}($|[^\p{Nd}])'),
 ('secret', '(?i)\b(api[_-]?key|secret|password|token)[\s\x0b]*[=:][\s\x0b]*[^\s\x0b]')) k(kind, pattern) ON regexp_matches(text, pattern) GROUP BY kind""")
 def leak_scan_kinds(t):
     """Documents that still show an e-mail address, a phone number or a secret, by kind."""

@@ -51,22 +51,32 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _context(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    uri = p.getFileSystem(conf).getUri()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf)
+
+
 def publish_snapshot(df: DataFrame, root: str, key: str) -> tuple[str, bool]:
     """Write a version named by its content, then swap the pointer. (version, changed): equal content changes nothing."""
     spark = df.sparkSession
     version = artifact_hash(df, key).first()[0][:12]
     if current_version(spark, root) == version:
         return version, False
-    fs, at = _fs(spark, f"{root}/versions/{version}")
-    if not fs.exists(at):
-        write_json_lines(df, f"{root}/versions/{version}", key)
+    fs, done = _fs(spark, f"{root}/versions/{version}/_SUCCESS")
+    if not fs.exists(done):  # a folder without the mark is what a writer left half done
+        write_json_lines(df, f"{root}/versions/{version}", key, "overwrite")
     staged, pointer = f"{root}/.pointer-{uuid.uuid4().hex}", f"{root}/CURRENT"
     out = fs.create(_fs(spark, staged)[1], True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(_fs(spark, pointer)[1], False)
-    if not fs.rename(_fs(spark, staged)[1], _fs(spark, pointer)[1]):
-        raise RuntimeError("the pointer was not swapped")
+    # One rename that takes the old pointer's place: readers find one of the two, at every moment.
+    context, jvm = _context(spark, root), spark.sparkContext._jvm
+    mode = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(mode, 1)
+    options[0] = mode.OVERWRITE
+    context.rename(_fs(spark, staged)[1], _fs(spark, pointer)[1], options)
     return version, True
 
 

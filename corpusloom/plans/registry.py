@@ -118,7 +118,13 @@ def url_keys(t):
     return t("pages").select("page_id", urls.url_key(F.col("url")).alias("url_key"), urls.canonical_url(F.col("url")).alias("canonical_url"))
 
 
-@query()
+_WHOLE = "CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END"
+
+
+@query(f"""
+WITH r AS (SELECT sha256('{{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || {_WHOLE} || '}}') AS h FROM orders),
+a AS (SELECT h, h || '*' || count(*) AS v FROM r GROUP BY h), b AS (SELECT substr(h, 1, 6) AS h, substr(h, 1, 6) || '=' || sha256(string_agg(v, ',' ORDER BY v)) AS v FROM a GROUP BY substr(h, 1, 6)), c AS (SELECT substr(h, 1, 3) AS h, substr(h, 1, 3) || '=' || sha256(string_agg(v, ',' ORDER BY v)) AS v FROM b GROUP BY substr(h, 1, 3))
+SELECT sha256(string_agg(v, ',' ORDER BY v)) AS artifact_hash FROM c""")
 def artifact_hash_orders(t):
     """Order-free hash of a whole table; a test shows that order and volatile columns do not matter."""
     return ids.artifact_hash(t("orders"), "o_orderkey")
@@ -395,31 +401,35 @@ def top_per_source(t):
 
 
 def _quotes(t) -> DataFrame:
-    """From each document a quote of its ninth to fortieth character; claimed offsets are right, shifted or missing."""
-    d = t("documents").where("length(text) >= 60").select("doc_id", F.col("text").alias("raw_text"), F.substring("text", 9, 32).alias("quote"))
-    shift = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 5)
-    return d.withColumns({"start": (F.lit(8) + shift).cast("int"), "stop": (F.lit(40) + shift).cast("int")})
+    """From each document a quote of 32 characters from its first third on; claimed offsets are right, shifted or missing. Short, empty and null texts take part."""
+    at = F.floor(F.length("text") / 3).cast("int")
+    d = t("documents").select("doc_id", F.col("text").alias("raw_text"), F.substring("text", at + 1, F.lit(32)).alias("quote"), (at + F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 5)).alias("start"))
+    return d.withColumn("stop", F.col("start") + F.length("quote"))
 
 
-@query("""
-WITH q AS (SELECT doc_id, text, substr(text, 9, 32) AS quote, CASE doc_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 13 END AS start FROM documents WHERE length(text) >= 60),
-h AS (SELECT *, start IS NOT NULL AND substr(text, start + 1, 32) = quote AS exact, list_filter(range(0, length(text) - 31), lambda i: substr(text, i + 1, 32) = quote) AS hits FROM q)
-SELECT doc_id, CASE WHEN exact THEN 'exact' WHEN len(hits) = 1 THEN 'unique' WHEN start IS NOT NULL THEN 'nearest' ELSE 'ambiguous' END AS rung, CAST(CASE WHEN exact THEN start WHEN len(hits) = 1 THEN hits[1] WHEN start IS NOT NULL THEN list_sort(list_transform(hits, lambda x: {'d': abs(x - start), 'at': x}))[1].at END AS INTEGER) AS final_start FROM h""")
+_QUOTED = "q AS (SELECT doc_id, text, substr(text, length(text) // 3 + 1, 32) AS quote, CASE doc_id % 3 WHEN 0 THEN length(text) // 3 WHEN 1 THEN length(text) // 3 + 5 END AS start FROM documents)"
+
+
+@query(f"""
+WITH {_QUOTED}, h AS (SELECT *, coalesce(quote <> '' AND substr(text, start + 1, length(quote)) = quote, false) AS exact, CASE WHEN quote <> '' THEN list_filter(range(0, length(text) - length(quote) + 1), lambda i: substr(text, i + 1, length(quote)) = quote) ELSE [] END AS hits FROM q)
+SELECT doc_id, CASE WHEN exact THEN 'exact' WHEN len(hits) = 0 THEN 'not_found' WHEN len(hits) = 1 THEN 'unique' WHEN start IS NOT NULL THEN 'nearest' ELSE 'ambiguous' END AS rung, CAST(CASE WHEN exact THEN start WHEN len(hits) = 1 THEN hits[1] WHEN start IS NOT NULL THEN list_sort(list_transform(hits, lambda x: {{'d': abs(x - start), 'at': x}}))[1].at END AS INTEGER) AS final_start FROM h""")
 def evidence_ladder(t):
     q = _quotes(t).withColumn("redaction_spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)"))
     return evidence.ladder(q).select("doc_id", "rung", "final_start")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 3 <> 0 AND NOT (doc_id % 3 = 1 AND substr(text, 14, 32) = substr(text, 9, 32))) AS failures FROM documents WHERE length(text) >= 60")
+@query(f"WITH {_QUOTED} SELECT count(*) AS n, count(*) FILTER (WHERE NOT coalesce(substr(text, start + 1, length(quote)) = quote, false)) AS failures FROM q")
 def verbatim_failures(t):
     return evidence.verbatim_failures(_quotes(t).withColumn("text", F.col("raw_text")).withColumn("validation_state", F.lit("valid")))
 
 
-@query("SELECT doc_id, substr(text, 1, 200) AS excerpt, 8 AS first_start FROM documents WHERE length(text) >= 60")
+@query("WITH q AS (SELECT doc_id, text, length(text) // 3 AS s, length(text) // 3 + length(substr(text, length(text) // 3 + 1, 32)) AS e FROM documents) SELECT doc_id, substr(text, greatest(0, s - 160) + 1, least(length(text), e + 160) - greatest(0, s - 160)) AS excerpt, CAST(s - greatest(0, s - 160) AS INTEGER) AS first_start FROM q")
 def export_cards(t):
+    """The text around a quote from within each document, with the quote's place in it."""
     q = _quotes(t)
-    got = extraction.cards(q.select("doc_id", F.col("raw_text").alias("raw_text_audit")), q.select("doc_id", F.lit(8).alias("start"), F.lit(40).alias("stop"), "quote"))
-    return got.select("doc_id", "excerpt", F.col("spans")[0]["start"].alias("first_start"))
+    at = F.floor(F.length("raw_text") / 3).cast("int")
+    got = extraction.cards(q.select("doc_id", F.col("raw_text").alias("raw_text_audit")), q.select("doc_id", at.alias("start"), (at + F.length("quote")).alias("stop"), "quote"))
+    return got.select("doc_id", "excerpt", F.get("spans", F.lit(0))["start"].alias("first_start"))
 
 
 @query(r"SELECT 'text' AS \"column\", 'email' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') HAVING count(*) > 0".replace('\\"', '"'))
@@ -518,9 +528,13 @@ def failure_ledger(t):
     return evaluation.failure_ledger(t("customer"), {"negative": F.col("c_acctbal") < 0, "large": F.col("c_acctbal") > 9000, "none": F.lit(False)}, "c_custkey")
 
 
-@query("WITH g AS (SELECT * FROM (VALUES ('prefilter_recall', 0.9), ('precision', 0.85), ('recall', 0.8)) v(gate, threshold)), r AS (SELECT avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS recall FROM labels) SELECT gate, CASE gate WHEN 'prefilter_recall' THEN 0.95 WHEN 'recall' THEN recall END AS value, CAST(threshold AS DOUBLE) AS threshold, CASE gate WHEN 'prefilter_recall' THEN 0.95 WHEN 'recall' THEN recall END >= threshold AS passed FROM g, r")
+@query(f"WITH {_SCORED}, g AS (SELECT * FROM (VALUES ('prefilter_recall', 0.9), ('precision', 0.85), ('recall', 0.8)) v(gate, threshold)), r AS (SELECT avg(CASE WHEN pred IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE gold) AS prefilter_recall, count_if(gold AND pred) / nullif(count_if(pred), 0) AS precision, count_if(gold AND pred) / nullif(count_if(gold AND NOT coalesce(pred, true)) + count_if(gold AND pred), 0) AS recall FROM s), x AS (SELECT gate, CASE gate WHEN 'prefilter_recall' THEN prefilter_recall WHEN 'precision' THEN precision ELSE recall END AS value, CAST(threshold AS DOUBLE) AS threshold FROM g, r) SELECT gate, value, threshold, value >= threshold AS passed FROM x")
 def quality_gates(t):
-    report = t("labels").agg(F.avg((F.col("quality") == 1).cast("int")).alias("recall"), F.lit(0.95).alias("prefilter_recall"), F.lit(None).cast("double").alias("precision"))
+    """Measured rates against their thresholds; texts without a prediction stand for those that the prefilter dropped."""
+    s = _scored(t)
+    counts = evaluation.binary_counts(s, F.col("gold"), F.col("pred")).select("precision", "recall")
+    passed = s.where("gold").agg(F.avg(F.col("pred").isNotNull().cast("int")).alias("prefilter_recall"))
+    report = passed.join(F.broadcast(counts))  # one row each
     return evaluation.gates(report).withColumn("threshold", F.col("threshold").cast("double"))
 
 

@@ -16,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, read_table, ship, spread
-from .pieces import portions
+from .common import checked_broadcast, read_table, ship, spread, text_key
+from .words import portions
 
 ORDERS = (1, 2, 3)
-#: Training rows per language, languages learned (the most frequent), landmarks; longer texts are landmarks only
-#: where a language has no others, so the landmark n-grams stay few.
-PER_LANGUAGE, LANGUAGES, LANDMARKS, LANDMARK_CHARS = 150, 64, 96, 20_000
+#: Training rows per language, and of all languages together, which share them evenly where there are many (one row
+#: each at least); landmarks, one per language at least. Longer texts are landmarks only where a language has no
+#: others, so the landmark n-grams stay few.
+PER_LANGUAGE, TRAIN_ROWS, LANDMARKS, LANDMARK_CHARS = 150, 9_600, 96, 20_000
 RIDGE, TABLE_BITS = 1e-3, 20
 UNKNOWN = "und"
+#: Code of the blank alone, which all texts have.
+BLANK = np.uint64(1 << 20 | 32)
 _LETTER: list[np.ndarray] = []
 
 
@@ -56,12 +59,43 @@ def _grams(codes: np.ndarray, rows: np.ndarray):
         yield gram[inside], rows[:size][inside]
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = grams * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_table(grams: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Slot -> place in ``grams`` (distinct), or -1; one whose slot is taken goes to the next free one."""
+    bits = bits or max(TABLE_BITS, (4 * len(grams)).bit_length())
+    table = np.full(1 << bits, -1, np.int32)
+    left, slot = np.arange(len(grams)), _slots(grams, bits)
+    while len(left):
+        free = np.flatnonzero(table[slot] < 0)
+        _, first = np.unique(slot[free], return_index=True)
+        table[slot[free[first]]] = left[free[first]]
+        rest = table[slot] != left
+        left, slot = left[rest], (slot[rest] + 1) & (len(table) - 1)
+    return table
+
+
+def find_grams(table: np.ndarray, grams: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are in the table (their positions), and their places in ``grams``."""
+    slot = _slots(wanted, len(table).bit_length() - 1)
+    at = np.arange(len(wanted))
+    out_at, out = [], []
+    while True:
+        col = table[slot]
+        met = col >= 0  # an empty slot ends the search
+        at, slot, col = at[met], slot[met], col[met]
+        same = grams[col] == wanted[at]
+        out_at.append(at[same])
+        out.append(col[same])
+        if same.all():
+            return np.concatenate(out_at), np.concatenate(out)
+        at, slot = at[~same], (slot[~same] + 1) & (len(table) - 1)
 
 
 @dataclass
@@ -80,24 +114,25 @@ class Model:
         found = np.zeros((len(texts), width), np.float32)
         flat = found.reshape(-1)
         for gram, row in _grams(codes, rows):
-            col = self.table[_slots(gram)]
-            ok = col >= 0
-            col, gram, row = col[ok], gram[ok], row[ok]
-            ok = self.grams[col] == gram
-            flat[row[ok] * width + col[ok]] = 1
+            at, col = find_grams(self.table, self.grams, gram)
+            flat[row[at] * width + col] = 1
         return found, letters
 
     def kernel(self, found: np.ndarray) -> np.ndarray:
         return found @ self.presence.T / np.sqrt(np.maximum(found.sum(1), 1))[:, None] / self.sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (0 to 1) of each whole text; ``und`` and 0 without a letter."""
+        """Language and score (0 to 1) of each whole text; ``und`` and 0 without a letter. Of equal margins, the first language."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The same, and whether the text has any n-gram but the blank in common with a landmark: else the kernel says nothing."""
         found, letters = self.present(texts)
         k = self.kernel(found)
         margins = np.hstack([k, np.ones((len(k), 1), np.float32)]) @ self.weights
         best = margins.argmax(1)
         score = np.clip((margins[np.arange(len(best)), best] + 1) / 2, 0, 1)
-        return [self.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist())], np.where(letters > 0, score, 0.0).astype(float)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist())], np.where(letters > 0, score, 0.0).astype(float), found[:, self.grams != BLANK].any(1)
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -112,15 +147,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     pairs = [np.unique(np.stack([g, r.astype(np.uint64)]), axis=1) for g, r in _grams(codes, rows)]
     gram, row = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]).astype(int)
     grams = np.unique(gram)
-    _, first = np.unique(_slots(grams), return_index=True)  # of n-grams that meet in a slot the first stays
-    grams = grams[np.sort(first)]
-    table = np.full(1 << TABLE_BITS, -1, np.int32)
-    table[_slots(grams)] = np.arange(len(grams))
-    col = np.searchsorted(grams, gram)
-    ok = (col < len(grams)) & (grams[np.minimum(col, len(grams) - 1)] == gram)
     presence = np.zeros((len(chosen), len(grams)), np.float32)
-    presence[row[ok], col[ok]] = 1
-    model = Model(names, grams, table, presence, np.sqrt(np.maximum(presence.sum(1), 1)), np.zeros((0, 0)))
+    presence[row, np.searchsorted(grams, gram)] = 1
+    model = Model(names, grams, gram_table(grams), presence, np.sqrt(np.maximum(presence.sum(1), 1)), np.zeros((0, 0)))
     values, vectors = np.linalg.eigh(model.kernel(presence).astype(float))
     keep = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -137,19 +166,22 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on a sample: of each of the ``LANGUAGES`` most frequent labels the ``per_language`` rows of smallest id hash
-    that are not held out and have a letter. Only their ids are ranked; at most LANGUAGES * per_language texts reach
-    the driver. None if there is no such row."""
+    """Fit on a sample: of each label the rows of smallest id hash that are not held out and have a letter,
+    ``per_language`` of them, or an even share of ``TRAIN_ROWS`` where labels are many (one at least). Only their ids
+    are ranked; so many texts reach the driver. Of rows that share an id and label, that of smallest text key counts,
+    so training can be repeated. Null texts, labels and ids take no part. None if no row is left.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     mark = F.xxhash64("doc_id")
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not common:
+    found = rows.agg(F.count_distinct("lang")).first()[0]
+    if not found:
         return None
+    per_language = max(1, min(per_language, TRAIN_ROWS // found))
     # A first share by hash range keeps the ranking small; all rows take part where that share is short of rows.
-    ranked = rows.where(F.col("lang").isin(common)).select("lang", "doc_id", mark.alias("mark"))
+    ranked = rows.select("lang", "doc_id", mark.alias("mark"))
     chosen = ranked.withColumn("lot", F.pmod("mark", F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "lot").orderBy("mark", "doc_id"))).where(F.col("r") <= per_language)
     chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
-    sample = rows.join(checked_broadcast(chosen, LANGUAGES * per_language), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").collect()
+    sample = rows.join(checked_broadcast(chosen, found * per_language), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(text_key(F.col("text")), "text")).alias("text")).orderBy("doc_id", "lang").collect()
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 
@@ -157,7 +189,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """(doc_id, lang_pred, score), a row for each row of ``docs``.
 
     Null, empty and letterless texts, and all texts without a model, are ``und`` with score 0. Rows may
-    repeat and ids be null; other columns play no part.
+    repeat and ids be null; an empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -177,8 +209,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose whole text has a language, with all their columns; the rest (``und``) go."""
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", languages: set[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` whose whole text is identified, with all their columns.
+
+    A text goes if it is null, empty or has no letter, or if it shares no n-gram with any landmark, so that the
+    kernel holds nothing for or against a language (an unknown script). With ``languages``, one predicted to be
+    of another language goes too. Without a model, having a letter decides. Repeated rows all stay or all go; an
+    empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
@@ -191,7 +229,11 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             keep: list[bool] = []
             for part, _ in portions(batch.column(at), 500_000, most):
                 texts = part.to_pylist()
-                keep += [x != UNKNOWN for x in (m.predict(texts)[0] if m else [UNKNOWN] * len(texts))]
+                if m is None:
+                    keep += (_codes(texts)[2] > 0).tolist()
+                else:
+                    langs, _, held_against = m.judge(texts)
+                    keep += [x != UNKNOWN and k and (languages is None or x in languages) for x, k in zip(langs, held_against.tolist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -47,6 +47,78 @@ def test_kernel_is_shared_grams():
         assert np.allclose(k, want, atol=1e-6)
 
 
+def test_a_table_that_is_nearly_full_loses_no_gram():
+    rng = np.random.default_rng(1)
+    grams = np.unique(rng.integers(0, 1 << 60, 900).astype(np.uint64))
+    table = M.gram_table(grams, 10)
+    wanted = np.concatenate([grams[::-1], rng.integers(0, 1 << 60, 500).astype(np.uint64), grams[:5]])
+    at, col = M.find_grams(table, grams, wanted)
+    place = {g: i for i, g in enumerate(grams.tolist())}
+    assert dict(zip(at.tolist(), col.tolist())) == {i: place[g] for i, g in enumerate(wanted.tolist()) if g in place}
+    assert all(len(x) == 0 for x in M.find_grams(M.gram_table(grams[:0]), grams[:0], wanted))
+
+
+def test_every_language_is_learned(spark):
+    """More labels than any fixed number of classes: each gets its share of the rows."""
+    names = [f"l{i:03d}" for i in range(90)]
+    word = {n: "".join(chr(0x4E00 + 7 * i + k) for k in range(4)) for i, n in enumerate(names)}
+    rows = [(k * 90 + i, word[n] * 3, n) for k in range(9) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = M.train(df)
+    assert model.langs == names
+    got = {r.doc_id: r.lang_pred for r in M.identify(df, model).collect()}
+    assert all(got[i] == n for i, _, n in rows)
+
+
+def test_nystroem_and_ridge_equal_plain_algebra():
+    """Features K W^-1/2, one ridge regression per language, and the margins, by their definitions."""
+    rng = random.Random(9)
+    texts, langs = zip(*[(say(rng, x, rng.randint(3, 30)), x) for x in ["aa", "bb", "cc"] * 12])
+    m = M.fit(list(texts), list(langs), landmarks=9)
+    by = {n: [t for t, x in zip(texts, langs) if x == n] for n in sorted(set(langs))}
+    marks = [by[n][k] for k in range(3) for n in by]
+
+    def grams(t):
+        t = " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
+        return {t[i : i + n] for n in M.ORDERS for i in range(len(t) - n + 1)}
+
+    known = set().union(*map(grams, marks))
+
+    def kernel(a, b):
+        x, y = grams(a) & known, grams(b)
+        return len(x & y) / np.sqrt(max(1, len(x))) / np.sqrt(len(y))
+
+    w = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(w)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] @ np.diag(values[keep] ** -0.5)
+    x = np.hstack([np.array([[kernel(t, b) for b in marks] for t in texts]) @ root, np.ones((len(texts), 1))])
+    y = np.array([[1.0 if a == n else -1.0 for n in by] for a in langs])
+    beta = np.linalg.inv(x.T @ x + M.RIDGE * len(x) / x.shape[1] * np.eye(x.shape[1])) @ x.T @ y
+    fresh = [say(rng, n, 8) for n in by] + [texts[0]]
+    margins = np.hstack([np.array([[kernel(t, b) for b in marks] for t in fresh]) @ root, np.ones((len(fresh), 1))]) @ beta
+    got, scores = m.predict(fresh)
+    assert got == [list(by)[k] for k in margins.argmax(1)]
+    assert np.allclose(scores, np.clip((margins.max(1) + 1) / 2, 0, 1), atol=2e-3)
+
+
+def test_what_is_kept(spark):
+    rows, df = table(spark)
+    model = M.train(df)
+    more = spark.createDataFrame([(1, "日本語の文章"), (2, "schön eine"), (3, "12 !"), (4, None), (5, "thand of ther"), (5, "thand of ther")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in M.keep_identified(more, model).collect()) == [2, 5, 5]  # no landmark has a letter of the first
+    assert sorted(r.doc_id for r in M.keep_identified(more, model, languages={"bb"}).collect()) == [2]
+    assert sorted(r.doc_id for r in M.keep_identified(more, None).collect()) == [1, 2, 5, 5]  # without a model a letter decides
+    assert M.keep_identified(df, model).columns == df.columns and M.keep_identified(df.limit(0), model).count() == 0
+
+
+def test_training_does_not_depend_on_row_order(spark):
+    rows, _ = table(spark, 60)
+    rows += [(1, "ther whis of", rows[1][2], "s", 0.0)]
+    one, two = (M.train(spark.createDataFrame(r, "doc_id long, text string, lang string, source string, n double").repartition(n)) for r, n in ((rows, 1), (rows[::-1], 6)))
+    assert (one.grams == two.grams).all() and (one.weights == two.weights).all()
+
+
 def test_no_rows(spark):
     _, df = table(spark, 5)
     assert M.train(df.limit(0)) is None

@@ -1,5 +1,6 @@
 """run() against a brute-force version of each stage on a small corpus with planted cases."""
 
+import hashlib
 import random
 import re
 
@@ -75,9 +76,19 @@ def test_run_equals_brute_force(spark, folder):
     assert bad == {430}
     left = [r for r in left if r[0] not in bad]
     lib = Tokenizer.from_file(bpe.vocabulary_path())
-    want = {r[0]: len(lib.encode(r[1], add_special_tokens=False).ids) for r in left}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = {r[0]: lib.encode(r[1], add_special_tokens=False).ids for r in left}
+    want = {k: (len(v), sha(",".join(map(str, v))), sha(lib.decode(v, skip_special_tokens=False))) for k, v in ids.items()}
     got = corpus_pipeline.run(spark, root).collect()
-    assert len(got) == len(want) and {r.doc_id: r.n_tokens for r in got} == want
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_no_labels_keep_the_corpus(spark, folder):
+    """Without a labelled row there is no model of language or toxicity, and no text goes for want of one."""
+    root, _, _ = folder
+    docs = spark.createDataFrame([(1, "Some words", None), (2, "日本語", None), (3, "12", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, root).collect()) == [1, 2]
+    assert corpus_pipeline.toxicity_stage(spark, docs, root).count() == 3
 
 
 def test_stages_keep_columns_nulls_and_repeats(spark, folder):

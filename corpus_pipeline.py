@@ -1,9 +1,14 @@
 """A cleaning pipeline over ``documents``: each stage works on all that the one before kept.
 
-Stages: language (texts without one go), toxicity (toxic texts go), SimHash near-duplicates (one of each
-group stays), benchmark contamination (contaminated texts go), BPE (a row of digests per text left).
+Stages: language (texts that can't be identified go), toxicity (toxic texts go), SimHash near-duplicates (one
+of each group stays), benchmark contamination (contaminated texts go), BPE (a row of digests per text left).
 All but the last return the columns of ``documents``. Models are trained on a bounded sample of a stage's
 own input; everything else covers all of it.
+
+The language stage keeps every language that was learned: it takes no language away, as all of them are clean
+text, and rejects what the kernel can hold against none of them. Every stage takes nulls in any column, empty and
+very long texts, repeated rows, extra columns of any name and empty tables; repeated rows share one fate, but the
+near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
@@ -15,22 +20,27 @@ from corpusloom.llm.common import read_table, spread, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null, empty and letterless texts and those of an unknown script go. Without a labelled row, a letter decides."""
     return language.keep_identified(docs, language.train(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts from the chain's threshold on go; equal scores are judged alike. Null and empty texts stay, and without labels of both kinds all do."""
     return toxicity.keep_clean(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose fingerprints link, also through others, the one of smallest id stays, of equal rows any. Null and empty texts are one group."""
     return simhash.keep_one_of_each(docs)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a hit word and at least one in 20 hit go. Null and empty texts stay; rows of one id are judged by their texts."""
     return decontaminate.keep_uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row left: its id, number of ids, and hashes of ids and decoded text. Null and empty texts have no ids."""
     return bpe.bpe_digests(docs, bpe.vocabulary_path())
 
 

@@ -145,7 +145,7 @@ def route_counts(t):
 ITEMS = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'it' || CAST(o_custkey AS STRING) WHEN o_orderkey % 4 = 1 THEN '' END AS source_item_id, CASE WHEN o_orderkey % 4 <> 3 THEN 'https://s.example/it' || CAST(o_custkey AS STRING) ELSE 'https://s.example/none' END AS canonical_url FROM {orders}"
 
 
-@query(f"{duck(i=ITEMS)}, j AS (SELECT doc_id, nullif(source_item_id, '') AS item, canonical_url AS url FROM i) SELECT a.doc_id AS l_doc_id, b.doc_id AS r_doc_id FROM j a JOIN j b ON a.doc_id < b.doc_id WHERE a.item = b.item OR (a.url = b.url AND (a.item IS NULL) <> (b.item IS NULL) AND contains(a.url, coalesce(a.item, b.item)))")
+@query(f"{duck(i=ITEMS)}, j AS (SELECT doc_id, nullif(source_item_id, '') AS item, canonical_url AS url FROM i), r AS (SELECT item, min(doc_id) AS rep FROM j WHERE item IS NOT NULL GROUP BY item), h AS (SELECT url, item, min(doc_id) AS rep FROM j WHERE contains(url, item) GROUP BY url, item) SELECT rep AS l_doc_id, doc_id AS r_doc_id FROM j JOIN r USING (item) WHERE doc_id <> rep UNION SELECT least(rep, doc_id), greatest(rep, doc_id) FROM j JOIN h ON j.url = h.url WHERE j.item IS NULL")
 def same_source_links(t):
     return dedupe.same_source_pairs(rel(t, ITEMS))
 

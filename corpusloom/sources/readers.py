@@ -346,6 +346,6 @@ def checked_rows(df: DataFrame, key: str, parent: str | None = None) -> DataFram
 
 
 def clean_insights(df: DataFrame, columns: list[str], flag: str) -> DataFrame:
-    """Missing columns added, cells trimmed, the flag parsed; the last row of a URL stays."""
+    """Missing columns added, cells trimmed, the flag parsed; every row stays (``analysis.first_per_key`` keeps the last of a URL)."""
     cells = [F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
     return df.select(*cells).withColumn(flag, F.upper(flag).isin("TRUE", "YES", "1"))

@@ -83,3 +83,36 @@ def test_occurrences_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "t string, n string")
     for r in df.select("t", "n", text.occurrences(F.col("t"), F.col("n")).alias("o")).collect():
         assert r.o == ([i for i in range(len(r.t)) if r.t.startswith(r.n, i)] if r.n else []), (r.t, r.n)
+
+
+def test_url_keys_equal_the_standard_library(spark):
+    """Random queries, parsed and built by urllib, against the columns."""
+    from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+    rng = random.Random(4)
+    bits = ["a", "b", "A", "%20", "+", "%zz", "%C3%A9", "é", "/", "*", "~", "=", "&", "utm_source", "ref", "=", "&", "%26", "q", "-", ".", ":"]
+    rows = [f"{rng.choice(['HTTP://', 'https://', '//', ''])}{rng.choice(['S.Example', 'x.example:80', ''])}{rng.choice(['', '/', '/p/', '/p//', 'p/q', '/a b'])}?{''.join(rng.choice(bits) for _ in range(rng.randint(0, 12)))}{rng.choice(['', '#f', '#'])}" for _ in range(400)]
+
+    def key(url):
+        p = urlsplit(url.strip())
+        query = urlencode(sorted((k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in urls.TRACKING))
+        path = p.path.rstrip("/") if len(p.path) > 1 and p.path.endswith("/") else p.path
+        return urlunsplit((p.scheme.lower(), p.netloc.lower(), path, query, ""))
+
+    got = spark.createDataFrame([(r,) for r in rows], "u string").select("u", urls.url_key(F.col("u")).alias("k")).collect()
+    wrong = [(r.u, r.k, key(r.u)) for r in got if r.k != key(r.u)]
+    assert not wrong, wrong[:5]
+
+
+def test_personal_data_in_other_digits(spark):
+    rows = ["call (٤١٥) ٥٥٥ ٠١٢٣ now", "id ١٢٣٤٥٦٧٨٩ here", "call 415\u00a0555\u00a00123", "@name\u00e9x and @abc", "12345678a"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", "t", text.pii_spans(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [[(r.t[x.start : x.stop], x.kind) for x in r.s] for r in got] == [[("(٤١٥) ٥٥٥ ٠١٢٣", "phone")], [("١٢٣٤٥٦٧٨٩", "digit_run")], [("415\u00a0555\u00a00123", "phone")], [("@abc", "handle")], [("12345678", "digit_run")]]
+
+
+def test_content_hash_tells_a_null_from_no_column(spark):
+    a = spark.createDataFrame([(1, None)], "k int, v string")
+    h = lambda d: ids.artifact_hash(d, "k").first()[0]
+    assert h(a) != h(a.select("k")) and h(a) != h(a.withColumn("v", F.lit("null")))
+    assert h(spark.createDataFrame([(1, 2.0)], "k int, v double")) == h(spark.createDataFrame([(1, 2)], "k int, v int"))
+    assert h(a.union(a)) != h(a)

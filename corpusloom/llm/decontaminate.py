@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, free_names, read_table, spread, stored, text_key, words
 
-WINDOW, SHARE = 13, 20
+WINDOW, SHARE, SLOP = 13, 20, 5
 
 
 @dataclass(frozen=True)
@@ -92,22 +92,27 @@ def phrase_matches(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     return joined.select("doc_id", "tkey", F.inline(right))
 
 
-def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
+def _near_phrases(index: Index, slop: int) -> DataFrame:
+    """(doc_id, tkey, phrase) of the windows that are near in a document, each once."""
+    first = index.postings.withColumnRenamed("term", "term1").join(index.anchors.where("term2 is not null"), "term1").select("doc_id", "tkey", "phrase", "term2", F.col("pos").alias("p1"), (F.col("off2") - F.col("off1")).alias("gap"))
+    width = F.lit(2 * slop + 1)
+    first = first.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.floor((F.col("p1") + F.col("gap") + d * slop) / width) for d in (-1, 1)]))))
+    second = index.postings.select(F.col("doc_id").alias("d2"), F.col("tkey").alias("k2"), F.col("term").alias("t2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / width).alias("c2")).distinct()
+    near = first.join(second, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tkey") == F.col("k2")) & (F.col("term2") == F.col("t2")) & (F.col("cell") == F.col("c2")) & (F.abs(F.col("p2") - F.col("p1") - F.col("gap")) <= slop))
+    return near.select("doc_id", "tkey", "phrase").distinct()
+
+
+def proximity_matches(index: Index, slop: int = SLOP) -> DataFrame:
     """(doc_id, item_id, n_near): windows whose two rarest words stand in a document no more than ``slop`` words nearer
     or farther apart than in the window, in either order.
 
     Windows of one word, and windows with a word that no document has, are near nothing. Documents without a
     match, null and empty ones too, have no row; repeated rows and places count once; no index, no rows.
     """
-    first = index.postings.withColumnRenamed("term", "term1").join(index.anchors.where("term2 is not null"), "term1").select("doc_id", "tkey", "phrase", "term2", F.col("pos").alias("p1"), (F.col("off2") - F.col("off1")).alias("gap"))
-    width = F.lit(2 * slop + 1)
-    first = first.withColumn("cell", F.explode(F.array(*[F.floor((F.col("p1") + F.col("gap") + d * slop) / width) for d in (-1, 1)]))).dropDuplicates(["doc_id", "tkey", "phrase", "p1", "gap", "cell"])
-    second = index.postings.select(F.col("doc_id").alias("d2"), F.col("tkey").alias("k2"), F.col("term").alias("t2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / width).alias("c2")).distinct()
-    near = first.join(second, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tkey") == F.col("k2")) & (F.col("term2") == F.col("t2")) & (F.col("cell") == F.col("c2")) & (F.abs(F.col("p2") - F.col("p1") - F.col("gap")) <= slop))
-    return near.select("doc_id", "tkey", "phrase").distinct().join(index.windows, "phrase").groupBy("doc_id", "item_id").agg(F.count_distinct("phrase").alias("n_near"))
+    return _near_phrases(index, slop).join(index.windows, "phrase").groupBy("doc_id", "item_id").agg(F.count_distinct("phrase").alias("n_near"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **item_names) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, **item_names) -> DataFrame:
     """(doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of ``docs``.
 
     A word is hit inside any place of a window; contaminated: some word is hit and at least one in 20.
@@ -115,7 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     but not the text are judged apart. Items without id or words match nothing. Empty tables are fine, and
     other columns play no part.
     """
-    index = build_index(docs, items, window, id_col, text_col, **item_names)
+    index = index or build_index(docs, items, window, id_col, text_col, **item_names)
     hits = stored(phrase_matches(docs, index, id_col, text_col), "matches")
     key = ["doc_id", "tkey"]
     spans = hits.groupBy(*key, "start").agg((F.col("start") + F.max("len")).alias("stop"))
@@ -149,7 +154,13 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return contamination(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark")).drop("tkey")
+    """Contamination of every document, and ``n_near``: items of which some window is near in it (``proximity_matches``)."""
+    docs, items = spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark")
+    index = build_index(docs, items)
+    found = contamination(docs, items, index=index)
+    near = _near_phrases(index, SLOP).join(index.windows, "phrase").groupBy(F.col("doc_id").alias("near_id"), F.col("tkey").alias("near_key")).agg(F.count_distinct("item_id").alias("n_near"))
+    both = found.join(near, found.doc_id.eqNullSafe(F.col("near_id")) & (found.tkey == F.col("near_key")), "left")
+    return both.withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long"))).drop("tkey", "near_id", "near_key")
 
 
 OP9_SQL = r"""
@@ -160,7 +171,13 @@ sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.phrase = iw.phrase),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+wt AS (SELECT phrase, n, off, string_split(phrase, ' ')[off + 1] AS term FROM (SELECT DISTINCT phrase, n, unnest(range(0, n)) AS off FROM iw)),
+dt AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d),
+tc AS (SELECT term, count(*) AS c FROM dt WHERE term IN (SELECT term FROM wt) GROUP BY term),
+an AS (SELECT phrase, list({'c': c, 'off': off, 'term': term} ORDER BY c, off, term) AS a FROM wt JOIN tc USING (term) GROUP BY phrase, n HAVING count(*) = n AND n > 1),
+nr AS (SELECT DISTINCT x.doc_id, phrase FROM an JOIN dt x ON x.term = a[1].term JOIN dt y ON y.doc_id = x.doc_id AND y.term = a[2].term WHERE abs(y.p - x.p - (a[2].off - a[1].off)) <= 5),
+nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr JOIN iw USING (phrase) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nn USING (doc_id)
 """

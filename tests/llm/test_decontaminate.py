@@ -64,3 +64,33 @@ def test_a_very_long_text(spark):
     items = [(1, " ".join(word() for _ in range(20))), (2, "zzz")]
     long = " ".join(word() for _ in range(60_000))
     run(spark, [(1, long[:200_000] + " " + items[0][1] + " " + long[200_000:]), (2, long + " zzz")], items)
+
+
+def test_proximity_equals_brute_force(spark):
+    """Windows whose two rarest words (by count over all documents, then place) stand within the slop of their distance."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(["the", "of", "x9", "and", "tion", "ou", "rare", "odd"]) for _ in range(n))
+    docs = [(i, say(rng.randint(0, 60))) for i in range(30)] + [(30, None), (4, "rare odd")]
+    items = [(1, say(20)), (2, say(6)), (3, "rare zz"), (4, "the"), (5, None)]
+    counts = {}
+    for _, t in docs:
+        for w in split(t):
+            counts[w] = counts.get(w, 0) + 1
+    want = {}
+    for d, t in docs:
+        w = split(t)
+        for i, it in items:
+            x = split(it)
+            near = set()
+            for s in range(max(1, len(x) - 12) if x else 0):
+                win = x[s : s + 13]
+                if len(win) < 2 or any(v not in counts for v in win):
+                    continue
+                (_, a, u), (_, b, v) = sorted((counts[v], k, v) for k, v in enumerate(win))[:2]
+                if any(w[p] == u and w[q] == v and abs(q - p - (b - a)) <= 3 for p in range(len(w)) for q in range(len(w))):
+                    near.add(tuple(win))
+            if near:
+                want[d, i] = want.get((d, i), set()) | near
+    index = M.build_index(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.n_near for r in M.proximity_matches(index, 3).collect()}
+    assert got == {k: len(v) for k, v in want.items()} and len(got) > 20

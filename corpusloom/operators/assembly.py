@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import excerpt
+
 
 def provenance_reasons(doc_id: Column, expected_id: Column, raw_hash: Column, expected_hash: Column, url_key: Column, expected_key: Column, tier: Column, allow_synthetic: bool = False) -> Column:
     """What does not fit when ids, hashes and keys are computed again."""
@@ -140,3 +142,47 @@ def fold_outcomes(batches: DataFrame) -> DataFrame:
     """(lot, id, succeeded, failed): the ids of several sub-batches, a row each, with the sums of their counters."""
     sums = batches.agg(F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"))
     return batches.select("lot", F.explode("ids").alias("id")).join(F.broadcast(sums))  # one row
+
+
+def pair_sheet(pairs: DataFrame, docs: DataFrame, size: int = 160) -> DataFrame:
+    """A review sheet of pairs (a, b) with an excerpt of each side and empty columns for a person's decision. docs: doc_id, text."""
+    x = docs.select("doc_id", excerpt(F.coalesce("text", F.lit("")), size).alias("excerpt"))
+    left, right = (x.select(F.col("doc_id").alias(k), F.col("excerpt").alias(f"{k}_excerpt")) for k in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").withColumns({"decision": F.lit(""), "note": F.lit("")})
+
+
+def label_sheet(routed: DataFrame, docs: DataFrame, size: int = 160) -> DataFrame:
+    """A row of the label sheet for each routed document: excerpt, route, its reasons joined by a bar, and an empty label."""
+    x = docs.select("doc_id", excerpt(F.coalesce("text", F.lit("")), size).alias("excerpt"))
+    return routed.join(x, "doc_id").select("doc_id", "excerpt", "route", F.array_join("reason_labels", "|").alias("reasons"), F.lit("").alias("label"))
+
+
+def with_pending(valid: DataFrame, pending: DataFrame, spans: DataFrame) -> DataFrame:
+    """Valid cases and pending candidates with their evidence ids, sorted; of a case that is both, the valid row. valid, pending: case_id, doc_id; spans: owner_id, evidence_id."""
+    both = valid.select("case_id", "doc_id", F.lit("valid").alias("state")).unionByName(pending.join(valid, "case_id", "left_anti").select("case_id", "doc_id", F.lit("pending").alias("state")))
+    ids = spans.groupBy(F.col("owner_id").alias("case_id")).agg(F.sort_array(F.collect_set("evidence_id")).alias("evidence_ids"))
+    return both.join(ids, "case_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
+
+
+def evidence_union(cases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(evidence_id, doc_id, owner_type): spans of cases and decisions, each id once, a case's first. Both: evidence_id, doc_id."""
+    rows = cases.select("evidence_id", "doc_id", F.lit("case").alias("owner_type")).unionByName(decisions.select("evidence_id", "doc_id", F.lit("decision").alias("owner_type")))
+    return rows.groupBy("evidence_id").agg(F.min(F.struct("owner_type", "doc_id")).alias("x")).select("evidence_id", "x.doc_id", "x.owner_type")
+
+
+def attach_relevance(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reviews or attempts with their document's scope; null where no decision of state ok stands. decisions: doc_id, scope_class, technical_state, unique by document."""
+    ok = decisions.where("technical_state = 'ok'").select("doc_id", "scope_class")
+    return rows.join(ok, "doc_id", "left").withColumn("is_relevant", F.col("scope_class").isin("core", "adjacent"))
+
+
+def run_totals(outcomes: DataFrame) -> DataFrame:
+    """One row: attempts, calls, cache hits and misses, valid cases and failed candidates of a run. outcomes: state, blocked, from_cache, n_valid."""
+    tried = ~F.col("blocked")
+    return outcomes.agg(F.count("*").alias("candidates"), F.count_if("blocked").alias("blocked"), F.count_if(tried).alias("attempted"), F.count_if(tried & F.col("from_cache")).alias("cache_hits"), F.count_if(tried & ~F.col("from_cache")).alias("cache_misses"), F.coalesce(F.sum(F.when(tried, F.col("n_valid"))), F.lit(0)).alias("valid_cases"), F.count_if(tried & (F.col("state") != "ok")).alias("failed_candidates"))
+
+
+def complete_or_raise(rows: DataFrame, required: list[str], key: str) -> DataFrame:
+    """``rows`` for a gold file; reading fails at a row that lacks one of the required values."""
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in required]))
+    return rows.where(F.assert_true(F.size(missing) == 0, F.concat(F.col(key).cast("string"), F.lit(" lacks "), F.array_join(missing, ", "))).isNull())

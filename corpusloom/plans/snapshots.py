@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reference
+from ..operators import assembly, reference
+from .cases import _ROUTED, _routed
 from .registry import query
 
 _DIMS = ["priority", "state"]
@@ -86,3 +87,51 @@ def nested_listings(t):
     payload = F.when(F.col("c_custkey") % 4 == 0, one).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit(" ["), one, F.lit(',{"data":{}},{"data":{"children":[{"x":[1]}]}}]'))).when(F.col("c_custkey") % 4 == 2, '{"error":1}').otherwise("[]")
     got = t("customer").select("c_custkey", reference.flat_children(payload).alias("c"))
     return got.select("c_custkey", F.size("c").alias("n"), F.get("c", F.lit(0)).alias("first_child"))
+
+
+_EXCERPT = r"substr(trim(regexp_replace(coalesce({}.text, ''), '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g')), 1, 160)"
+
+
+@query(f"SELECT x.doc_id AS a, y.doc_id AS b, {_EXCERPT.format('x')} AS a_excerpt, {_EXCERPT.format('y')} AS b_excerpt, '' AS decision, '' AS note FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1")
+def pair_sheet(t):
+    """Each document beside its neighbour by id, for review."""
+    d = t("documents")
+    return assembly.pair_sheet(d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")), d)
+
+
+@query(f"WITH {_ROUTED} SELECT r.doc_id, {_EXCERPT.format('c')} AS excerpt, route, replace(labels, ',', '|') AS reasons, '' AS label FROM routed r JOIN conversations c ON c.conv_id || '-' || c.turn = r.doc_id")
+def label_sheet(t):
+    return assembly.label_sheet(_routed(t), t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"))
+
+
+@query("WITH v AS (SELECT o_orderkey AS case_id, o_custkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'valid' ELSE 'pending' END AS state FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 2 = 0), e AS (SELECT l_orderkey AS case_id, list_sort(list(DISTINCT 'e' || l_suppkey)) AS ids FROM lineitem GROUP BY l_orderkey) SELECT v.case_id, doc_id, state, coalesce(ids, []) AS evidence_ids FROM v LEFT JOIN e USING (case_id)")
+def valid_and_pending(t):
+    o = t("orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("doc_id"), "o_orderstatus")
+    spans = t("lineitem").select(F.col("l_orderkey").alias("owner_id"), F.concat(F.lit("e"), F.col("l_suppkey").cast("string")).alias("evidence_id"))
+    return assembly.with_pending(o.where("o_orderstatus = 'F'"), o.where("case_id % 2 = 0"), spans)
+
+
+@query("SELECT e AS evidence_id, min_by(doc_id, (kind, doc_id)) AS doc_id, min(kind) AS owner_type FROM (SELECT 'e' || l_partkey AS e, l_orderkey AS doc_id, 'case' AS kind FROM lineitem UNION ALL SELECT 'e' || o_custkey, o_orderkey, 'decision' FROM orders) GROUP BY e")
+def evidence_union(t):
+    e = lambda c: F.concat(F.lit("e"), F.col(c).cast("string")).alias("evidence_id")
+    return assembly.evidence_union(t("lineitem").select(e("l_partkey"), F.col("l_orderkey").alias("doc_id")), t("orders").select(e("o_custkey"), F.col("o_orderkey").alias("doc_id")))
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS item, CASE WHEN o_orderkey % 5 <> 0 THEN CASE o_orderstatus WHEN 'F' THEN 'core' WHEN 'O' THEN 'adjacent' ELSE 'out_of_scope' END END AS scope_class, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus IN ('F', 'O') END AS is_relevant FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")
+def attached_relevance(t):
+    scope = F.when(F.col("o_orderstatus") == "F", "core").when(F.col("o_orderstatus") == "O", "adjacent").otherwise("out_of_scope")
+    decisions = t("orders").select(F.col("o_orderkey").alias("doc_id"), scope.alias("scope_class"), F.when(F.col("o_orderkey") % 5 == 0, "timeout").otherwise("ok").alias("technical_state"))
+    rows = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item"))
+    return assembly.attach_relevance(rows, decisions).select("item", "scope_class", "is_relevant")
+
+
+@query("SELECT count(*) AS candidates, count_if(b) AS blocked, count_if(NOT b) AS attempted, count_if(NOT b AND c) AS cache_hits, count_if(NOT b AND NOT c) AS cache_misses, sum(CASE WHEN NOT b THEN v ELSE 0 END) AS valid_cases, count_if(NOT b AND s <> 'ok') AS failed_candidates FROM (SELECT o_orderkey % 4 = 0 AS b, o_custkey % 3 = 0 AS c, o_orderkey % 3 AS v, CASE WHEN o_orderstatus = 'P' THEN 'timeout' ELSE 'ok' END AS s FROM orders)")
+def run_totals(t):
+    k = F.col("o_orderkey")
+    return assembly.run_totals(t("orders").select((k % 4 == 0).alias("blocked"), (F.col("o_custkey") % 3 == 0).alias("from_cache"), (k % 3).alias("n_valid"), F.when(F.col("o_orderstatus") == "P", "timeout").otherwise("ok").alias("state")))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def complete_gold(t):
+    """Rows of a gold file, each complete; a test shows that one that is not ends the job."""
+    return assembly.complete_or_raise(t("orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], "o_orderkey")

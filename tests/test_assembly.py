@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import assembly
+from corpusloom.operators import assembly, outcomes
 
 
 def test_provenance_and_batch(spark):
@@ -39,3 +39,26 @@ def test_first_dataset_wins(spark):
 def test_error_rows_hide_the_holdout(spark):
     df = spark.createDataFrame([("dev", "a", "b"), ("dev", "a", "a"), ("holdout", "a", "b"), ("dev", None, "a")], "split string, g string, p string")
     assert assembly.error_rows(df, "g", "p").count() == 2
+
+
+def test_incomplete_gold_ends_the_job(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "")], "k int, v string")
+    with pytest.raises(Exception, match="2 lacks v"):
+        assembly.complete_or_raise(df, ["v"], "k").collect()
+    assert assembly.complete_or_raise(df.where("k = 1"), ["v"], "k").count() == 1
+
+
+def test_rows_that_do_not_pair_end_the_job(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, w string")
+    with pytest.raises(ValueError, match="k 1 does not pair"):
+        outcomes.strict_join(a, b, "k")
+    with pytest.raises(ValueError, match="does not pair"):
+        outcomes.strict_join(a, b.where("k = 2"), "k")
+    assert outcomes.strict_join(a, b.where("w <> 'y'"), "k").count() == 2
+
+
+def test_spent_and_released_reservations(spark):
+    ledger = spark.createDataFrame([("r1", "reserved", 10), ("r2", "reserved", 10), ("r3", "spent", 4), ("r4", "reserved", 7)], "reservation_id string, state string, amount int")
+    release = spark.createDataFrame([("r1", 3), ("r2", None), ("r3", 9)], "reservation_id string, spent int")
+    assert sorted(tuple(r) for r in outcomes.ledger_after(ledger, release).collect()) == [("r1", "spent", 3), ("r2", "released", 10), ("r3", "spent", 4), ("r4", "reserved", 7)]

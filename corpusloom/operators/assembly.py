@@ -84,10 +84,15 @@ def with_external_spans(cases: DataFrame, spans: DataFrame) -> DataFrame:
     return cases.drop("evidence_ids").join(lists, "case_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
 
 
-def review_targets(reviews: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): the document that a review's target names, by any of its parts."""
+def review_targets(reviews: DataFrame, docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(item_id, doc_id): the document that a review's target names, by any of its parts, or else by an alias (alias, doc_id) of the whole target."""
     parts = reviews.select("item_id", F.explode(F.split("target_id", r"[:#\s]")).alias("doc_id"))
-    return parts.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    direct = parts.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    if aliases is None:
+        return direct
+    known = aliases.join(docs.select("doc_id"), "doc_id", "left_semi").select(F.col("alias").alias("target_id"), "doc_id")
+    named = reviews.join(direct, "item_id", "left_anti").join(known, "target_id").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return direct.unionByName(named)
 
 
 def failure_rows(outcomes: DataFrame) -> DataFrame:

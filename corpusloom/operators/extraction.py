@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids, text
 
@@ -79,11 +83,14 @@ def decision(ok: Column, doc_matches: Column, n_valid: Column, scope: Column, co
 
 
 
+@F.pandas_udf(T.StringType())
+def repaired(raw: pd.Series) -> pd.Series:
+    """``repaired_json`` as a column, for answers that do not parse as they are."""
+    return raw.map(repaired_json)
+
+
 def repaired_json(raw: str | None) -> str | None:
     """JSON text without fences, curly quotes and trailing commas; null if it still does not parse."""
-    import json
-    import re
-
     if raw is None:
         return None
     for t in (raw, re.sub(r",\s*([}\]])", r"\1", re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", raw).translate({0x201C: '"', 0x201D: '"'}))):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, reference
+from ..operators import assembly, extraction, reference
 from .cases import _ROUTED, _routed
+from ..streaming import incremental
 from .registry import query
 
 _DIMS = ["priority", "state"]
@@ -135,3 +136,28 @@ def run_totals(t):
 def complete_gold(t):
     """Rows of a gold file, each complete; a test shows that one that is not ends the job."""
     return assembly.complete_or_raise(t("orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], "o_orderkey")
+
+
+@query("SELECT id, waited, row_number() OVER (ORDER BY NOT waited, id) <= 50 AS taken FROM (SELECT c_custkey AS id, c_custkey % 7 = 0 AS waited FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 2 = 0)")
+def scheduled_batches(t):
+    """The next 50 items, those that wait first, and what is carried over; that number is the operator's."""
+    c = t("customer").select(F.col("c_custkey").alias("id"))
+    return incremental.scheduled_batch(c.where("id % 7 = 0"), c.where("id % 2 = 0"), ["id"])
+
+
+@query("SELECT o_orderkey || 'r' AS item_id, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderkey END AS doc_id FROM orders WHERE o_orderkey % 3 <> 2")
+def aliased_reviews(t):
+    """Reviews whose target names a document, or an alias of one."""
+    k = F.col("o_orderkey").cast("string")
+    o = t("orders")
+    reviews = o.select(F.concat(k, F.lit("r")).alias("item_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(k, F.lit("#c01"))).otherwise(F.concat(F.lit("alias-"), k)).alias("target_id"))
+    aliases = o.where("o_orderkey % 3 = 1").select(F.concat(F.lit("alias-"), k).alias("alias"), k.alias("doc_id"))
+    return assembly.review_targets(reviews, o.select(k.alias("doc_id")), aliases).select("item_id", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{"a": ' || c_custkey || '}' WHEN 1 THEN '{"a": [' || c_custkey || ', 2]}' END AS fixed FROM customer""")
+def repaired_answers(t):
+    """Model answers with fences, curly quotes and trailing commas; what still does not parse is null."""
+    k = F.col("c_custkey").cast("string")
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('```json\n{"a": '), k, F.lit("}\n```"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("{\u201ca\u201d: ["), k, F.lit(", 2,],}"))).otherwise("{broken")
+    return t("customer").select("c_custkey", extraction.repaired(raw).alias("fixed"))

@@ -29,6 +29,13 @@ def lots(df: DataFrame, order: list[str], sizes: tuple[int, ...] = LOTS) -> Data
     return ranked.withColumn("lot", lot).drop("rn")
 
 
+def scheduled_batch(pending: DataFrame, arrived: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
+    """Items waiting and newly arrived, each once, with ``taken``: the next ``limit`` of them, those that wait first and then by key; the rest is carried over."""
+    rows = pending.select(*keys, F.lit(0).alias("age")).unionByName(arrived.select(*keys, F.lit(1).alias("age"))).groupBy(*keys).agg(F.min("age").alias("age"))
+    batch = rows.orderBy("age", *keys).limit(limit).select(*keys, F.lit(True).alias("taken"))  # so many at most
+    return rows.join(batch, keys, "left").select(*keys, (F.col("age") == 0).alias("waited"), F.coalesce("taken", F.lit(False)).alias("taken"))
+
+
 def run_available(stream: DataFrame, checkpoint: str, process: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Process all files that are there now, batch by batch; a rerun goes on where the checkpoint stands."""
     query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

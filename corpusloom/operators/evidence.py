@@ -140,3 +140,26 @@ def exact_query_supported(value: Column, spans: Column, text: Column) -> Column:
     """Whether a valid span of exact_query covers the delimited query. spans: field_name, validation_state, start, stop."""
     covers = lambda s, at: (s["field_name"] == "exact_query") & (s["validation_state"] == "valid") & (s["start"] <= at["start"]) & (s["stop"] >= at["stop"])
     return F.coalesce(F.exists(_delimited(value, text), lambda at: F.exists(spans, lambda s: F.coalesce(covers(s, at), F.lit(False)))), F.lit(False))
+
+
+def inheritance_errors(doc_id: Column, scope: Column, decision_doc: Column, decision_scope: Column, decision_state: Column) -> Column:
+    """Why a case may not inherit its scope from a decision: it is about another document, says otherwise, or is not valid. Empty: it may."""
+    marks = [F.when(~doc_id.eqNullSafe(decision_doc), "other_document"), F.when(~scope.eqNullSafe(decision_scope), "other_scope"), F.when(~decision_state.eqNullSafe(F.lit("valid")), "decision_not_valid")]
+    return F.array_compact(F.array(*marks))
+
+
+def valid_only(records: DataFrame) -> DataFrame:
+    """Records that may be analysed: those stored as valid, whatever their review flag says."""
+    return records.where("validation_state = 'valid'")
+
+
+def gate_for_analysis(records: DataFrame, key: str, errors: Column) -> DataFrame:
+    """Evidence of ``records`` (key, evidence_ids), a row for each span; reading fails at a record with an error, so no caller gets by the gate."""
+    sound = F.assert_true(F.size(errors) == 0, F.concat(F.col(key).cast("string"), F.lit(": "), F.array_join(errors.cast("array<string>"), ", ")))
+    return records.where(sound.isNull()).select(key, F.explode("evidence_ids").alias("evidence_id"))
+
+
+def exact_spans(spans: DataFrame) -> DataFrame:
+    """``spans`` (text, quote, start, stop); reading fails at one whose quote does not stand at its place."""
+    exact = F.coalesce(F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("quote"), F.lit(False))
+    return spans.where(F.assert_true(exact, F.concat(F.lit("not at its place: "), F.coalesce("quote", F.lit("")))).isNull())

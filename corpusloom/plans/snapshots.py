@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, extraction, reference
+from ..operators import assembly, evidence, extraction, reference
 from .cases import _ROUTED, _routed
 from ..streaming import incremental
 from .registry import query
@@ -161,3 +161,37 @@ def repaired_answers(t):
     k = F.col("c_custkey").cast("string")
     raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('```json\n{"a": '), k, F.lit("}\n```"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("{\u201ca\u201d: ["), k, F.lit(", 2,],}"))).otherwise("{broken")
     return t("customer").select("c_custkey", extraction.repaired(raw).alias("fixed"))
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, array_to_string(list_filter([CASE WHEN l_linenumber = 2 THEN 'other_document' END, CASE WHEN l_returnflag <> o_orderstatus THEN 'other_scope' END, CASE WHEN o_custkey % 3 = 0 THEN 'decision_not_valid' END], lambda x: x IS NOT NULL), ',') AS errors FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def scope_inheritance(t):
+    """Cases against the decision that they take their scope from."""
+    both = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    state = F.when(F.col("o_custkey") % 3 == 0, "pending").otherwise("valid")
+    errors = evidence.inheritance_errors(F.col("l_orderkey"), F.col("l_returnflag"), F.when(F.col("l_linenumber") == 2, -1).otherwise(F.col("o_orderkey")), F.col("o_orderstatus"), state)
+    return both.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("case_id"), F.array_join(errors, ",").alias("errors"))
+
+
+@query("SELECT o_orderkey AS case_id, unnest(['e' || o_custkey, 'x']) AS evidence_id FROM orders WHERE o_orderstatus = 'F'")
+def analysis_evidence(t):
+    """Evidence of the valid records alone, each through the gate."""
+    k = F.col("o_orderkey")
+    rows = t("orders").select(k.alias("case_id"), F.when(F.col("o_orderstatus") == "F", "valid").otherwise("pending").alias("validation_state"), F.array(F.concat(F.lit("e"), F.col("o_custkey").cast("string")), F.lit("x")).alias("evidence_ids"), F.when(F.col("o_orderstatus") != "F", F.array(F.lit("no evidence"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    return evidence.gate_for_analysis(evidence.valid_only(rows), "case_id", F.col("errors"))
+
+
+@query("SELECT doc_id, length(text) // 2 AS start FROM documents WHERE text IS NOT NULL")
+def exact_spans(t):
+    """Quotes from the middle of each text, held to their places."""
+    at = F.floor(F.length("text") / 2).cast("int")
+    d = t("documents").where("text is not null").select("doc_id", "text", at.alias("start"), F.least(at + 7, F.length("text")).alias("stop"))
+    d = d.withColumn("quote", F.expr("substring(text, start + 1, stop - start)"))
+    return evidence.exact_spans(d).select("doc_id", F.col("start").cast("long").alias("start"))
+
+
+@query("SELECT DISTINCT user_id AS doc_id, props FROM events a WHERE event_id % 2 = 1 AND user_id % 5 <> 0 AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 0 AND b.user_id = a.user_id AND b.props = a.props)")
+def new_items(t):
+    """Arrivals that are new in this form, of no frozen document, and not blank."""
+    e = t("events").select("event_id", F.col("user_id").alias("doc_id"), "props", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(" ").alias("text"))
+    got = incremental.eligible_new(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), e.where("doc_id % 5 = 0"), ["doc_id", "props"])
+    return got.select("doc_id", "props")

@@ -70,3 +70,8 @@ def reserve(ledger: DataFrame, day: str, kind: str, limit: int, amount: int) ->
 def succeeded(log: DataFrame, run_id: str) -> DataFrame:
     """Targets that a run has done; the rest is resumed by an anti-join."""
     return log.where((F.col("run_id") == run_id) & (F.col("status") == "succeeded")).select("target_id").distinct()
+
+
+def eligible_new(arrived: DataFrame, processed: DataFrame, frozen: DataFrame, keys: list[str], key: str = "doc_id") -> DataFrame:
+    """Arrivals that were not processed in this form (all of ``keys``) and whose document is not frozen; ones without text are left out, and of equal ones any stays."""
+    return unseen(arrived.where("coalesce(trim(text), '') <> ''"), processed, keys).join(frozen.select(key).distinct(), key, "left_anti")

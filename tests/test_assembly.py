@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import assembly, outcomes
+from corpusloom.operators import assembly, evidence, outcomes
 
 
 def test_provenance_and_batch(spark):
@@ -62,3 +62,13 @@ def test_spent_and_released_reservations(spark):
     ledger = spark.createDataFrame([("r1", "reserved", 10), ("r2", "reserved", 10), ("r3", "spent", 4), ("r4", "reserved", 7)], "reservation_id string, state string, amount int")
     release = spark.createDataFrame([("r1", 3), ("r2", None), ("r3", 9)], "reservation_id string, spent int")
     assert sorted(tuple(r) for r in outcomes.ledger_after(ledger, release).collect()) == [("r1", "spent", 3), ("r2", "released", 10), ("r3", "spent", 4), ("r4", "reserved", 7)]
+
+
+def test_gates_end_the_job(spark):
+    rows = spark.createDataFrame([("c1", ["e1", "e2"], []), ("c2", ["e3"], ["bad span"])], "case_id string, evidence_ids array<string>, errors array<string>")
+    with pytest.raises(Exception, match="c2: bad span"):
+        evidence.gate_for_analysis(rows, "case_id", F.col("errors")).collect()
+    assert evidence.gate_for_analysis(rows.where("case_id = 'c1'"), "case_id", F.col("errors")).count() == 2
+    spans = spark.createDataFrame([("abc", "bc", 1, 3), ("abc", "x", 0, 1)], "text string, quote string, start int, stop int")
+    with pytest.raises(Exception, match="not at its place: x"):
+        evidence.exact_spans(spans).collect()

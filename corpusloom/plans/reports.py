@@ -243,7 +243,7 @@ def reconciled_ledger(t):
     return outcomes.ledger_after(r, r.where("reservation_id % 2 = 0").select("reservation_id", F.when(F.col("reservation_id") % 4 == 0, F.col("reservation_id") % 15).alias("spent")))
 
 
-@query("SELECT user_id AS thread_id, count(DISTINCT event_id) AS n_known, max(CASE WHEN event_type = 'view' THEN CAST(value AS INTEGER) END) AS complete_total FROM events GROUP BY user_id")
+@query("SELECT user_id AS thread_id, count(DISTINCT event_id) AS n_known, max(CASE WHEN event_type = 'view' THEN CAST(floor(value) AS INTEGER) END) AS complete_total FROM events GROUP BY user_id")
 def known_threads(t):
-    e = t("events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("item_id"), F.round("value").cast("int").alias("reply_total"), (F.col("event_type") == "view").alias("complete"))
+    e = t("events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("item_id"), F.floor("value").cast("int").alias("reply_total"), (F.col("event_type") == "view").alias("complete"))
     return outcomes.stored_totals(e)

@@ -221,13 +221,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     raw = raw.withColumn("v", F.when(sound, F.transform("v", lambda x: x + F.lit(0.0))))  # -0.0 becomes 0.0
-    classes = stored(raw.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     # Cosines do not depend on length: a power of two, which rounds nothing, brings the largest component near 1, so
     # that squares of very small and very large vectors neither vanish nor overflow.
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    power = F.pow(F.lit(2.0), F.floor(F.log2(largest)))
+    distinct = raw.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = stored(distinct.withColumn("power", F.pow(F.lit(2.0), F.floor(F.log2(largest)))), "classes")
     # Rows that share an id may be the smallest of several classes: classes are numbered apart from their ids.
-    classes = classes.withColumn("key", F.xxhash64("v", "rep")).withColumn("u", F.transform("v", lambda x: x / power))
+    classes = classes.withColumn("key", F.xxhash64("v", "rep")).withColumn("u", F.transform("v", lambda x: x / F.col("power")))
     found = candidates(classes.select(F.col("key").alias("rep"), F.col("u").alias("v")), classes.count(), cosine, size, chunk)
     one = classes.select(F.col("key").alias("a"), F.col("u").alias("va"), F.col("n").alias("na"))
     two = classes.select(F.col("key").alias("b"), F.col("u").alias("vb"), F.col("n").alias("nb"))

@@ -43,7 +43,7 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name
 _HEAD_END = re.compile(r"</head\s*>", re.I)
 #: What can stand in a head, and its end; anything else ends one that is not closed.
 _IN_HEAD = re.compile(
-    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<title\b" + _ATTRIBUTES + r">.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)|<(style|script|noscript|noframes|template)\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(?:base|basefont|bgsound|link|meta)\b[^>]*(?:>|\Z))*+(?:</head\s*>)?",
+    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(title|noscript|template)\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|(?=</head\b|<body\b)|\Z)|<(style|script|noframes)\b" + _ATTRIBUTES + r">.*?(?:</\2\s*>|\Z)|<(?:base|basefont|bgsound|link|meta)\b[^>]*(?:>|\Z))*(?:</head\s*>)?",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role|data-truth)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)

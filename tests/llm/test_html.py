@@ -87,6 +87,9 @@ def test_pages_with_left_out_tags_keep_their_article():
         f"<head><title>t</title><meta charset=x>{ARTICLE}",
         f"<head><title>t</title><div class=ad>Buy it</div></head>{ARTICLE}",
         f"<title>t</title>{ARTICLE}".replace("<title>t</title>", "<head><title>t</head>"),
+        f"<head><title>t<body>{ARTICLE}",
+        f"<head><noscript><img src=x></head>{ARTICLE}",
+        f"<head><noscript><img src=x></noscript><template>x</template><title>t</title>{ARTICLE}",
         f"<body><svg class=x/>{ARTICLE}",
         f"<body><svg class=x>{ARTICLE}",
         f"<body><svg><foreignObject><div>in a drawing</div></foreignObject></svg>{ARTICLE}".replace("in a drawing", ""),
@@ -164,3 +167,15 @@ def test_hand_labelled_pages():
             hit, wrong, lost = hit + (want and got), wrong + (got and not want), lost + (want and not got)
     print(hit, wrong, lost)
     assert 2 * hit / (2 * hit + wrong + lost) > 0.9
+
+
+def test_any_markup_is_read():
+    """Pages of random pieces of markup, closed or not, in any order."""
+    import random
+
+    rng = random.Random(3)
+    bits = "<head> </head> <title> </title> <noscript> <template> <style> </style> <script> <p <p> /> > <svg </svg> <math> </div> <!-- --> <! </ text &amp; <br> <body> <foreignObject> </a>".split(" ")
+    bits += [" a=", "'", '"', "<div class=x>", "<a href='x'>", " ", "\n"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        assert isinstance(M.extract(page), str), page

@@ -5,7 +5,7 @@ above it. Features of a block are those names and what its text looks like; the
 block whether it belongs to the article, and Viterbi finds the best sequence of the whole page. The field is
 trained by gradient steps on labelled pages that ``labelled_pages`` composes from common layouts.
 
-Only what never shows is left out before the field sees it: comments, the head, scripts, styles, frames and
+Only what never shows is left out before the field sees it: comments, the head, titles, scripts, styles, frames and
 drawings (svg). Fallback texts of media, formulas and templates are blocks like any other.
 """
 
@@ -40,7 +40,7 @@ BREAKS_OUT = ENDS_P | frozenset("b big body br code dd dt em embed head i img li
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*+"""
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)(?:(" + _ATTRIBUTES + r")>|([^>]*+)(?:>|\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
-_HEAD_END = re.compile(r"</head\s*>", re.I)
+_TITLE_END = re.compile(r"</title(?=[\s/>])[^>]*(?:>|\Z)", re.I)
 #: What can stand in a head, and its end; anything else ends one that is not closed.
 _IN_HEAD = re.compile(
     r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(title|noscript|template)\b" + _ATTRIBUTES + r">.*?(?:</\1\s*>|(?=</head\b|<body\b)|\Z)|<(style|script|noframes)\b" + _ATTRIBUTES + r">.*?(?:</\2\s*>|\Z)|<(?:base|basefont|bgsound|link|meta)\b[^>]*(?:>|\Z))*(?:</head\s*>)?",
@@ -79,7 +79,7 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
     stack: list[_Open] = [_Open("", frozenset(), ())]
     open_: Counter = Counter()
     current: Block | None = None
-    at, heads, closed = 0, 0, True  # closed: whether a head's end can still come
+    at, shown, titled = 0, False, True  # whether the body has begun; whether a title's end can still come
 
     def end():
         nonlocal current
@@ -90,14 +90,14 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
             current = None
 
     def say(data):
-        nonlocal current
+        nonlocal current, shown
         top = stack[-1]
         if top.foreign == "svg":
             return
         if current is None:
             if not data.strip():
                 return
-            current = Block([], top.above, top.near, truth=top.truth)
+            current, shown = Block([], top.above, top.near, truth=top.truth), True
         text = entities.unescape(data) if "&" in data else data
         current.parts.append(text)
         if top.links:
@@ -126,14 +126,17 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
             while stack[-1].foreign:
                 drop(len(stack) - 1)
             top = stack[-1]
-        if tag == "head":
-            if not ends:
-                heads += 1
-                stop = _HEAD_END.search(page, at) if heads > 1 and closed else None
-                closed = closed and (heads == 1 or stop is not None)
-                at = (stop or _IN_HEAD.match(page, at)).end()
-            end()
+        if tag == "head":  # once the body has begun, the tag says nothing
+            if not ends and not shown:
+                shown, at = True, _IN_HEAD.match(page, at).end()
+            if not shown or current is None:
+                end()
+            continue
+        if tag == "title" and not ends and titled and not top.foreign:
+            stop = _TITLE_END.search(page, at)
+            titled, at = stop is not None, stop.end() if stop else at
             continue
+        shown = shown or tag not in ("html", "base", "link", "meta")
         if tag == "br":
             if current is not None:
                 current.parts.append(" ")
@@ -182,7 +185,18 @@ def _level(x: float, steps: tuple) -> int:
     return sum(x >= s for s in steps)
 
 
-def _marks(b: Block, place: float) -> list[str]:
+#: Elements that say themselves that they hold the article.
+HOLDERS = frozenset(("article", "main"))
+
+
+def _apart(found: list[Block]) -> list[bool]:
+    """For each block whether it stands outside of the holders of a page that has one."""
+    inside = [not HOLDERS.isdisjoint(b.above) for b in found]
+    some = any(inside)
+    return [some and not x for x in inside]
+
+
+def _marks(b: Block, place: float, apart: bool) -> list[str]:
     """Marks of a block's text and place."""
     t = b.text
     words = t.count(" ") + 1
@@ -193,7 +207,8 @@ def _marks(b: Block, place: float) -> list[str]:
         f"stop:{t[-1] in '.!?:…»”'}",
         f"stops:{_level(sum(map(t.count, '.,;')) / words, (0.02, 0.1, 0.3))}",
         f"sign:{t[:40].startswith(('©', '(c)')) or '©' in t[:40]}",
-        f"place:{_level(place, (0.1, 0.5, 0.9))}",
+        f"place:{_level(place, (0.1, 0.9))}:{words < 12}",
+        f"apart:{apart}",
     ]
 
 
@@ -203,7 +218,8 @@ def _names_above(above: frozenset, near: tuple) -> list[str]:
 
 def block_features(found: list[Block]) -> list[list[str]]:
     """Names above each block, the nearest ones marked, and marks of its text and place."""
-    return [_names_above(b.above, b.near) + _marks(b, i / len(found)) for i, b in enumerate(found)]
+    apart = _apart(found)
+    return [_names_above(b.above, b.near) + _marks(b, i / len(found), apart[i]) for i, b in enumerate(found)]
 
 
 @dataclass
@@ -214,16 +230,16 @@ class Field:
     @cached_property
     def known(self) -> frozenset:
         """Names of elements that have a weight."""
-        return frozenset(f[3:] for f in self.weights if f.startswith("in:"))
+        return HOLDERS | {f[3:] for f in self.weights if f.startswith("in:")}
 
     def scores(self, found: list[Block]) -> list[float]:
         """Weight of the article's features of each block; equal names above are summed once."""
-        get, n, met, out = self.weights.get, len(found), {}, []
+        get, n, met, out, apart = self.weights.get, len(found), {}, [], _apart(found)
         for i, b in enumerate(found):
             head = met.get((b.above, b.near))
             if head is None:
                 head = met[b.above, b.near] = sum([get(f, 0.0) for f in _names_above(b.above, b.near)])
-            out.append(head + sum([get(f, 0.0) for f in _marks(b, i / n)]))
+            out.append(head + sum([get(f, 0.0) for f in _marks(b, i / n, apart[i])]))
         return out
 
     def decode(self, found: list[Block]) -> list[bool]:
@@ -244,7 +260,7 @@ class Field:
         return labels[::-1]
 
 
-def fit_field(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 40, l2: float = 1e-3) -> Field:
+def fit_field(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 100, l2: float = 1e-3) -> Field:
     """Maximum likelihood by adaptive gradient steps; the gradient comes from forward-backward over all pages at once."""
     pages = [(x, y) for x, y in pages if x]
     index: dict[str, int] = {}
@@ -284,8 +300,8 @@ def fit_field(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 40,
     return Field({f: float(w[i]) for f, i in index.items()}, tuple(t.ravel().tolist()))
 
 
-def labelled_pages(count: int = 320, seed: int = 7) -> list[str]:
-    """Pages of many layouts; ``data-truth`` on an element says whether the text in it is the article's."""
+def labelled_pages(count: int = 900, seed: int = 7) -> list[str]:
+    """Pages of many layouts, half of them bare; ``data-truth`` on an element says whether the text in it is the article's, and without one it is."""
     rng = random.Random(seed)
 
     def word():
@@ -355,8 +371,52 @@ def labelled_pages(count: int = 320, seed: int = 7) -> list[str]:
     def footer():
         return box(0, f"&copy; {word()}.example &middot; {say(3, 15)}" + (f"<p>{say(3, 14)}</p>" if rng.random() < 0.3 else ""), ("footer", "|site-footer"), ("div", "footer|copyright|legal|bottom"))
 
+    def odd():
+        """The attribute of a box whose name says nothing, or none."""
+        return rng.choice(("", "", f' class="{word()}"', f' id="{word()}"', f' class="{word()} {word()}"', ' class="wrap"', ' class="container"', ' class="row"', ' id="page"', ' class="col"', ' class="inner"', ' class="box"'))
+
+    def plain():
+        """An article that nothing names: bare, in tables, in elements of old pages, in boxes with names that say nothing."""
+        inner = (f"<h{rng.randint(1, 3)}>{say(2, 10, '')}</h1>" if rng.random() < 0.6 else "") + "".join(piece() for _ in range(rng.randint(1, 9)))
+        how = rng.randint(0, 12)
+        if how == 12:
+            tag = rng.choice(("", "", "span", "b"))
+            inner = " ".join(say(2, 20) for _ in range(rng.randint(1, 5)))
+            return f"<{tag}>{inner}</{tag}>" if tag else inner
+        if how < 3:
+            return inner
+        if how < 5:
+            return rng.choice(("<br><br>", "\n<hr>", "<p>", " ", "\n\n")).join(say(4, 40) for _ in range(rng.randint(1, 6)))
+        if how == 5:
+            return f"<table{odd()}><tr><td>{inner}</td></tr></table>"
+        if how == 6:
+            return f"<center><font size=2>{inner}</font></center>"
+        depth = rng.randint(1, 4)
+        return "".join(f"<div{odd()}>" for _ in range(depth)) + inner + "</div>" * depth
+
+    def bare_page():
+        """What is not the article has its own mark here, and all else is the article."""
+        top = [x() for x in (nav, ad, notice, aside, form, line, line) if rng.random() < 0.25]
+        end = [x() for x in (comments, aside, ad, footer, footer, line, line) if rng.random() < 0.25]
+        page = ("".join(top) if rng.random() < 0.6 else "") + plain() + ("".join(end) if rng.random() < 0.6 else "")
+        if rng.random() < 0.3:
+            page = f"<div{odd()}>{page}</div>"
+        whole = rng.random()
+        if whole < 0.5:
+            return f'<html><head><title>x</title></head><body data-truth="1">{page}</body></html>'
+        return f'<body data-truth="1">{page}' if whole < 0.7 else page
+
+    def line():
+        """Links and signatures in elements that nothing names."""
+        tag = rng.choice(("p", "div", "div", "td", "center", "ul"))
+        inner = rng.choice((" | ".join(f"<a href=x>{say(1, 2, '')}</a>" for _ in range(rng.randint(2, 6))), f"&copy; {rng.randint(1998, 2024)} {say(1, 5)}", f"Copyright &copy; {word()}.example"))
+        return f'<{tag}{odd()} data-truth="0">{inner}</{tag}>'
+
     pages = []
-    for _ in range(count):
+    for k in range(count):
+        if k % 2:
+            pages.append(bare_page())
+            continue
         inner = f"<h1>{say(2, 10, '')}</h1>" + "".join(piece() for _ in range(rng.randint(1, 14)))
         if rng.random() < 0.3:
             cut = inner.rfind("<p>")
@@ -380,7 +440,7 @@ def trained() -> Field:
     pages = []
     for page in labelled_pages():
         found = blocks(page)
-        pages.append((block_features(found), [bool(b.truth) for b in found]))
+        pages.append((block_features(found), [b.truth is not False for b in found]))
     return fit_field(pages)
 
 

@@ -5,7 +5,7 @@ def test_held_out_pages():
     right = total = 0
     for page in M.labelled_pages(80, seed=1234):
         found = M.blocks(page)
-        right += sum(bool(b.truth) == y for b, y in zip(found, M.trained().decode(found)))
+        right += sum((b.truth is not False) == y for b, y in zip(found, M.trained().decode(found)))
         total += len(found)
     assert right / total > 0.985
 
@@ -72,7 +72,7 @@ def test_unclosed_head():
     assert M.extract(bare) == M.extract(bare.replace("<head>", "<head><meta charset=x><link rel='a>b' href=y/><!-- </p> --><base>")) == want
     assert [b.text for b in M.blocks("<head><title>T</title> Words at once <p>more")] == ["Words at once", "more"]
     assert [b.text for b in M.blocks("<p>one<head><meta a=b><title>T</title><p>two<head><p>three<head>")] == ["one", "two", "three"]
-    assert [b.text for b in M.blocks("<head><title>T</title></head><p>one<head><div>x</div></head><p>two")] == ["one", "two"]
+    assert [b.text for b in M.blocks("<head><title>T</title></head><p>one<head><div>x</div></head><p>two")] == ["one", "x", "two"]
     assert M.blocks("<head><title>T</title>") == M.blocks("<head") == M.blocks("<head><script>x") == []
     M.blocks("<head>" * 100_000)
 
@@ -151,18 +151,66 @@ HAND = [
     """<body><div class="banner promo">0|Sale! Ten percent off all shoes, this week only.</div><div class="wrap"><section class="story-body"><h1>1|How we test shoes</h1><p>1|Each pair is worn for a hundred kilometres by three runners.</p>
     <blockquote><p>1|A shoe that hurts on the first day will hurt on the last.</p></blockquote><p>1|We then weigh it, and cut it open.</p></section><form class="newsletter-signup"><label>0|Your mail</label><input><button>0|Sign up</button></form></div>
     <div class="social-links"><a href=f>0|Follow us</a></div></body>""",
+    # Bare layouts: nothing names the article.
+    "<html><body><h1>1|On keeping bees</h1><p>1|A hive needs some room, and a place in the sun.</p><p>1|In spring the bees fly out as soon as it is warm.</p></body></html>",
+    "<body bgcolor=white><font face=arial><b>1|Notes of a sailor</b><br><br>We left the port at five in the morning.<p>1|The wind was weak, and we rowed for an hour.</font></body>",
+    "<html><body><div><div><div><p>1|The library holds forty thousand books.</p><p>1|Most of them were given by the town's people over the years.</p></div></div></div></body></html>",
+    "<table width=100%><tr><td><a href=i>0|Index</a> | <a href=n>Next</a></td></tr><tr><td><p>1|Chapter two tells how the road was built.</p><p>1|It took nine years and the work of many hands.</p></td></tr></table>",
+    "<pre>1|RELEASE NOTES  This version mends three faults of the last one. Upgrade soon.</pre>",
+    "<body><p>1|My grandmother baked bread every Friday.</p><p>1|She used rye flour, salt and a sour dough that was older than me.</p><hr><p><a href=h>0|Home</a> | <a href=c>Contact</a></p></body>",
+    "<div id=x1><div id=x2><h2>1|What the survey says</h2><p>1|Half of those asked take the train; a third of them ride a bike.</p><p>1|Only a few still use a car every day.</p></div></div><div id=x3>0|© 2011 Someone</div>",
+    "<body><center><h2>1|Rules of the club</h2></center><ol><li>1|Be on time for every meeting.</li><li>1|Bring your own cup and plate.</li><li>1|Leave the room as you found it.</li></ol></body>",
+    "<html><body><dl><dt>1|Anchor</dt><dd>1|A heavy piece of iron that holds a ship in its place.</dd><dt>1|Bow</dt><dd>1|The front of a ship.</dd></dl></body></html>",
+    "1|A page without any tag at all, as servers sometimes send it. It has two sentences.",
+    "<span>1|One line of text in a span, with nothing around it.</span>",
+    "<body><h3>1|Recipe for soup</h3><ul><li>1|Two onions, cut into rings.</li><li>1|A litre of water or broth.</li></ul><p>1|Cook it all for twenty minutes, and serve it hot.</p></body>",
+    # Other sites.
+    """<div class="gnb"><ul><li><a href=1>0|Top</a></li><li><a href=2>0|World</a></li></ul></div><div class="article_view"><h3 class="tit_view">1|Rain expected in the north</h3><p>1|Heavy rain is expected in the north of the country on Tuesday.</p><p>1|People are asked to stay away from rivers.</p></div><div class="ad_wrap">0|Get a loan today.</div>""",
+    """<header><a href=/>0|The Post</a><nav><a href=a>0|Politics</a></nav></header><main><div class="lede"><h1>1|A town without cars</h1><p>1|For ten years no car has driven through the old town.</p></div><p>1|Shops feared for their trade; it doubled instead.</p><div class="newsletter">0|Sign up for our letter.</div><p>1|Other towns now want to do the same.</p></main><footer>0|About us</footer>""",
+    """<div id="forum"><div class="topic"><h2>1|How do I sharpen a chisel?</h2><div class="message"><p>1|I bought an old chisel and it is quite blunt, what stone should I use?</p></div></div></div><div class="copyright">0|Powered by a board.</div>""",
+    """<nav class="breadcrumb"><a href=1>0|Docs</a> / <a href=2>API</a></nav><article class="markdown-body"><h1>1|Queue</h1><p>1|A queue holds items until a worker takes them.</p><pre>1|queue.put(item)</pre><h2>1|Limits</h2><p>1|It holds a thousand items at most.</p></article><nav class="pagination"><a href=3>0|Previous</a></nav>""",
+    """<div class="cookie-bar"><p>0|This site uses cookies to count its visitors.</p></div><div class="layout"><div class="col-main"><h1>1|The oldest tree</h1><p>1|In a valley in the south stands a tree of three thousand years.</p><p>1|Nobody is told where exactly it is.</p></div><div class="col-side sidebar"><h4>0|Most read</h4><ol><li><a href=x>0|The tallest tree</a></li></ol></div></div>""",
+    """<body><div class="menu"><a href=1>0|Home</a></div><div class="story"><h1>1|Cup won at last</h1><div class="meta">1|12 June, by R. Stone</div><p>1|After ninety minutes and a penalty the cup was theirs.</p></div><div class="comments"><div class="comment"><p>0|What a match that was!</p></div><div class="comment"><p>0|The penalty was a gift, if you ask me.</p></div></div></body>""",
+    """<body><div role="navigation"><ul><li><a href=a>0|Shop</a></li></ul></div><div role="main"><h1>1|Wool blanket</h1><p>1|Woven from the wool of mountain sheep, it keeps you warm in any winter.</p><p>1|Wash it by hand in cold water.</p></div><div role="contentinfo">0|© Blanket makers</div></body>""",
+    """<div class="wrapper"><div class="topbar"><a href=l>0|Log in</a></div><section class="post"><header><h1>1|Why I walk to work</h1></header><div class="entry"><p>1|It is four kilometres, along a canal and through a park.</p><p>1|On the way I think about nothing at all.</p></div><div class="tags"><a href=t>0|walking</a> <a href=u>city</a></div></section></div>""",
+    """<body><article><h1>1|Eclipse seen by thousands</h1><p>1|At noon it became dark for two minutes.</p><div class="advertisement">0|Glasses at half the price!</div><p>1|The birds fell silent, and so did the people.</p></article><aside class="recommended"><h3>0|You may also like</h3><a href=m>0|Mars comes closer</a></aside><div class="modal">0|Subscribe to read more.</div></body>""",
+    """<body><ul class="menu"><li><a href=1>0|A</a></li><li><a href=2>0|B</a></li></ul><div class="text"><p>1|The first railway here was opened in 1854; it ran to the coast.</p><table><tr><td>1|Length</td><td>1|32 km</td></tr></table></div><form class="search"><label>0|Search</label><input></form></body>""",
+    """<main id="main-content"><h1>1|Pay your bill</h1><p>1|You can pay your bill in three ways.</p><ul><li>1|At any post office.</li><li>1|By transfer from your bank.</li></ul></main><footer class="site-footer"><ul><li><a href=p>0|Privacy</a></li></ul><p>0|© City works</p></footer>""",
+    """<div class="page"><div class="header"><h1><a href=/>0|Night sky</a></h1></div><div class="content"><h2>1|Finding the pole star</h2><p>1|Follow the line of the two last stars of the wagon, five times their distance.</p></div><div class="share"><a href=s>0|Tweet</a></div><div class="footer">0|All rights reserved.</div></div>""",
+    """<body><noscript>0|Please turn on scripts.</noscript><div class="alert">0|The office is closed on Monday.</div><div class="article-body"><p>1|Snails are slow, but they get everywhere.</p><blockquote>1|Never hurry a snail.</blockquote><p>1|So says a proverb of my village.</p></div></body>""",
+    """<div><ul><li><a href=1>0|Start</a></li><li><a href=2>0|Team</a></li><li><a href=3>0|Jobs</a></li></ul></div><div><h1>1|We build boats</h1><p>1|Our yard has built boats of wood since 1921, each of them by hand.</p><p>1|Come and see us at work.</p></div>""",
 ]
 
 
+BARE = "<p>The council met on Monday to talk about the bridge.</p><p>Most of its members were for it, but some had doubts.</p><p>A vote is planned for next week.</p>"
+
+
+def test_bare_pages_keep_every_paragraph():
+    want = "The council met on Monday to talk about the bridge. Most of its members were for it, but some had doubts. A vote is planned for next week."
+    for page in (f"<html><body>{BARE}</body></html>", BARE, f"<div><div>{BARE}</div></div>", f"<table><tr><td>{BARE}</table>", f"<body><center><font>{BARE}</font></center>", f"<html><head><title>t</title></head><body><div id=c7>{BARE}</div></body></html>"):
+        assert M.extract(page) == want, page
+        assert M.extract(page.replace("<p>", "<h1>Council meets</h1><p>", 1)) == "Council meets " + want, page
+    assert M.extract("Plain text without tags. It has a few sentences in it. Nothing more.") == "Plain text without tags. It has a few sentences in it. Nothing more."
+
+
+def test_head_tags_in_the_body_say_nothing():
+    text = "<article><p>We say that the <head> element holds the title of a page.</p><p>It ends at </head> and the body begins.</p><p>This is the last paragraph.</p></article>"
+    want = "We say that the element holds the title of a page. It ends at and the body begins. This is the last paragraph."
+    assert M.extract(text) == M.extract(f"<html><head><title>t</title></head><body>{text}") == M.extract(f"<html><head><title>t</title>{text}") == want
+    assert M.extract(text.replace("<head>", "<title>hidden</title>")) == want and "This is the last" in M.extract(text.replace("<head>", "<title>"))
+
+
 def test_hand_labelled_pages():
     """Blocks of pages of another source than the training pages: F1 over all blocks."""
     import re
 
     hit = wrong = lost = 0
+    assert len(HAND) >= 30
     for page in HAND:
         truth = [b.text[0] == "1" for b in M.blocks(page)]
-        found = M.blocks(re.sub(r"[01]\|", "", page))
-        assert len(found) == len(truth)
+        page = re.sub(r"[01]\|", "", page)
+        found = M.blocks(page)
+        assert len(found) == len(truth) and M.extract(page), page
         for want, got in zip(truth, M.trained().decode(found)):
             hit, wrong, lost = hit + (want and got), wrong + (got and not want), lost + (want and not got)
     print(hit, wrong, lost)

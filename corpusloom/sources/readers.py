@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from .posts import original_post  # noqa: F401
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -125,122 +124,6 @@ def framed_reviews(pages: DataFrame, column: str = "body") -> DataFrame:
     return rows.select(get("$[0]", "string").alias("review_id"), get("$[1][0]", "string").alias("author"), get("$[2]", "int").alias("rating"), get("$[4]", "string").alias("raw_text"), "page_token")
 
 
-_THREAD = re.compile(r"https://support\.google\.com/photos/thread/([0-9]+)(?:/[^/?#]*)?/?(?:\?[^#]*)?(?:#.*)?")
-_STRUCTURED = re.compile(r"""<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>""", re.S | re.I)
-_SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script\s*>", re.S | re.I)
-_VIEW = re.compile(r"\bvar\s+thread_view\s*=\s*'((?:\\.|[^'\\])*)'\s*;", re.S)
-_ESCAPE = re.compile(r"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)", re.S)
-_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\\": "\\", "'": "'", '"': '"', "/": "/"}
-_POST = ("title", "body_text", "author_name", "published_at", "text_path", "failure")
-
-
-def _thread_id(url) -> str | None:
-    found = _THREAD.fullmatch(url) if isinstance(url, str) else None
-    return found and found.group(1)
-
-
-def _plain(value) -> bool:
-    return isinstance(value, str) and value.strip() != "" and not re.search(r"</?[A-Za-z][^>]*>", value)
-
-
-def _paired(value):
-    """Text with surrogates joined to characters, single ones replaced."""
-    return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if isinstance(value, str) else None
-
-
-def _json(value: str):
-    def refuse(name):
-        raise ValueError(name)
-
-    return json.loads(value, parse_constant=refuse)
-
-
-def _unquoted(literal: str) -> str:
-    """Value of a JavaScript string literal; an escape that is not known is an error."""
-    return _paired(_ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else _ESCAPES[m[1]], literal))
-
-
-def _questions(value) -> list:
-    if isinstance(value, list):
-        return [q for v in value for q in _questions(v)]
-    if not isinstance(value, dict):
-        return []
-    kinds, main = value.get("@type"), value.get("mainEntity")
-    own = [main] if "QAPage" in (kinds if isinstance(kinds, list) else [kinds]) and main and not isinstance(main, list) else []
-    return own + (_questions(value["@graph"]) if value.get("@graph") else [])
-
-
-def _thread_post(html: str, item: str | None, literal: str) -> tuple[dict | None, str]:
-    """The first post of a page's thread_view, or None and why not."""
-    refused = "unsupported_thread_bootstrap"
-    at = lambda x, i: x[i] if isinstance(x, list) and len(x) > i else None
-    try:
-        view = _json(_unquoted(literal))
-    except (ValueError, KeyError, RecursionError):
-        return None, refused
-    thread, author = at(view, 1), at(view, 3)
-    info = at(thread, 0)
-    links = [m[1] for m in re.finditer(r"<link\b([^>]*)>", html, re.I) if re.search(r"""\brel\s*=\s*["']canonical["']""", m[1], re.I)]
-    canonical = [_thread_id(h and h[1]) for h in (re.search(r"""\bhref\s*=\s*["']([^"']+)["']""", x, re.I) for x in links)]
-    item = at(canonical, 0) if item is None else item
-    if (isinstance(info, list) and str(at(info, 0)) != item) or item is None or canonical != [item]:
-        return None, "thread_identity_mismatch"
-    title, words = at(thread, 8), at(thread, 12)
-    typed = re.search(r"""\bdata-page-type\s*=\s*["']SUPPORT_FORUM_THREAD["']""", html)
-    if not (typed and isinstance(thread, list) and len(thread) >= 14 and isinstance(info, list) and isinstance(title, str) and title.strip() and _plain(words)):
-        return None, refused
-    micros = str(at(info, 1))
-    published = None
-    if re.fullmatch(r"[0-9]{14,17}", micros) and int(micros) < 1 << 53:
-        published = (datetime(1970, 1, 1) + timedelta(milliseconds=int(micros) // 1000)).isoformat(timespec="milliseconds") + "Z"
-    name = at(at(author, 0), 0) if str(at(author, 2)) == str(at(thread, 6)) else None
-    return {"text": words, "name": title, "dateCreated": published, "author": {"name": name}}, ""
-
-
-def _post(html: str | None, item: str | None) -> tuple:
-    question, path, failure = None, "QAPage.mainEntity.text", "no_verified_plain_original_post"
-    found = []
-    for m in _STRUCTURED.finditer(html or ""):
-        try:
-            found += _questions(_json(m[1]))
-        except (ValueError, RecursionError):
-            continue  # malformed structured data is refused
-    if len(found) == 1:
-        question = found[0]
-        url = question.get("url") if isinstance(question, dict) else None
-        if item is not None and url and _thread_id(url) != item:
-            question, failure = None, "thread_identity_mismatch"
-    elif found:
-        failure = "ambiguous_original_post"
-    else:
-        literals = [v[1] for m in _SCRIPT.finditer(html or "") if not re.search(r"\bsrc\s*=", m[1], re.I) for v in _VIEW.finditer(m[2])]
-        if len(literals) > 1:
-            failure = "ambiguous_original_post"
-        elif literals:
-            path = "thread_view[1][12]"
-            question, failure = _thread_post(html, item, literals[0])
-    if not isinstance(question, dict) or not _plain(question.get("text")):
-        return None, None, None, None, None, failure
-    author, published = question.get("author"), question.get("dateCreated") or question.get("datePublished")
-    zoned = isinstance(published, str) and re.search(r"(?:Z|[+-][0-9]{2}:[0-9]{2})\Z", published)
-    return _paired(question.get("name")), _paired(question["text"]), _paired(author.get("name")) if isinstance(author, dict) else None, published if zoned else None, path, None
-
-
-@F.pandas_udf(StructType([StructField(c, StringType()) for c in _POST]))
-def _posts(html: pd.Series, item: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_post(h, i) for h, i in zip(html, item)], columns=list(_POST), dtype=object)
-
-
-def original_post(pages: DataFrame, html: str = "html", item: str | None = None) -> DataFrame:
-    """``pages`` with title and whole text of the original post, or null and the ``failure``.
-
-    The text is mainEntity.text of the only QAPage in the structured data, else that of the page's thread_view.
-    The visible page is never read in its place. ``item`` names a column of thread ids that a page must fit.
-    """
-    known = F.lit(None).cast("string") if item is None else F.col(item).cast("string")
-    return pages.withColumn("post", _posts(F.col(html), known)).select(*pages.columns, "post.*")
-
-
 def new_only(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(known.select(*keys).distinct(), keys, "left_anti")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import free_names
+
 CONCENTRATION, ESTABLISHED_DOCS, ESTABLISHED_SOURCES = 0.40, 5, 2
 CONFIRMED = ("auto_confirmed", "human_confirmed", "confirmed")
 
@@ -153,7 +155,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list, last: bool = Fals
     """The first (or last) row of each key in a total order."""
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     w = Window.partitionBy(*keys).orderBy(*([c.desc() for c in cols] if last else cols))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    (place,) = free_names(df, "_place")
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def repeated(df: DataFrame, by: str, key: str) -> DataFrame:

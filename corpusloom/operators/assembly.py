@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
+from ..session import free_names
 
 
 def provenance_reasons(doc_id: Column, expected_id: Column, raw_hash: Column, expected_hash: Column, url_key: Column, expected_key: Column, tier: Column, allow_synthetic: bool = False) -> Column:
@@ -41,7 +42,8 @@ def split_policy(docs: DataFrame, development: DataFrame, holdout: DataFrame, ke
 def first_wins(cards: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of a case that several datasets hold, the first in their order."""
     w = Window.partitionBy(key).orderBy(*order)
-    return cards.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    (place,) = free_names(cards, "_place")
+    return cards.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def verdict_counts(cards: DataFrame, by: str, verdicts: list[str]) -> DataFrame:
@@ -110,8 +112,9 @@ def upsert_candidates(existing: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def required(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of ``wanted``; reading fails if one of them is missing in ``df``."""
-    m = wanted.select(key).distinct().join(df.withColumn("_here", F.lit(True)), key, "left")
-    return m.where(F.assert_true(F.coalesce("_here", F.lit(False)), F.concat(F.lit("missing "), F.col(key).cast("string"))).isNull()).drop("_here")
+    (here,) = free_names(df, "_here")
+    m = wanted.select(key).distinct().join(df.withColumn(here, F.lit(True)), key, "left")
+    return m.where(F.assert_true(F.coalesce(here, F.lit(False)), F.concat(F.lit("missing "), F.col(key).cast("string"))).isNull()).drop(here)
 
 
 def three_way_scores(df: DataFrame, gold: str, pred: str, classes: list[str], relevant: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..session import free_names
 from .evidence import ladder
 
 
@@ -123,18 +124,19 @@ def merged_quotes(first: Column, second: Column) -> Column:
 
 def union_first(*sources: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of several sources; of a key that several hold, the one of the first source, and in it the first by ``order``."""
-    marked = None
+    marked, (place,) = None, free_names(sources[0], "_source")
     for i, s in enumerate(sources):
-        part = s.withColumn("_source", F.lit(i))
+        part = s.withColumn(place, F.lit(i))
         marked = part if marked is None else marked.unionByName(part)
     cols = sources[0].columns
-    return marked.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct("_source", order)).alias("x")).select("x.*")
+    return marked.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(place, order)).alias("x")).select("x.*")
 
 
 def ledger_after(ledger: DataFrame, release: DataFrame) -> DataFrame:
     """Reservations after a run: those it released free their amount, those it names with a cost are spent. release: reservation_id, spent (null: unused)."""
-    got = ledger.join(release.withColumn("_named", F.lit(True)), "reservation_id", "left")
-    open_ = (F.col("state") == "reserved") & F.coalesce("_named", F.lit(False))
+    (named,) = free_names(ledger, "_named")
+    got = ledger.join(release.withColumn(named, F.lit(True)), "reservation_id", "left")
+    open_ = (F.col("state") == "reserved") & F.coalesce(named, F.lit(False))
     state = F.when(open_ & F.col("spent").isNull(), "released").when(open_, "spent").otherwise(F.col("state"))
     return got.withColumn("amount", F.when(open_ & F.col("spent").isNotNull(), F.least("spent", "amount")).otherwise(F.col("amount"))).withColumn("state", state).select(*ledger.columns)
 

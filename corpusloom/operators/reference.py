@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, urls
+from ..session import free_names
 
 # What a sheet says where nothing was stated.
 UNSTATED = ("", "unknown", "not stated", "none", "n/a")
@@ -81,9 +82,10 @@ def envelope_documents(items: DataFrame, platform: str) -> DataFrame:
 
 def import_new(documents: DataFrame, known: DataFrame) -> DataFrame:
     """``documents`` with ``state``: new, present, or changed (known under its URL key with another text, so it must be reviewed)."""
-    k = known.groupBy("source_url_key").agg(F.first("raw_text_sha256").alias("_known"))
-    state = F.when(F.col("_known").isNull(), "new").when(F.col("_known") == F.col("raw_text_sha256"), "present").otherwise("changed")
-    return documents.join(k, "source_url_key", "left").withColumn("state", state).drop("_known")
+    (had,) = free_names(documents, "_had")
+    k = known.groupBy("source_url_key").agg(F.first("raw_text_sha256").alias(had))
+    state = F.when(F.col(had).isNull(), "new").when(F.col(had) == F.col("raw_text_sha256"), "present").otherwise("changed")
+    return documents.join(k, "source_url_key", "left").withColumn("state", state).drop(had)
 
 
 def flat_children(payload: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import free_names
+
 
 def effective(model: DataFrame, human: DataFrame, key: str = "doc_id", order: str = "decision_id") -> DataFrame:
     """Each model row, replaced by the human row of smallest id where there is one; ``decided_by`` tells which."""
@@ -53,7 +55,8 @@ def current_cases(cases: DataFrame) -> DataFrame:
     human = F.col("extractor_type") == "human"
     pool = F.when(human & (F.col("validation_state") == "valid"), 0).when(~human, 1).otherwise(2)
     w = Window.partitionBy("case_id").orderBy(pool, F.desc("extracted_at"), F.desc("extraction_fingerprint"))
-    return cases.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    (place,) = free_names(cases, "_place")
+    return cases.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def parent_context(items: DataFrame, splits: DataFrame) -> DataFrame:

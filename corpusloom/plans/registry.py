@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text, urls
 from ..operators import analysis, assembly, dedupe, evaluation, evidence, extraction, retrieval, review, routing
-from ..sources import writers
+from ..sources import privacy, writers
 from ..session import ship, spread
 from ..streaming import incremental
 
@@ -23,7 +23,7 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query under its function's name; ``t`` reads a table of the folder."""
+    """Register a query under its function's name; ``t`` reads a table of the folder, which is ``t.folder``."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def query(sql: str | None = None):
                 df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
                 return spread(df) if name in ("documents", "pages") else df  # texts go through Python and regular expressions
 
+            table.folder = sf_dir
             return f(table)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
@@ -432,10 +433,21 @@ def export_cards(t):
     return got.select("doc_id", "excerpt", F.get("spans", F.lit(0))["start"].alias("first_start"))
 
 
-@query(r"SELECT 'text' AS \"column\", 'email' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') HAVING count(*) > 0".replace('\\"', '"'))
+_PHONE = r"(^|[^\p{Nd}])(\+\p{Nd}{1,3}[\s\x0b\x{85}\p{Z}.\-]?)?(\(\p{Nd}{3}\)|\p{Nd}{3})[\s\x0b\x{85}\p{Z}.\-]\p{Nd}{3}[\s\x0b\x{85}\p{Z}.\-]\p{Nd}{4}($|[^\p{Nd}])"
+
+
+@query(rf"""
+WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w, source FROM documents),
+v AS (SELECT doc_id, '$.parts[' || (i - 1) || '].line' AS path, w[i] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM x) UNION ALL SELECT doc_id, '$.more.free.list[0].said', array_to_string(w, ' ') FROM x WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, '$.props.note', source || ' sk-ant-1' FROM x WHERE doc_id % 50 = 1),
+k AS (SELECT doc_id, '$.props.api_key' AS path FROM x WHERE doc_id % 30 = 0 UNION ALL SELECT doc_id, '$.more.free.prompt' FROM x WHERE doc_id % 4 = 0 AND doc_id % 5 = 0 UNION ALL SELECT doc_id, '$.meta.author_name' FROM x)
+SELECT path, kind, count(*) AS n FROM (SELECT DISTINCT doc_id, path, 'email' AS kind FROM v WHERE regexp_matches(v, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}') UNION ALL SELECT DISTINCT doc_id, path, 'phone' FROM v WHERE regexp_matches(v, '{_PHONE}')
+  UNION ALL SELECT DISTINCT doc_id, path, m FROM v, (VALUES ('sk-ant-'), ('AIza'), ('GROQ_API_KEY'), ('YOUTUBE_API_KEY'), ('ANTHROPIC_API_KEY'), ('AUTHOR_SALT')) s(m) WHERE contains(v, m) UNION ALL SELECT doc_id, path, 'forbidden_key' FROM k) GROUP BY ALL""")
 def leak_scan(t):
-    """E-mail addresses alone, as its SQL; ``leak_scan_kinds`` reports every kind."""
-    return writers.leaking_rows(t("documents").select("text")).where("kind = 'email'")
+    """Findings by path in lines of a list, values of a map, fields of a struct and free JSON in one."""
+    k, x = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    free = F.when(k % 4 == 0, F.parse_json(F.to_json(F.struct(F.array(F.struct(F.replace(x, F.lit("\n"), F.lit(" ")).alias("said"))).alias("list"), F.when(k % 5 == 0, 1).alias("prompt")))))
+    props = F.map_filter(F.create_map(F.lit("api_key"), F.when(k % 30 == 0, ""), F.lit("note"), F.when(k % 50 == 1, F.concat("source", F.lit(" sk-ant-1")))), lambda _, v: v.isNotNull())
+    return privacy.leak_findings(t("documents").select(F.transform(F.split(x, "\n", -1), lambda s: F.struct(s.alias("line"))).alias("parts"), props.alias("props"), F.struct(F.lit(None).cast("string").alias("author_name")).alias("meta"), F.struct(free.alias("free")).alias("more")))
 
 
 # A look-around of one character is that character or the text's edge; Java's \s has \x0b too.

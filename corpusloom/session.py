@@ -23,17 +23,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, which all executors share; survives lost executors.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, made from those given."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (f"{'_' * k}{n}" for k in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and scratch tables, which all executors share.
 
-    Only where that folder is unset and all runs in one process (tests, a laptop) one is made.
+    Only where ``spark.checkpoint.dir`` is unset and all runs in one process (tests, a laptop) one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        place = spark.conf.get("spark.checkpoint.dir", None)
         if not place and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="corpusloom-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder; survives lost executors."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,15 +54,18 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], rank: str = "r
 
     Rows are dealt by range over group and order, which must tell all rows of a group apart or ranks of equal
     ones are any of theirs; a row's rank is its place in its part and the rows of its group in the parts before.
+    Columns of the names ``rank`` and ``size`` are replaced.
     """
-    keys = [f"_k{i}" for i in range(len(order))]
+    keys = free_names(df, *[f"_k{i}" for i in range(len(order))])
+    part, count, before = free_names(df, "_part", "_count", "_before")
     dealt = df.withColumns(dict(zip(keys, order))).repartitionByRange(*groups, *keys)
-    base = settled(dealt.withColumn("_part", F.spark_partition_id()))
-    counts = base.groupBy(*groups, "_part").agg(F.count("*").alias("_c"))  # a row per group and part
+    base = settled(dealt.withColumn(part, F.spark_partition_id()))
+    counts = base.groupBy(*groups, part).agg(F.count("*").alias(count))  # a row per group and part
     w = Window.partitionBy(*groups)
-    sums = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias(size))
-    same = F.col("_part") == F.col("_p")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*keys))
-    return base.join(sums, same).withColumn(rank, inside + F.col("_before")).drop(*keys, "_part", "_p", "_before", *[f"_g{i}" for i in range(len(groups))])
+    mine = free_names(base, *[f"_g{i}" for i in range(len(groups))], "_p")
+    sums = counts.select(*[F.col(g).alias(x) for g, x in zip(groups, mine)], F.col(part).alias(mine[-1]), F.coalesce(F.sum(count).over(w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum(count).over(w).alias(size))
+    same = F.col(part) == F.col(mine[-1])
+    for g, x in zip(groups, mine):
+        same = same & F.col(g).eqNullSafe(F.col(x))
+    inside = F.row_number().over(Window.partitionBy(*groups, part).orderBy(*keys))
+    return base.drop(rank, size).join(sums, same).withColumn(rank, inside + F.col(before)).drop(*keys, part, before, *mine)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import free_names
 from .posts import original_post  # noqa: F401
 
 
@@ -34,8 +35,9 @@ def wanted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def unique(df: DataFrame, key: str) -> DataFrame:
     """``df``; reading it fails if a key occurs twice."""
-    n = df.groupBy(key).agg(F.count("*").alias("_n"))
-    return df.join(n, key).where(F.assert_true(F.col("_n") == 1, F.format_string("repeated id %s", F.col(key).cast("string"))).isNull()).drop("_n")
+    (times,) = free_names(df, "_times")
+    n = df.groupBy(key).agg(F.count("*").alias(times))
+    return df.join(n, key).where(F.assert_true(F.col(times) == 1, F.format_string("repeated id %s", F.col(key).cast("string"))).isNull()).drop(times)
 
 
 def csv_exact(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
@@ -218,13 +220,14 @@ def rating_cell(value: Column) -> Column:
 
 def checked_rows(df: DataFrame, key: str, parent: str | None = None) -> DataFrame:
     """``df`` with an array ``reasons``: all rows of a repeated id are refused, and rows whose parent is missing or refused."""
-    n = df.groupBy(key).agg(F.count("*").alias("_n"))
-    got = df.join(n, key, "left").withColumn("reasons", F.array_compact(F.array(F.when(F.col(key).isNull(), "missing_id"), F.when(F.col("_n") > 1, "duplicate_id")))).drop("_n")
+    times, above, clean_name = free_names(df, "_times", "_above", "_clean")
+    n = df.groupBy(key).agg(F.count("*").alias(times))
+    got = df.join(n, key, "left").withColumn("reasons", F.array_compact(F.array(F.when(F.col(key).isNull(), "missing_id"), F.when(F.col(times) > 1, "duplicate_id")))).drop(times)
     if parent:
-        clean = got.groupBy(F.col(key).alias("_p")).agg(F.min(F.size("reasons") == 0).alias("_clean"))
-        got = got.join(clean, got[parent] == F.col("_p"), "left")
-        bad = F.when(F.col(parent).isNotNull() & F.col("_p").isNull(), "orphan_parent").when(F.col(parent).isNotNull() & ~F.col("_clean"), "parent_rejected")
-        got = got.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(bad)))).drop("_p", "_clean")
+        clean = got.groupBy(F.col(key).alias(above)).agg(F.min(F.size("reasons") == 0).alias(clean_name))
+        got = got.join(clean, got[parent] == F.col(above), "left")
+        bad = F.when(F.col(parent).isNotNull() & F.col(above).isNull(), "orphan_parent").when(F.col(parent).isNotNull() & ~F.col(clean_name), "parent_rejected")
+        got = got.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(bad)))).drop(above, clean_name)
     return got
 
 

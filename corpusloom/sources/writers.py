@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import artifact_hash, canonical_json
 from ..functions.text import leaks
+from .privacy import guarded
 
 
 def write_json_lines(df: DataFrame, path: str, key: str, mode: str = "error") -> None:
@@ -92,6 +93,11 @@ def load_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{root}/versions/{version}")
 
 
+def write_cache(entries: DataFrame, path: str, denied: tuple[str, ...] = ()) -> None:
+    """Append answers to a cache; none is written by a task that meets a secret, whole or as a mark, in any of its columns."""
+    guarded(entries, keys=(), denied=denied).write.mode("append").parquet(path)
+
+
 def cached(keys: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """Hits with their responses, and the misses; unreadable entries (null response) are misses."""
     good = cache.where("response is not null").dropDuplicates([key])

@@ -25,6 +25,8 @@ ORDERS = (1, 2, 3)
 #: others, so the landmark n-grams stay few.
 PER_LANGUAGE, TRAIN_ROWS, LANDMARKS, LANDMARK_CHARS = 150, 9_600, 96, 20_000
 RIDGE, TABLE_BITS = 1e-3, 20
+#: Score from which a text counts as identified.
+MIN_SCORE = 0.5
 UNKNOWN = "und"
 #: Code of the blank alone, which all texts have.
 BLANK = np.uint64(1 << 20 | 32)
@@ -209,12 +211,12 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", languages: set[str] | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", languages: set[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows of ``docs`` whose whole text is identified, with all their columns.
 
-    A text goes if it is null, empty or has no letter, or if it shares no n-gram with any landmark, so that the
-    kernel holds nothing for or against a language (an unknown script). With ``languages``, one predicted to be
-    of another language goes too. Without a model, having a letter decides. Repeated rows all stay or all go; an
+    A text goes if it is null, empty or has no letter, if it shares no n-gram with any landmark, or if its score is
+    below ``min_score``: at one half the best margin changes its sign, and no language's regression claims the text. With
+    ``languages``, one predicted to be of another language goes too. Without a model, having a letter decides. Repeated rows all stay or all go; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -232,8 +234,8 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
                 if m is None:
                     keep += (_codes(texts)[2] > 0).tolist()
                 else:
-                    langs, _, held_against = m.judge(texts)
-                    keep += [x != UNKNOWN and k and (languages is None or x in languages) for x, k in zip(langs, held_against.tolist())]
+                    langs, scores, held_against = m.judge(texts)
+                    keep += [x != UNKNOWN and k and s >= min_score and (languages is None or x in languages) for x, s, k in zip(langs, scores.tolist(), held_against.tolist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -124,3 +124,19 @@ def test_no_rows(spark):
     assert M.train(df.limit(0)) is None
     assert M.identify(df.limit(0), None).count() == 0
     assert {r.lang_pred for r in M.identify(df, None).collect()} == {"und"}
+
+
+FOREIGN = ["Это русский текст о погоде, он довольно длинный.", "Questo è un testo italiano che parla del tempo e della pioggia.", "To jest polski tekst o pogodzie, dość długi.", "Bu hava durumu hakkında uzun bir Türkçe metindir.", "日本語のテキストは天気についてです。"]
+
+
+def test_foreign_texts_go_by_the_score(spark):
+    """Languages that were not learned, in a known script or not; of the table's own texts almost all stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(8)
+    model = M.train(docs)
+    planted = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    kept = M.keep_identified(docs.union(planted), model)
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert M.keep_identified(planted, model, min_score=0.0).count() > 0  # the score decides, not a letter
+    held = docs.where(M.held_out(docs.doc_id))
+    assert M.keep_identified(held, model).count() > 0.985 * held.count()
+    assert {r.text for r in kept.where("doc_id < 1000000000").select("text").distinct().collect()} == {r.text for r in M.keep_identified(docs, model).select("text").distinct().collect()}

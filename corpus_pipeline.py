@@ -5,8 +5,8 @@ of each group stays), benchmark contamination (contaminated texts go), BPE (a ro
 All but the last return the columns of ``documents``. Models are trained on a bounded sample of a stage's
 own input; everything else covers all of it.
 
-The language stage keeps every language that was learned: it takes no language away, as all of them are clean
-text, and rejects what the kernel can hold against none of them. Every stage takes nulls in any column, empty and
+The language stage keeps every language that was learned, and rejects texts that no language's regression claims
+(a score below one half): those of other languages and scripts, and some of a word or two. Every stage takes nulls in any column, empty and
 very long texts, repeated rows, extra columns of any name and empty tables; repeated rows share one fate, but the
 near-duplicate stage keeps one of them.
 """
@@ -20,7 +20,7 @@ from corpusloom.llm.common import read_table, spread, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null, empty and letterless texts and those of an unknown script go. Without a labelled row, a letter decides."""
+    """Null, empty and letterless texts go, and those whose score is below one half. Without a labelled row, a letter decides."""
     return language.keep_identified(docs, language.train(docs))
 
 

@@ -3,8 +3,9 @@
 Categories are predicted in a fixed order; each logistic model sees the features of a text and the
 probabilities of the categories before it. For training, those probabilities come from models that saw
 neither the row nor a copy of it (out of fold, folds by text, features chosen anew in each), so later models
-learn from what they will meet. First come the other labelled columns (quality), then kinds of toxicity (rows
-labelled toxic that use words of a kind), last the toxic label itself.
+learn from what they will meet. First come the other labelled columns (quality), then kinds of toxicity, last the
+toxic label itself. Kinds are found in the labelled rows: the toxic ones are grouped by the features that tell toxic rows
+apart, and each group is a category, named by the word that marks it best.
 
 Features say whether a word, or the first letters of longer words, occur anywhere in the whole text, once or more often;
 the ones that tell the toxic label apart best are kept. The threshold is the one of best F1 over the
@@ -32,12 +33,8 @@ from .words import portions
 TRAIN_ROWS, FEATURES, FOLDS = 4_000, 700, 3
 #: A feature is in at least so many training rows; letters of a stem.
 LEAST_ROWS, STEMS = 3, (4, 5)
-# Words of each kind of toxicity, by which labelled rows get their weak category labels.
-KINDS = {
-    "insult": ("clown", "fool", "idiot", "jerk", "loser", "moron"),
-    "contempt": ("awful", "disgusting", "dumb", "pathetic", "stupid", "worthless"),
-    "degrading": ("filth", "garbage", "scum", "trash", "vermin"),
-}
+#: Kinds of toxicity that are told apart, and rounds of their grouping at most.
+KINDS, KIND_ROUNDS = 3, 20
 _WORD = re.compile(r"\w+")
 
 
@@ -117,17 +114,50 @@ def _chosen(counts: tuple[np.ndarray, np.ndarray], rows: tuple[int, int], rank:
     return known[np.lexsort((rank[known], -gain[known]))][:most]
 
 
-def fit_chain(texts: list[str], toxic: list[int], links: dict[str, list] | None = None, kinds=KINDS, folds: int = FOLDS, most: int = FEATURES) -> Chain:
+def group_kinds(x: np.ndarray, y: np.ndarray, words: list[str], kinds: int = KINDS) -> tuple[list[str], np.ndarray]:
+    """Names and members (kinds by rows) of groups of the rows with a label, by the features ``words`` of ``x``.
+
+    Features count as far as they are more frequent with the label than without. The first group begins at the row of
+    most weight, each other at the row least like the groups before; then rows move to the group whose mean they are most
+    like until none moves. Ties go to the first row or group. There are no more groups than rows that differ.
+    """
+    p, q = (x[y > 0].sum(0) + 0.5) / ((y > 0).sum() + 1), (x[y <= 0].sum(0) + 0.5) / ((y <= 0).sum() + 1)
+    mine = np.flatnonzero(y > 0)
+    z = x[mine] * np.maximum(np.log(p / q), 0)
+    size = np.linalg.norm(z, axis=1)
+    z = z / np.maximum(size, 1e-9)[:, None]
+    chosen: list[int] = []
+    while len(chosen) < kinds and len(mine):
+        near = (z @ z[chosen].T).max(1) if chosen else 1 - size / max(size.max(), 1e-9)
+        k = int(near.argmin())
+        if chosen and near[k] > 1 - 1e-6:
+            break
+        chosen.append(k)
+    centres, group = z[chosen], np.full(len(mine), -1)
+    for _ in range(KIND_ROUNDS):
+        new = (z @ centres.T).argmax(1) if chosen else group
+        if (new == group).all():
+            break
+        group = new
+        sums = np.array([z[group == k].sum(0) for k in range(len(chosen))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
+    plain = [i for i, w in enumerate(words) if w[-1] not in "-="]
+    member, names = np.zeros((len(chosen), len(y)), np.float32), []
+    for k in range(len(chosen)):
+        member[k, mine[group == k]] = 1
+        lead = [i for i in plain if f"kind:{words[i]}" not in names]
+        best = max(lead, key=lambda i: (float(centres[k][i]), -i), default=None)
+        names.append(f"kind:{words[best] if best is not None else k}")
+    return names, member
+
+
+def fit_chain(texts: list[str], toxic: list[int], links: dict[str, list] | None = None, kinds: int = KINDS, folds: int = FOLDS, most: int = FEATURES) -> Chain:
     """Fit on labelled texts. ``links``: other labels that are predicted before, 0, 1 or None (unknown) for each text."""
     y, n = np.array(toxic, np.float32), len(texts)
-    names = [*(links or {}), *kinds, "toxic"]
     index: dict[str, int] = {}
-    found, kind = [], np.zeros((len(kinds), n), np.float32)
-    for i, t in enumerate(texts):  # features as numbers: the driver holds a few bytes for each
-        got = features(t)
-        found.append(np.array([index.setdefault(f, len(index)) for f in sorted(got)], np.int32))
-        kind[:, i] = [float(toxic[i] > 0 and not got.isdisjoint(ws)) for ws in kinds.values()]
-    targets = [*(np.array([np.nan if v is None else v for v in vs], np.float32) for vs in (links or {}).values()), *kind, y]
+    found = []
+    for t in texts:  # features as numbers: the driver holds a few bytes for each
+        found.append(np.array([index.setdefault(f, len(index)) for f in sorted(features(t))], np.int32))
     spelled = list(index)
     rank = np.empty(len(spelled), np.int64)
     rank[sorted(range(len(spelled)), key=spelled.__getitem__)] = np.arange(len(spelled))
@@ -150,6 +180,9 @@ def fit_chain(texts: list[str], toxic: list[int], links: dict[str, list] | None
         return x, best
 
     x, best = matrix(None)
+    kind_names, kind = group_kinds(x, y, [spelled[f] for f in best.tolist()], kinds)
+    names = [*(links or {}), *kind_names, "toxic"]
+    targets = [*(np.array([np.nan if v is None else v for v in vs], np.float32) for vs in (links or {}).values()), *kind, y]
     parts = [matrix(k)[0] for k in range(folds)]
     before, weights = np.zeros((n, 0), np.float32), []
     for t in targets:
@@ -165,7 +198,7 @@ def fit_chain(texts: list[str], toxic: list[int], links: dict[str, list] | None
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Of best F1; halfway between the probabilities on its two sides."""
+    """Of best F1, of equal ones the highest; halfway between the probabilities on its two sides."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
@@ -220,7 +253,7 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float | None = None,
     def run(batches):
         c = held.value
         limit = 1.0 if c is None else c.threshold if threshold is None else threshold
-        shown = [k for k, n in enumerate(c.categories) if n in KINDS or n == "toxic"] if c else []
+        shown = [k for k, n in enumerate(c.categories) if n.startswith("kind:") or n == "toxic"] if c else []
         for batch in batches:
             p = _judge(c, batch.column(1))
             total = p[:, -1]

@@ -43,20 +43,21 @@ def _grams(text: str, k: int) -> list[list[str]]:
 
 
 def template_positions(spark: SparkSession, base=BASE_PHRASES, notices=NOTICES) -> DataFrame:
-    """(hash, tid, label, is_base, tpos, n_grams): a row for each k-gram of each template; as many as the templates' words."""
+    """(hash, gram, tid, label, is_base, tpos, n_grams): a row for each k-gram of each template; as many as the templates' words."""
     rows = []
     for tid, (label, text, k) in enumerate([(a, b, SHORT_GRAM) for a, b in base] + [(a, b, LONG_GRAM) for a, b in notices]):
         grams = _grams(text, k)
         rows += [(g, tid, label, k == SHORT_GRAM, i, len(grams)) for i, g in enumerate(grams)]
     made = spark.createDataFrame(rows, "g array<string>, tid int, label string, is_base boolean, tpos int, n_grams int")
     g = F.col("g")
-    return made.select(F.when(F.size(g) == SHORT_GRAM, F.xxhash64(g[0], g[1])).otherwise(F.xxhash64(g[0], g[1], F.get(g, F.lit(2)), F.get(g, F.lit(3)))).alias("hash"), g[0].alias("first"), "tid", "label", "is_base", "tpos", "n_grams")
+    return made.select(F.when(F.size(g) == SHORT_GRAM, F.xxhash64(g[0], g[1])).otherwise(F.xxhash64(g[0], g[1], F.get(g, F.lit(2)), F.get(g, F.lit(3)))).alias("hash"), g.alias("gram"), "tid", "label", "is_base", "tpos", "n_grams")
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE_PHRASES, notices=NOTICES) -> DataFrame:
-    """(doc_id, tkey, n_words, copies, spans): spans is an array of (label, is_base, first_word, last_word, cover).
+    """(doc_id, tkey, part, n_words, copies, spans): spans is an array of (label, is_base, first_word, last_word, cover).
 
-    One row per distinct (id, text); copies counts the input rows. Null text has no words.
+    One row per distinct (id, text) of each split of the input; copies counts its rows. Null text has no words. Equal rows are
+    counted within a split before anything is shuffled, and those of different splits are never brought together.
     """
     templates = template_positions(docs.sparkSession, base, notices)
     known = [r[0] for r in templates.select("hash").distinct().collect()]  # as many as the templates' k-grams
@@ -65,33 +66,31 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def at(i, step):
         return F.get(w, i + step)
 
-    # Two hashes per position; those of no template are dropped before the rows are made.
-    hashed = F.transform(w, lambda x, i: F.struct(i.alias("p"), x.alias("first"), F.array(F.xxhash64(x, at(i, 1)), F.xxhash64(x, at(i, 1), at(i, 2), at(i, 3))).alias("h")))
+    # Two hashes per position; those of no template are dropped before the words of a place are taken along.
+    hashed = F.transform(w, lambda x, i: F.struct(i.alias("p"), F.array(F.xxhash64(x, at(i, 1)), F.xxhash64(x, at(i, 1), at(i, 2), at(i, 3))).alias("h")))
     kept = F.filter(hashed, lambda x: x["h"][0].isin(known) | x["h"][1].isin(known))
-    start = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), words(F.col(text_col)).alias("w"))
-    mark = F.array(F.struct(F.lit(-1).alias("p"), F.lit("").alias("first"), F.array(F.lit(0).cast("long")).alias("h")))  # the document itself
-    rows = start.select("doc_id", "tkey", F.size(w).cast("long").alias("n_words"), F.explode(F.concat(mark, kept)).alias("x"))
-    rows = rows.select("doc_id", "tkey", "n_words", F.col("x.p").alias("p"), F.col("x.first").alias("first"), F.explode("x.h").alias("hash"))
+    kept = F.transform(kept, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.slice(w, x["p"] + 1, LONG_GRAM).alias("words")))
+    start = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), words(F.col(text_col)).alias("w"), F.spark_partition_id().alias("part"))
+    once = start.select("doc_id", "tkey", "part", F.size(w).cast("long").alias("n_words"), kept.alias("kept")).groupBy("doc_id", "tkey", "part").agg(F.first("n_words").alias("n_words"), F.first("kept").alias("kept"), F.count("*").alias("copies"))
+    mark = F.array(F.struct(F.lit(-1).alias("p"), F.array(F.lit(0).cast("long")).alias("h"), F.array().cast("array<string>").alias("words")))  # the document itself
+    doc = ["doc_id", "tkey", "part", "n_words", "copies"]
+    rows = once.select(*doc, F.explode(F.concat(mark, "kept")).alias("x")).select(*doc, "x.p", "x.words", F.explode("x.h").alias("hash"))
     doc_rows = F.col("p") == -1
-    met = rows.join(F.broadcast(templates.withColumnRenamed("first", "t_first")), "hash", "left").where(doc_rows | (F.col("first") == F.col("t_first")))
-    met = met.select("doc_id", "tkey", "n_words", F.when(~doc_rows, F.col("tid")).alias("tid"), "label", "is_base", "n_grams", "tpos", F.when(~doc_rows, F.col("p") - F.col("tpos")).alias("diag"))
-    votes = (
-        met.repartition("doc_id", "tkey")
-        .groupBy("doc_id", "tkey", "n_words", "tid", "diag")
-        .agg(F.count("*").alias("rows"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.max("label").alias("label"), F.max("is_base").alias("is_base"), F.max("n_grams").alias("n_grams"))
-    )
-    by = Window.partitionBy("doc_id", "tkey", "n_words", "tid").orderBy("diag")
+    met = rows.join(F.broadcast(templates), "hash", "left").where(doc_rows | (F.slice("words", F.lit(1), F.size("gram")) == F.col("gram")))
+    met = met.select(*doc, F.when(~doc_rows, F.col("tid")).alias("tid"), "label", "is_base", "n_grams", "tpos", F.when(~doc_rows, F.col("p") - F.col("tpos")).alias("diag"))
+    votes = met.groupBy(*doc, "tid", "diag").agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.max("label").alias("label"), F.max("is_base").alias("is_base"), F.max("n_grams").alias("n_grams"))
+    by = Window.partitionBy(*doc, "tid").orderBy("diag")
     new = F.col("is_base") | F.coalesce(F.col("diag") - F.lag("diag").over(by) > MAX_SHIFT, F.lit(True))
     lines = votes.withColumn("new", F.when(F.col("tid").isNotNull(), new.cast("int")))
     lines = lines.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = lines.groupBy("doc_id", "tkey", "n_words", "tid", "island").agg(F.max("rows").alias("rows"), F.max("label").alias("label"), F.max("is_base").alias("is_base"), F.min("diag").alias("diag"), F.max("diag").alias("last_diag"), F.bit_or("mask").alias("mask"), F.max("n_grams").alias("n_grams"))
+    spans = lines.groupBy(*doc, "tid", "island").agg(F.max("label").alias("label"), F.max("is_base").alias("is_base"), F.min("diag").alias("diag"), F.max("diag").alias("last_diag"), F.bit_or("mask").alias("mask"), F.max("n_grams").alias("n_grams"))
     cover = F.bit_count("mask") / F.col("n_grams")
     holds = F.when(F.col("is_base"), cover == 1).otherwise(cover >= MIN_COVER)
     lowest = F.bit_count(F.bitwise_not(F.col("mask")).bitwiseAND(F.col("mask") - 1))  # trailing zeros
     highest = F.lit(63) - (F.lit(64) - F.length(F.bin("mask")))
     gram = F.when(F.col("is_base"), SHORT_GRAM).otherwise(LONG_GRAM)
     span = F.struct("label", "is_base", (F.col("diag") + lowest).cast("long").alias("first_word"), (F.col("last_diag") + highest + gram - 1).cast("long").alias("last_word"), cover.alias("cover"))
-    return spans.groupBy("doc_id", "tkey", "n_words").agg(F.max(F.when(F.col("tid").isNull(), F.col("rows"))).alias("copies"), F.sort_array(F.collect_list(F.when(F.col("tid").isNotNull() & holds, span))).alias("spans"))
+    return spans.groupBy(*doc).agg(F.sort_array(F.collect_list(F.when(F.col("tid").isNotNull() & holds, span))).alias("spans"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,8 +98,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     n_base counts every place of a base phrase; first_word and last_word are the smallest and largest start
     (null without one). score: the largest covered share of a template among the spans that hold, 0 without
-    one. Null and empty texts have no words and no labels. Repeated rows each come back. An empty table
-    gives no rows; other columns play no part.
+    one. Null and empty texts have no words and no labels. Repeated rows each come back. Texts are read
+    whole, of any length. An empty table gives no rows; other columns play no part.
     """
     found = license_spans(docs, id_col, text_col)
     base = F.filter("spans", lambda s: s["is_base"])

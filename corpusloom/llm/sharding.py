@@ -25,6 +25,10 @@ class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+class MergedElsewhere(RuntimeError):
+    """Runs of a merge are in no live version any more."""
+
+
 class ShardStore:
     """Runs and manifests below ``root``. The driver holds a row per run, never a row per shard or record."""
 
@@ -113,7 +117,10 @@ class ShardStore:
         return self.spark.read.parquet(*[f"{self.root}/data/{r.run}" for r in runs]) if runs else None
 
     def compact(self) -> int:
-        """Merge tiers that hold ``fan_in`` runs or more, lowest first, until none does; returns the newest version."""
+        """Merge tiers that hold ``fan_in`` runs or more, lowest first, until none does; returns the newest version.
+
+        Of two writers that merge the same runs one commits; the other removes what it wrote and goes on from there.
+        """
         while True:
             base = self.version()
             runs = self._runs(base)
@@ -137,10 +144,13 @@ class ShardStore:
 
             def change(live, gone=gone, row=row):
                 if not gone <= {r.run for r in live}:
-                    raise RuntimeError("another writer merged the same runs")
+                    raise MergedElsewhere("another writer merged the same runs")
                 return [*(tuple(r) for r in live if r.run not in gone), row]
 
-            self._retried(change)
+            try:
+                self._retried(change)
+            except MergedElsewhere:  # what was written is in no version; look again at what there is to merge
+                self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
 
     def expire(self, keep: int = 1) -> None:
         """Drop all but the newest ``keep`` versions, and the runs that only those name."""

@@ -44,3 +44,22 @@ def test_rows_come_back_whole(spark, tmp_path):
     assert sorted(map(tuple, store.read().select(*df.columns).collect()), key=str) == sorted(rows, key=str)
     empty = M.shard_documents(df.limit(0), str(tmp_path / "e"))
     assert empty.read() is None and empty.version() == 1 or empty.read().count() == 0
+
+
+def test_two_mergers_of_the_same_runs(spark, tmp_path, monkeypatch):
+    """The one that is late removes what it wrote; no row is lost or doubled."""
+    one, two = (M.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fan_in=3, least_bytes=1 << 10) for _ in range(2))
+    for k in range(3):
+        one.append(frame(spark, range(k * 10, k * 10 + 10)))
+    measured, calls = one._measured, []
+
+    def late(paths):
+        if not calls:
+            calls.append(two.compact())
+        return measured(paths)
+
+    monkeypatch.setattr(one, "_measured", late)
+    one.compact()
+    assert sorted(r.doc_id for r in one.read().collect()) == list(range(30))
+    live = {r.run for v in one.versions() for r in one._runs(v)}
+    assert {p.name for p in (tmp_path / "s" / "data").iterdir()} <= {r.split("/")[0] for r in live}

@@ -4,33 +4,61 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ids
 from ..functions import text as tx
 
 _RANGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+_BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def collapsed(text: str) -> tuple[str, np.ndarray]:
+    """``text`` with each run of white space as one blank, and the place in ``text`` of each of its characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.isin(codes, _BLANKS)
+    kept = np.flatnonzero(~blank | ~np.concatenate(([False], blank[:-1])))
+    return np.where(blank, np.uint32(32), codes)[kept].tobytes().decode("utf-32-le", "surrogatepass"), kept
 
 
 @F.pandas_udf(_RANGE)
 def spaced_match(text: pd.Series, quote: pd.Series, hint: pd.Series) -> pd.DataFrame:
-    """The match of a quote whose white space differs, nearest to the hint; offsets address the original text. Null text: none."""
-    out = []
+    """The match of a quote whose white space differs, nearest to the hint; offsets address the original text. Null text: none.
+
+    A text is collapsed once for all its quotes in a batch; places are read from its index.
+    """
+    out, held = [], (None, ("", np.zeros(0, int)))
     for t, q, h in zip(text, quote, hint):
-        words = (q or "").split()
-        found = [m.span(1) for m in re.finditer(r"(?=(" + r"\s+".join(map(re.escape, words)) + r"))", t)] if t and words else []
+        needle = " ".join((q or "").split())
+        if t is None or not needle:
+            out.append((None, None))
+            continue
+        if held[0] != t:
+            held = (t, collapsed(t))
+        flat, place = held[1]
+        found, at = [], flat.find(needle)
+        while at >= 0:
+            found.append(at)
+            at = flat.find(needle, at + 1)
+        spans = [(int(place[f]), int(place[f + len(needle) - 1]) + 1) for f in found]
         known = None if pd.isna(h) else int(h)
-        if len(found) == 1 or (found and known is not None):
-            out.append(min(found, key=lambda f: (abs(f[0] - known), f[0])) if known is not None else found[0])
+        if len(spans) == 1 or (spans and known is not None):
+            out.append(min(spans, key=lambda x: (abs(x[0] - known), x[0])) if known is not None else spans[0])
         else:
             out.append((None, None))
     return pd.DataFrame(out, columns=["start", "stop"]).astype("Int32")
 
 
+# How a span's offsets were arrived at, by rung.
+OFFSET_STATES = {"exact": "supplied_exact", "unique": "repaired_unique", "nearest": "repaired_nearest", "whitespace": "repaired_whitespace", "ambiguous": "ambiguous_tied", "not_found": "missing_unresolved"}
+
+
 def ladder(spans: DataFrame, text: str = "raw_text", redactions: str = "redaction_spans") -> DataFrame:
-    """``spans`` (quote, start, stop and the text) with final_start, final_stop, rung and validation_state.
+    """``spans`` (quote, start, stop and the text) with final_start, final_stop, rung, offset_state and validation_state.
 
     Rungs: exact offsets; the only occurrence; the occurrence nearest to the offset given (ties: the first);
     the same with white space differences. A quote without a place, or one that meets masked text, is rejected.
@@ -55,7 +83,18 @@ def ladder(spans: DataFrame, text: str = "raw_text", redactions: str = "redactio
     d = d.withColumn("final_start", at).withColumn("final_stop", stop)
     hidden = F.coalesce(F.exists(redactions, lambda r: (F.col("final_start") < r["stop"]) & (r["start"] < F.col("final_stop"))), F.lit(False))
     state = F.when(F.col("final_start").isNull(), "rejected").when(hidden, "rejected_redacted").otherwise("valid")
-    return d.withColumn("validation_state", state).drop("hits", "exact", "loose")
+    named = F.coalesce(*[F.when(F.col("rung") == k, v) for k, v in OFFSET_STATES.items()])
+    return d.withColumns({"offset_state": named, "validation_state": state}).drop("hits", "exact", "loose")
+
+
+def settled_spans(checked: DataFrame, owner: str, field: str, text: str = "raw_text") -> DataFrame:
+    """``ladder``'s rows with final_quote, the text's own words at the final place, and the evidence_id made anew from them.
+
+    A span without a place keeps its quote as claimed, and its id is made without offsets.
+    """
+    quote = F.when(F.col("final_start").isNotNull(), F.substring(F.col(text), F.col("final_start") + 1, F.col("final_stop") - F.col("final_start"))).otherwise(F.col("quote"))
+    made = checked.withColumn("final_quote", quote)
+    return made.withColumn("evidence_id", ids.evidence_id(F.col(owner).cast("string"), F.col(field), F.col("final_quote"), F.col("final_start"), F.col("final_stop")))
 
 
 def dedupe_spans(spans: DataFrame, trust: dict[str, int]) -> DataFrame:
@@ -68,8 +107,6 @@ def case_ordinals(cases: DataFrame) -> DataFrame:
     """Ordered ids of resolved cases by place, quote and payload; unresolved ones get an id from their payload."""
     resolved = F.col("start").isNotNull()
     w = Window.partitionBy("doc_id", resolved).orderBy("start", "stop", F.sha1("quote"), F.sha1("payload"))
-    from ..functions import ids
-
     n = F.row_number().over(w)
     return cases.select("*", F.when(resolved, n).alias("ordinal"), F.when(resolved, ids.ordered_case_id(F.col("doc_id").cast("string"), n)).otherwise(ids.unordered_case_id(F.col("doc_id").cast("string"), F.col("payload"))).alias("case_id"))
 

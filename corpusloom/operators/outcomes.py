@@ -23,7 +23,7 @@ def verdict_rows(outcomes: DataFrame) -> DataFrame:
     long = outcomes.select("doc_id", "raw_text", F.explode("results").alias("r")).select("doc_id", "raw_text", "r.case_id", F.inline("r.spans"))
     got = ladder(long.withColumn("redaction_spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
     repaired = F.col("rung").isin("unique", "nearest", "whitespace")
-    return got.select("doc_id", "case_id", "field_name", (F.col("validation_state") == "valid").alias("ok"), F.col("rung").alias("offset_state"), "validation_state", "quote", F.col("final_start").alias("start_char"), F.col("final_stop").alias("end_char"), F.col("start").alias("candidate_start_char"), F.col("stop").alias("candidate_end_char"), repaired.alias("repair_applied"))
+    return got.select("doc_id", "case_id", "field_name", (F.col("validation_state") == "valid").alias("ok"), "offset_state", "validation_state", "quote", F.col("final_start").alias("start_char"), F.col("final_stop").alias("end_char"), F.col("start").alias("candidate_start_char"), F.col("stop").alias("candidate_end_char"), repaired.alias("repair_applied"))
 
 
 RELEVANT = ("core", "adjacent")

@@ -129,8 +129,9 @@ def scoped_rows(assignments: DataFrame, labels: DataFrame, decisions: DataFrame,
     said = decisions.select("doc_id", F.lit(True).alias("decided"), F.when(F.col("state") == "ok", F.col("scope")).alias("pred"), F.when(F.col("state") == "ok", F.col("reason")).alias("pred_reason"))
     m = assignments.select("doc_id", "split").join(known.withColumn("labelled", F.lit(True)), "doc_id", "full_outer").join(said, "doc_id", "full_outer")
     wrong = F.when(F.col("decided") & F.col("labelled").isNull(), "a decision about an unknown document: ").when((F.col("split") == split) & F.col("labelled").isNull(), "no label: ")
-    m = m.where(F.assert_true(wrong.isNull(), F.concat(wrong, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).isNull())
-    return m.where(F.col("split") == split).select("doc_id", "gold", "pred", "gold_reason", "pred_reason")
+    # One condition: a filter by split of its own would be applied first and hide what is wrong.
+    kept = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.col("split") == split)
+    return m.where(kept).select("doc_id", "gold", "pred", "gold_reason", "pred_reason")
 
 
 def agreement_summary(rows: DataFrame) -> DataFrame:

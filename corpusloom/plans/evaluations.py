@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, saved_run
+from ..operators import assembly, evidence, saved_run
 from .cases import duck, rel
 from .registry import query
 
@@ -87,3 +87,27 @@ def covered_run(t):
     """Orders joined to what the lines say of them: each order must be there once on both sides."""
     saved = t("lineitem").select(F.col("l_orderkey").alias("k")).union(t("orders").select("o_orderkey")).groupBy("k").agg(F.count("*").alias("n"))
     return saved_run.covered(t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")), saved.join(t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price")), "k").drop("n"), "k")
+
+
+# -- the ladder of quotes ---------------------------------------------------------------------------
+
+_SAYS = "CONCAT('Order ', CAST(o_orderkey AS STRING), ' was', {nl}, '  sent by ', o_orderpriority, '. Order again.')"
+_STARTS = "instr(x, 'sent by') - 1"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, {_SAYS.format(nl='chr(10)')} AS x FROM orders), s AS (SELECT k, x, k % 8 AS c, {_STARTS} AS p, instr(x, 'was') - 1 AS was, instr(x, 'Order again') - 1 AS again FROM x),
+r AS (SELECT *, CASE c WHEN 2 THEN CASE WHEN k % 16 = 2 THEN 0 ELSE again END WHEN 4 THEN was WHEN 7 THEN was WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE p END AS final_start FROM s),
+e AS (SELECT *, CASE WHEN c IN (4, 7) THEN p + 7 WHEN c = 2 THEN final_start + 5 WHEN c IN (0, 1, 6) THEN p + 7 END AS final_stop, CASE c WHEN 0 THEN 'supplied_exact' WHEN 1 THEN 'repaired_unique' WHEN 2 THEN 'repaired_nearest' WHEN 3 THEN 'ambiguous_tied' WHEN 4 THEN 'repaired_whitespace' WHEN 5 THEN 'missing_unresolved' WHEN 6 THEN 'supplied_exact' ELSE 'repaired_whitespace' END AS offset_state FROM r),
+q AS (SELECT *, CASE WHEN final_start IS NOT NULL THEN substr(x, final_start + 1, final_stop - final_start) WHEN c = 3 THEN 'Order' ELSE 'not there' END AS final_quote FROM e)
+SELECT k, final_start::INTEGER AS final_start, final_stop::INTEGER AS final_stop, final_quote, offset_state, CASE WHEN c IN (3, 5) THEN 'rejected' WHEN c IN (6, 7) THEN 'rejected_redacted' ELSE 'valid' END AS validation_state,
+ EVID AS evidence_id FROM q""".replace("EVID", "substr(sha1(concat_ws('|', k::VARCHAR, 'trigger', final_start::VARCHAR, final_stop::VARCHAR, sha1(final_quote))), 1, 12)"))
+def offset_states(t):
+    """Quotes that reach every rung, two of them over masked text; repaired ones have the text's own words and a new id."""
+    k, x = F.col("k"), F.col("x")
+    rows = rel(t, f"SELECT o_orderkey AS k, {_SAYS.format(nl='char(10)')} AS x FROM {{orders}}")
+    at, c = F.instr(x, "sent by") - 1, k % 8
+    quote = F.when(c.isin(0, 1, 6), "sent by").when(c.isin(2, 3), "Order").when(c.isin(4, 7), "was sent by").otherwise("not there")
+    start = F.when(c.isin(0, 6), at).when(c == 1, at + 3).when(k % 16 == 2, 3).when(c == 2, 1000)
+    masked = F.when(c.isin(6, 7), F.array(F.struct((at + 2).alias("start"), (at + 4).alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    spans = rows.select("k", x.alias("raw_text"), quote.alias("quote"), start.cast("int").alias("start"), (start + F.length(quote)).cast("int").alias("stop"), masked.alias("redaction_spans"), F.lit("trigger").alias("field"))
+    return evidence.settled_spans(evidence.ladder(spans), "k", "field").select("k", "final_start", "final_stop", "final_quote", "offset_state", "validation_state", "evidence_id")

@@ -176,7 +176,7 @@ r AS (SELECT doc_id, '#1' AS c, 'a' AS field_name, quote, 8 AS s, 20 AS e, CASE
 UNION ALL SELECT doc_id, '#1', 'b', quote, 11, 23, CASE WHEN moved THEN 'exact' WHEN len(hits) = 1 THEN 'unique' WHEN len(hits) > 1 THEN 'nearest' ELSE 'not_found' END, CASE WHEN moved THEN 11 ELSE near END, CASE WHEN moved THEN 23 ELSE near + length(quote) END FROM n
 UNION ALL SELECT doc_id, '#2', 'c', quote, NULL, NULL, CASE WHEN len(hits) = 1 THEN 'unique' WHEN len(hits) > 1 THEN 'ambiguous' ELSE 'not_found' END, CASE WHEN len(hits) = 1 THEN hits[1] END, CASE WHEN len(hits) = 1 THEN hits[1] + length(quote) END FROM n
 UNION ALL SELECT doc_id, '#2', 'd', chr(1) || ' nowhere', 3, 9, 'not_found', NULL, NULL FROM n)
-SELECT doc_id, doc_id || c AS case_id, field_name, f IS NOT NULL AS ok, rung AS offset_state, CASE WHEN f IS NULL THEN 'rejected' ELSE 'valid' END AS validation_state, quote, CAST(f AS INTEGER) AS start_char, CAST(g AS INTEGER) AS end_char, s AS candidate_start_char, e AS candidate_end_char, rung IN ('unique', 'nearest') AS repair_applied FROM r""")
+SELECT doc_id, doc_id || c AS case_id, field_name, f IS NOT NULL AS ok, CASE rung WHEN 'exact' THEN 'supplied_exact' WHEN 'unique' THEN 'repaired_unique' WHEN 'nearest' THEN 'repaired_nearest' WHEN 'ambiguous' THEN 'ambiguous_tied' ELSE 'missing_unresolved' END AS offset_state, CASE WHEN f IS NULL THEN 'rejected' ELSE 'valid' END AS validation_state, quote, CAST(f AS INTEGER) AS start_char, CAST(g AS INTEGER) AS end_char, s AS candidate_start_char, e AS candidate_end_char, rung IN ('unique', 'nearest') AS repair_applied FROM r""")
 def verdict_rows(t):
     """What spans claimed against where they came to stand, over whole texts, short and empty ones too."""
     return outcomes.verdict_rows(_results(t))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..operators import dataset
-from ..sources import posts
+from ..session import scratch_folder, settled
+from ..sources import datasets as folders
+from ..sources import posts, walks
+from ..streaming import threads
 from .registry import query
 
+
+def _scratch(t, name: str) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{scratch_folder(t('region').sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
 # -- a dataset of eleven relations ------------------------------------------------------------------
 
 
@@ -112,3 +124,39 @@ def original_posts(t):
     given = F.when(k.isin(0, 3, 8), ld(page)).when(k == 1, F.concat(ld(F.lit("{broken")), ld(nested))).when(k == 2, F.concat(ld(page), ld(page))).when(k.isin(4, 5, 6), head).otherwise("")
     got = posts.original_post(t("pages").select("page_id", n.alias("thread"), F.concat(given, F.coalesce("html", F.lit(""))).alias("html")), item="thread")
     return got.drop("thread", "html")
+
+
+# -- pages, threads and folders ---------------------------------------------------------------------
+
+
+@query("SELECT source, token, CASE WHEN i < 3 THEN 1 WHEN i < 8 THEN 2 ELSE 3 END AS run, (CASE WHEN i < 3 THEN i WHEN i < 8 THEN i - 3 ELSE i - 8 END)::INTEGER AS step FROM (SELECT conv_id::VARCHAR AS source, turn::VARCHAR AS token, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) WHERE i < 108")
+def walked_pages(t):
+    """Turns as pages that name the next one: walked three pages a source, then five, then a hundred, each from where the last stopped."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pages = t("conversations").select(F.col("conv_id").cast("string").alias("source"), F.when(F.lag("turn").over(w).isNotNull(), F.col("turn").cast("string")).alias("token"), F.lead("turn").over(w).cast("string").alias("next_token"), F.col("turn").cast("string").alias("shown"))
+    pages, points, out = settled(pages), None, None
+    for run, budget in enumerate((3, 5, 100), 1):
+        got = settled(walks.walk(pages, budget, points))
+        part = got.select("source", F.col("shown").alias("token"), F.lit(run).alias("run"), "step")
+        out = part if out is None else out.unionByName(part)
+        points = settled(walks.next_points(got, points))
+    return out
+
+
+@query("WITH i AS (SELECT DISTINCT conv_id, turn FROM conversations), n AS (SELECT conv_id, count(*) FILTER (WHERE turn > 0) AS n FROM i GROUP BY conv_id) SELECT conv_id::VARCHAR AS thread_id, turn::VARCHAR AS comment_id, CASE WHEN turn = 0 THEN 'comment' ELSE 'reply' END AS source_type, conv_id % 6 AS n_replies_stated, true AS complete FROM i JOIN n USING (conv_id) WHERE n >= conv_id % 6")
+def held_threads(t):
+    """Conversations as threads that arrive as a stream; those whose stated replies have all come are handed on."""
+    stream = t("conversations").sparkSession.readStream.schema(t("conversations").schema).parquet(f"{t.folder}/conversations.parque[t]")  # a pattern, as the table may be one file
+    items = stream.select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").cast("string").alias("comment_id"), F.when(F.col("turn") == 0, "comment").otherwise("reply").alias("source_type"), F.col("role").alias("author"), F.col("text").alias("raw_text"), F.lit(None).cast("timestamp").alias("published_at"), (F.col("conv_id") % 6).alias("n_replies_stated"))
+    out = _scratch(t, "threads")
+    threads.hand_on(items, f"{out}/rows", f"{out}/state")
+    return t("conversations").sparkSession.read.schema(threads.OUT).parquet(f"{out}/rows").select("thread_id", "comment_id", "source_type", "n_replies_stated", "complete")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS price, 'status O' AS dataset_id FROM orders WHERE o_orderstatus = 'O'")
+def one_dataset(t):
+    """Orders written as a folder per status and read back, one dataset of them."""
+    o, root = t("orders"), _scratch(t, "datasets")
+    name = F.concat(F.lit("status "), "o_orderstatus").alias("dataset_id")
+    folders.export_datasets({"cases": o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), name)}, o.select(name).distinct().withColumns({"run_id": F.lit("r"), "description": F.lit("")}), root)
+    return folders.load_dataset(o.sparkSession, root, "cases", "status O")

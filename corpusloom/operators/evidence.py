@@ -162,15 +162,24 @@ def gate_errors(records: DataFrame, required: list[str]) -> Column:
     return F.when(F.col("technical_state") == "ok", errors).otherwise(F.array().cast("array<struct<field:string,error:string>>"))
 
 
-@F.udf(T.ArrayType(_RANGE))
-def _delimited(value, text):
-    """Where a query stands in quotes, or alone on a line that names it a query."""
-    if not value or text is None:
-        return []
-    q = re.escape(value)
-    patterns = [re.escape(left) + f"({q})" + re.escape(right) for left, right in ('""', "''", "\u201c\u201d", "\u2018\u2019", "``")]
-    patterns.append(rf"(?im)^\s*(?:query|search query|search term)\s*:\s*({q})\s*$")
-    return [m.span(1) for p in patterns for m in re.finditer(p, text)]
+#: Quotation marks that a query may stand in, opening and closing.
+QUOTES = ('""', "''", "\u201c\u201d", "\u2018\u2019", "``")
+
+
+def _delimited(value: Column, text: Column) -> Column:
+    """Where a query stands in quotes, or alone on a line that names it a query (in any case), as an array of (start, stop)."""
+    size = F.length(value)
+    at = lambda hits, off: F.transform(hits, lambda h: F.struct((h + off).alias("start"), (h + off + size).alias("stop")))
+    quoted = [at(tx.occurrences(text, F.concat(F.lit(x[0]), value, F.lit(x[1]))), 1) for x in QUOTES]
+    low_text, low_value = F.lower(text), F.lower(value)
+    same = (F.length(low_text) == F.length(text)) & (F.length(low_value) == size)  # lower case that moves no place
+    hits = F.when(same, tx.occurrences(low_text, low_value)).otherwise(tx.occurrences(text, value))
+
+    def alone(h):
+        before = F.substring(text, F.lit(1), h).rlike(r"(?i)(?:\A|\n)\s*(?:query|search query|search term)\s*:\s*\z")
+        return before & F.substring(text, h + size + 1, F.length(text)).rlike(r"\A[^\S\n]*(?:\n|\z)")
+
+    return F.when((value != "") & text.isNotNull(), F.concat(*quoted, at(F.filter(hits, alone), 0)))
 
 
 def exact_query_supported(value: Column, spans: Column, text: Column) -> Column:

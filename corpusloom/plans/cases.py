@@ -150,12 +150,16 @@ def same_source_links(t):
     return dedupe.same_source_pairs(rel(t, ITEMS))
 
 
-@query("WITH p AS (SELECT p_partkey AS doc_id, CAST(p_size AS BIGINT) * 65537 AS h FROM part), k AS (SELECT h, min(doc_id) AS rep FROM p GROUP BY h), q AS (SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM k a JOIN k b ON a.rep < b.rep UNION ALL SELECT rep, doc_id, 0 FROM p JOIN k USING (h) WHERE doc_id > rep), far AS (SELECT *, true AS control FROM q WHERE distance > 6 ORDER BY distance, a, b LIMIT 10) SELECT a, b, distance, control, CASE WHEN control THEN 'nearest_negative_control' WHEN distance <= 3 THEN 'automatic_band' ELSE 'review_band' END AS selection_reason, 'none' AS action FROM (SELECT *, false AS control FROM q WHERE distance <= 6 UNION ALL SELECT * FROM far)")
+@query("WITH p AS (SELECT p_partkey AS doc_id, CAST(p_size AS BIGINT) * 65537 AS h FROM part), k AS (SELECT h, min(doc_id) AS rep FROM p GROUP BY h), q AS (SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM k a JOIN k b ON a.rep < b.rep UNION ALL SELECT rep, doc_id, 0 FROM p JOIN k USING (h) WHERE doc_id > rep), far AS (SELECT *, true AS control FROM q WHERE distance > 6 ORDER BY distance, a, b LIMIT 10) SELECT a, b, distance, control, CASE WHEN control THEN 'nearest_negative_control' WHEN distance <= 3 THEN 'automatic_band' ELSE 'review_band' END AS selection_reason, CASE WHEN distance = 0 AND b % 2 = 0 THEN CASE WHEN b % 3 = 0 THEN 'auto_confirmed' ELSE 'human_confirmed' END ELSE 'none' END AS action FROM (SELECT *, false AS control FROM q WHERE distance <= 6 UNION ALL SELECT * FROM far)")
 def calibration(t):
-    """All pairs in the band and the ten nearest beyond it; that number is the operator's."""
-    prints = t("part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_size").cast("long") * 65537).alias("simhash"))
-    none = prints.select("doc_id", F.col("doc_id").alias("canonical_doc_id"), F.lit("").alias("link_id"), F.lit("").alias("review_state")).limit(0)
-    return dedupe.calibration_rows(prints, none)
+    """All pairs in the band and the ten nearest beyond it (that number is the operator's), with the first link of each pair."""
+    k = F.col("p_partkey")
+    prints = t("part").select(k.alias("doc_id"), (F.col("p_size").cast("long") * 65537).alias("simhash"))
+    reps = prints.groupBy("simhash").agg(F.min("doc_id").alias("canonical_doc_id"))
+    pairs = prints.join(reps, "simhash").where("doc_id <> canonical_doc_id AND doc_id % 2 = 0").select("doc_id", "canonical_doc_id")
+    later = pairs.select("doc_id", "canonical_doc_id", F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("link_id"), F.lit("human_confirmed").alias("review_state"))
+    earlier = pairs.where("doc_id % 3 = 0").select(F.col("canonical_doc_id").alias("doc_id"), F.col("doc_id").alias("canonical_doc_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("link_id"), F.lit("auto_confirmed").alias("review_state"))
+    return dedupe.calibration_rows(prints, later.union(earlier))
 
 
 # -- evidence ---------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import cases, datasets, evaluations, registry, reports, snapshots  # noqa: F401
+from corpusloom.plans import cases, datasets, evaluations, registry, reports, roundtrips, snapshots  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import evidence, routing
-from ..sources import readers, writers
+from ..sources import readers, workbooks, writers
 from ..streaming import incremental
 from .cases import rel
 from .datasets import _scratch
@@ -106,3 +107,27 @@ def exact_queries(t):
     k, start = F.col("k"), F.instr(F.lower("x"), F.col("v")) - 1
     span = F.struct(F.lit("exact_query").alias("field_name"), F.when(k % 7 == 3, "rejected").otherwise("valid").alias("validation_state"), start.alias("start"), (start + F.length("v") - F.when(k % 7 == 4, 1).otherwise(0)).alias("stop"))
     return rows.select("k", evidence.exact_query_supported(F.col("v"), F.array(span), F.col("x")).alias("supported"))
+
+
+ORDERS = workbooks.Sheet("orders", ("id", "parent", "priority", "price"), ("id",), {"priority": lambda c: readers.enum_cell(c, ["high", "low"], {"1-urgent": "high", "2-high": "high", "5-low": "low"}), "price": lambda c: c.try_cast("double")})
+
+
+@F.pandas_udf("binary")
+def _book(rows: pd.Series) -> pd.Series:
+    return pd.Series([workbooks.workbook_bytes({"orders": [["price", "id", "parent", "priority"], *[[r["price"], r["id"], r["parent"], r["priority"]] for r in rs]]}) for rs in rows])
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey // 512 AS file, CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN 'twice' ELSE 'o' || o_orderkey END AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'o' || (o_orderkey - 1) END AS parent, o_orderpriority AS p, o_orderkey % 29 = 0 AS bad FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k) + 1 AS row, count(*) OVER (PARTITION BY file, id) AS n, lower(p) IN ('1-urgent', '2-high', '5-low') AS known FROM o),
+g AS (SELECT *, list_filter([CASE WHEN id IS NULL THEN 'missing id' END, CASE WHEN NOT known THEN 'unreadable priority' END, CASE WHEN bad THEN 'unreadable price' END, CASE WHEN id IS NOT NULL AND n > 1 THEN 'duplicate_id' END], lambda x: x IS NOT NULL) AS own FROM f)
+SELECT 'f' || g.file AS path, g.row::INTEGER AS row, g.id, CASE WHEN g.known THEN CASE WHEN lower(g.p) = '5-low' THEN 'low' ELSE 'high' END END AS priority, array_to_string(list_sort(g.own || list_filter([CASE WHEN g.parent IS NOT NULL AND h.id IS NULL THEN 'orphan_parent' WHEN g.parent IS NOT NULL AND len(h.own) > 0 THEN 'parent_rejected' END], lambda x: x IS NOT NULL)), '|') AS reasons
+FROM g LEFT JOIN g h ON h.file = g.file AND h.id = g.parent""")
+def workbook_import(t):
+    """Orders written as workbooks of at most 512 rows and imported again: types, refusals, parents."""
+    k = F.col("o_orderkey")
+    cell = F.struct(k.alias("k"), F.when(k % 29 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price"), F.when(k % 19 == 0, None).when(k % 23 == 0, "twice").otherwise(F.concat(F.lit("o"), k.cast("string"))).alias("id"), F.when(k % 6 == 0, F.concat(F.lit("o"), (k - 1).cast("string"))).alias("parent"), F.col("o_orderpriority").alias("priority"))
+    lots = t("orders").groupBy(F.concat(F.lit("f"), F.floor(k / 512).cast("string")).alias("path")).agg(F.sort_array(F.collect_list(cell)).alias("rows"))  # 512 orders at most
+    files = lots.select("path", _book("rows").alias("content"))
+    got = workbooks.typed_rows(workbooks.workbook_rows(files, [ORDERS]), ORDERS, "id", "parent")
+    return got.select("path", "row", "id", "priority", F.array_join(F.array_sort("reasons"), "|").alias("reasons"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import ids
 from ..operators import evidence, routing
@@ -112,7 +113,7 @@ def exact_queries(t):
 ORDERS = workbooks.Sheet("orders", ("id", "parent", "priority", "price"), ("id",), {"priority": lambda c: readers.enum_cell(c, ["high", "low"], {"1-urgent": "high", "2-high": "high", "5-low": "low"}), "price": lambda c: c.try_cast("double")})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _book(rows: pd.Series) -> pd.Series:
     return pd.Series([workbooks.workbook_bytes({"orders": [["price", "id", "parent", "priority"], *[[r["price"], r["id"], r["parent"], r["priority"]] for r in rs]]}) for rs in rows])
 

@@ -82,38 +82,38 @@ def even_split(df: DataFrame, key: str, strata: list[str], holdout: int) -> Data
 
 # The pilot's seats.
 CORE, ADJACENT = "core_incomplete_recall", "adjacent_known_item_retrieval"
-REQUIRED_ADJACENT = ("reddit-23be97c93709", "reddit-c49086caf891")
-EXCLUDED = ("google_support-3d15a7ae4cd0", "google_support-5b2ec98df32b")
 
 
-def pilot_ids(inputs: DataFrame, approved: DataFrame, core_seats: int = 2, adjacent_seats: int = 3, required: tuple = REQUIRED_ADJACENT, excluded: tuple = EXCLUDED) -> list[str]:
-    """Ids of the pilot: the first agreeing core documents, the required adjacent ones and the first others.
+def pilot_seats(inputs: DataFrame, approved: DataFrame, required: list[str], excluded: list[str], core_seats: int = 2, adjacent_seats: int = 3) -> DataFrame:
+    """(doc_id, seat): who sits in a pilot. Core seats go to the first documents whose class two sources agree on; of the
+    adjacent ones ``required`` documents have theirs, and the first others take the rest.
 
-    inputs: doc_id, eligible, scope_class, decided_by, validation_state; approved: doc_id, scope_class. A
-    required or excluded document that is missing, a required one that is no agreeing, valid human decision,
-    and too few documents for the seats are errors.
+    inputs: doc_id, eligible, scope_class, decided_by, validation_state; approved: doc_id, scope_class. Reading fails where a
+    named document is missing, a required one is no agreeing adjacent decision that a person made and that is valid, or seats
+    stay empty. Each class needs a sort for its few first ids only, and no row comes to the driver.
     """
-    named = {r.doc_id: r for r in inputs.where(F.col("doc_id").isin([*required, *excluded])).collect()}
-    missing = [d for d in (*excluded, *required) if d not in named]
-    if missing:
-        raise ValueError("documents are missing: " + ", ".join(missing))
-    label = approved.select("doc_id", F.col("scope_class").alias("approved"))
-    agreeing = inputs.where(F.col("eligible") & ~F.col("doc_id").isin(list(excluded))).join(label, "doc_id").where("scope_class = approved")
-    core = [r.doc_id for r in agreeing.where(F.col("scope_class") == CORE).select("doc_id").orderBy("doc_id").limit(core_seats).collect()]
-    adjacent = agreeing.where(F.col("scope_class") == ADJACENT).select("doc_id")
-    if len(core) < core_seats:
-        raise ValueError(f"agreeing core documents are {len(core)}; the pilot needs {core_seats}")
-    met = {r.doc_id for r in adjacent.where(F.col("doc_id").isin(list(required))).collect()}
-    for d in required:
-        if d not in met:
-            raise ValueError(f"{d} is not an agreeing adjacent decision")
-        if (named[d].decided_by, named[d].validation_state) != ("human", "valid"):
-            raise ValueError(f"{d} is not a validated human decision")
-    seats = adjacent_seats - len(required)
-    rest = [r.doc_id for r in adjacent.where(~F.col("doc_id").isin(list(required))).orderBy("doc_id").limit(seats).collect()]
-    if len(rest) < seats:
-        raise ValueError("not enough agreeing adjacent documents for the pilot")
-    return sorted([*core, *required, *rest])
+    spark = inputs.sparkSession
+    named = F.broadcast(spark.createDataFrame([(d, "required") for d in required] + [(d, "excluded") for d in excluded], "named string, part string"))
+    agreed = approved.select(F.col("doc_id").alias("approved_id"), F.col("scope_class").alias("approved_class"))
+    all_ = inputs.join(agreed, (F.col("doc_id") == F.col("approved_id")) & (F.col("scope_class") == F.col("approved_class")), "left").withColumn("agrees", F.col("eligible") & F.col("approved_id").isNotNull())
+    here = named.join(all_, F.col("named") == F.col("doc_id"), "left")  # as many rows as names
+    wrong = (
+        F.when(F.col("doc_id").isNull(), F.concat("named", F.lit(" is missing")))
+        .when(F.col("part") == "excluded", None)
+        .when(~F.coalesce(F.col("agrees") & (F.col("scope_class") == ADJACENT), F.lit(False)), F.concat("named", F.lit(" is not an agreeing adjacent decision")))
+        .when(~F.coalesce((F.col("decided_by") == "human") & (F.col("validation_state") == "valid"), F.lit(False)), F.concat("named", F.lit(" is not a validated human decision")))
+    )
+    kept = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.col("part") == "required")
+    seated = here.where(kept).select("named", F.lit("adjacent").alias("seat"))
+    free = all_.join(named, F.col("doc_id") == F.col("named"), "left_anti").where("agrees")
+    first = lambda kind, seat, n: free.where(F.col("scope_class") == kind).select("doc_id", F.lit(seat).alias("seat")).orderBy("doc_id").limit(n)
+    seats = first(CORE, "core", core_seats).union(first(ADJACENT, "adjacent", max(0, adjacent_seats - len(required)))).union(seated)
+    want = spark.createDataFrame([("core", core_seats), ("adjacent", max(adjacent_seats, len(required)))], "seat string, seats int")
+    taken = seats.groupBy("seat").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # as many ids as seats
+    full = F.coalesce(F.size("ids") == F.col("seats"), F.col("seats") == 0)
+    said = F.format_string("%s seats are %d; the pilot needs %d", "seat", F.greatest(F.lit(0), F.coalesce(F.size("ids"), F.lit(0))), "seats")
+    whole = F.broadcast(want).join(taken, "seat", "left").where(F.assert_true(full, said).isNull())
+    return whole.select(F.explode("ids").alias("doc_id"), "seat")
 
 
 def first_per_class(df: DataFrame, key: str, label: str, n: int = 2) -> DataFrame:

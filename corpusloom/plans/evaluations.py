@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, evidence, saved_run
+from ..operators import assembly, evaluation, evidence, saved_run
 from .cases import duck, rel
 from .registry import query
 
@@ -111,3 +111,12 @@ def offset_states(t):
     masked = F.when(c.isin(6, 7), F.array(F.struct((at + 2).alias("start"), (at + 4).alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
     spans = rows.select("k", x.alias("raw_text"), quote.alias("quote"), start.cast("int").alias("start"), (start + F.length(quote)).cast("int").alias("stop"), masked.alias("redaction_spans"), F.lit("trigger").alias("field"))
     return evidence.settled_spans(evidence.ladder(spans), "k", "field").select("k", "final_start", "final_stop", "final_quote", "offset_state", "validation_state", "evidence_id")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, 'core' AS seat FROM (SELECT p_partkey AS doc_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey NOT IN (1, 2, 3) ORDER BY p_partkey::VARCHAR LIMIT 40) UNION ALL SELECT doc_id::VARCHAR, 'adjacent' FROM (SELECT p_partkey AS doc_id FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey NOT IN (1, 2, 3) ORDER BY p_partkey::VARCHAR LIMIT 28) UNION ALL SELECT unnest(['1', '2']), 'adjacent'")
+def pilot_seats(t):
+    """Forty core and thirty adjacent seats, two of them given by name; the numbers are the operator's."""
+    k = F.col("p_partkey")
+    scope = F.when(k % 3 == 0, evaluation.CORE).otherwise(evaluation.ADJACENT)
+    rows = t("part").select(k.cast("string").alias("doc_id"), (k % 5 != 0).alias("eligible"), scope.alias("scope_class"), F.lit("human").alias("decided_by"), F.lit("valid").alias("validation_state"))
+    return evaluation.pilot_seats(rows, t("part").select(k.cast("string").alias("doc_id"), scope.alias("scope_class")), ["1", "2"], ["3"], 40, 30)

@@ -237,15 +237,16 @@ def test_exact_query(spark):
 
 def test_pilot_seats(spark):
     C, A = evaluation.CORE, evaluation.ADJACENT
-    r, x = evaluation.REQUIRED_ADJACENT, evaluation.EXCLUDED
+    r, x = ("r1", "r2"), ("x1", "x2")
     rows = [(d, True, C, "model", "valid") for d in ("c3", "c1", "c2", x[0])] + [(d, True, A, "human", "valid") for d in (*r, "z9", "b1")] + [(x[1], True, A, "human", "valid"), ("a0", True, A, "model", "valid"), ("a1", False, A, "model", "valid")]
     labels = [(d, s) for d, _, s, _, _ in rows if d != "a0"] + [("a0", C)]
     make = lambda rows: spark.createDataFrame(rows, "doc_id string, eligible boolean, scope_class string, decided_by string, validation_state string")
     approved = spark.createDataFrame(labels, "doc_id string, scope_class string")
-    assert evaluation.pilot_ids(make(rows), approved) == sorted(["c1", "c2", *r, "b1"])
-    for wrong, why in (([q for q in rows if q[0] != x[1]], "missing"), ([q for q in rows if q[0] not in ("c1", "c2")], "are 1"), ([q if q[0] != r[0] else (*q[:3], "model", "valid") for q in rows], "human"), ([q for q in rows if q[0] not in ("z9", "b1")], "not enough"), ([q if q[0] != r[1] else (q[0], False, *q[2:]) for q in rows], "agreeing adjacent")):
-        with pytest.raises(ValueError, match=why):
-            evaluation.pilot_ids(make(wrong), approved)
+    seats = lambda rows: sorted(map(tuple, evaluation.pilot_seats(make(rows), approved, list(r), list(x)).collect()))
+    assert seats(rows) == sorted([("c1", "core"), ("c2", "core"), ("r1", "adjacent"), ("r2", "adjacent"), ("b1", "adjacent")])
+    for wrong, why in (([q for q in rows if q[0] != x[1]], "missing"), ([q for q in rows if q[0] not in ("c1", "c2")], "core seats are 1"), ([q if q[0] != r[0] else (*q[:3], "model", "valid") for q in rows], "human"), ([q for q in rows if q[0] not in ("z9", "b1")], "adjacent seats are 2"), ([q if q[0] != r[1] else (q[0], False, *q[2:]) for q in rows], "agreeing adjacent")):
+        with pytest.raises(Exception, match=why):
+            seats(wrong)
 
 
 def test_ranks_over_several_parts(spark):

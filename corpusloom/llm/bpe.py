@@ -205,7 +205,8 @@ def _digests(texts: pa.Array, path: str) -> tuple[list[int], list[str], list[str
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``.
 
-    Null and empty texts have no ids. Ids and text may repeat or be null; other columns play no part.
+    Null and empty texts have no ids. Ids and text may repeat or be null; an empty table gives no rows; other columns
+    play no part. Texts are encoded whole, of any length.
     """
     ship(docs.sparkSession)
 

@@ -270,7 +270,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows each come back.
     A null id comes back as null and is nobody's component id unless all ids of its component are null.
-    An empty table gives no rows. Other columns of ``docs`` play no part.
+    An empty table gives no rows. Texts are read whole, of any length. Other columns of ``docs`` play no part.
     """
     fps, named = _grouped(docs, id_col, text_col, budget)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))

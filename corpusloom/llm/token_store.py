@@ -312,8 +312,8 @@ def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID, id_
     """Encode ``docs`` and write objects, recipes and manifest below ``root``, which must not exist.
 
     A null text is empty and holds the end id alone. Rows without an id come first, rows of one id in the
-    order of their roots; repeated rows each get a recipe. An empty table gives an empty store. Other columns
-    play no part.
+    order of their roots; repeated rows each get a recipe; recipes of one id and text lie in one part, as each is a few bytes
+    and their order is by id. An empty table gives an empty store. Other columns play no part.
     """
     spark = docs.sparkSession
     ship(spark)

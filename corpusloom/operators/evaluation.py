@@ -122,17 +122,13 @@ def first_per_class(df: DataFrame, key: str, label: str, n: int = 2) -> DataFram
 
 def greedy_matches(scores: DataFrame) -> DataFrame:
     """(doc_id, gold_id, case_id, score): one-to-one within a document, the best score first, ties by ids. Groups are one document's cases."""
-
-    def match(pdf):
-        out, used_g, used_c = [], set(), set()
-        for r in pdf.sort_values(["score", "gold_id", "case_id"], ascending=[False, True, True]).itertuples():
-            if r.score > 0 and r.gold_id not in used_g and r.case_id not in used_c:
-                used_g.add(r.gold_id)
-                used_c.add(r.case_id)
-                out.append(r.Index)
-        return pdf.loc[out, ["doc_id", "gold_id", "case_id", "score"]]
-
-    return scores.groupBy("doc_id").applyInPandas(match, "doc_id string, gold_id string, case_id string, score long")
+    # Scores are positive, so their negatives sort the best first. One column pass per document: a Python call for each costs too much.
+    pair = F.struct((-F.col("score")).cast("long").alias("less"), F.col("gold_id").cast("string").alias("gold_id"), F.col("case_id").cast("string").alias("case_id"))
+    lots = scores.where("score > 0").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    taken = lambda acc, p: F.exists(acc, lambda m: m["gold_id"].eqNullSafe(p["gold_id"]) | m["case_id"].eqNullSafe(p["case_id"]))
+    none = F.array().cast("array<struct<less:bigint,gold_id:string,case_id:string>>")
+    best = F.aggregate("pairs", none, lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.concat(acc, F.array(p))))
+    return lots.select("doc_id", F.explode(best).alias("m")).select("doc_id", "m.gold_id", "m.case_id", (-F.col("m.less")).alias("score"))
 
 
 def overlap_scores(gold: DataFrame, cases: DataFrame, texts: DataFrame) -> DataFrame:

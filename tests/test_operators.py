@@ -155,6 +155,21 @@ def test_greedy_matching(spark):
     assert sorted(tuple(r) for r in evaluation.greedy_matches(s).collect()) == [("d", "g1", "c2", 2), ("d", "g2", "c1", 3), ("e", "g1", "c1", 1)]
 
 
+def test_greedy_matching_is_one_column_pass(spark):
+    """Documents are many and small: no Python call for each; what comes out is what taking the best pair again and again gives."""
+    rng = random.Random(5)
+    rows = [(f"d{d}", f"g{g}", f"c{c}", rng.randrange(0, 4)) for d in range(40) for g in range(rng.randrange(1, 5)) for c in range(rng.randrange(1, 5))]
+    want = []
+    for d in {r[0] for r in rows}:
+        left = sorted((r for r in rows if r[0] == d and r[3] > 0), key=lambda r: (-r[3], r[1], r[2]))
+        while left:
+            want.append(left[0])
+            left = [r for r in left if r[1] != want[-1][1] and r[2] != want[-1][2]]
+    got = evaluation.greedy_matches(spark.createDataFrame(rows, "doc_id string, gold_id string, case_id string, score long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_overlap_scores(spark):
     gold = spark.createDataFrame([("d", "g", ["b c", "zz"])], "doc_id string, gold_id string, quotes array<string>")
     cases = spark.sql("select 'd' doc_id, 'c' case_id, array(named_struct('quote', 'c', 'start', 3, 'stop', 4), named_struct('quote', 'q', 'start', 9, 'stop', 12)) spans")

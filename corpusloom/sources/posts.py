@@ -98,9 +98,11 @@ def canonical_threads(html: Column) -> Column:
 
 
 def _moment(micros: Column) -> Column:
-    """A count of microseconds as a time in UTC, whatever the session's zone; null unless it is a whole number that can be one."""
-    good = micros.rlike("^[0-9]{14,17}$") & (micros.try_cast("long") < 1 << 53)
-    ms = F.when(good, F.floor(micros.try_cast("long") / 1000))
+    """A count of microseconds as a time in UTC, whatever the session's zone; null unless it is a whole number of 14 to 17 digits.
+
+    It stays a whole number throughout: a double would not hold those beyond 2 ** 53 (the year 2255) exactly.
+    """
+    ms = F.when(micros.rlike("^[0-9]{14,17}$"), F.call_function("div", micros.try_cast("long"), F.lit(1000)))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")).cast("string")
     at = lambda unit, most: (F.floor(ms / unit) % most).cast("int")
     return F.concat(day, F.format_string("T%02d:%02d:%02d.%03dZ", at(3_600_000, 24), at(60_000, 60), at(1000, 60), at(1, 1000)))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.plans import registry, views
-from corpusloom.sources import readers, writers
+from corpusloom.sources import posts, readers, writers
 from corpusloom.streaming import incremental
 
 
@@ -182,3 +182,11 @@ def test_original_post(spark):
     got = readers.original_post(df, item="item").orderBy("id").collect()
     assert [tuple(r)[3:] for r in got] == [w for _, w in cases]
     assert [r.body_text for r in readers.original_post(df).orderBy("id").limit(4).collect()] == [whole, whole, None, whole]
+
+
+def test_post_times_are_exact_beyond_doubles(spark):
+    """2 ** 53 microseconds end in the year 2255; the queries' pages state later ones from page 84,569 on."""
+    cases = {"1700000000123456": "2023-11-14T22:13:20.123Z", "9007199254740993": "2255-06-05T23:47:34.740Z", "68000000000000999": "4124-11-01T00:53:20.000Z", "99999999999999999": "5138-11-16T09:46:39.999Z", "123": None, "123456789012345678": None, "1.7e15": None}
+    df = spark.createDataFrame(list(cases.items()), "micros string, want string")
+    got = df.select("micros", posts._moment(F.col("micros")).alias("at")).collect()
+    assert {r.micros: r.at for r in got} == cases

@@ -63,25 +63,52 @@ def raw_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Shingles whose hashes are held at once.
+LOT = 1 << 16
+
+
+def _majority(sizes: list[int], ones: np.ndarray) -> np.ndarray:
+    """The bits that over half the shingles have, as unsigned numbers; ``ones`` has a row of 64 counts per text, highest bit first."""
+    return np.packbits(2 * ones > np.array(sizes, np.int64)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _ones(raw: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 8), axis=1)
+
+
+def simhashes(texts) -> np.ndarray:
+    """SimHash of each text, unsigned. A lot of shingles is hashed and counted at a time, whether of many texts or a part of one."""
+    sha1, out = hashlib.sha1, np.zeros(len(texts), np.uint64)
+    raw, sizes, at = [], [], []
+
+    def flush():
+        if raw:
+            starts = np.cumsum(sizes) - sizes
+            out[at] = _majority(sizes, np.add.reduceat(_ones(raw), starts, axis=0, dtype=np.int64))
+        for x in (raw, sizes, at):
+            x.clear()
+
+    for k, t in enumerate(texts):
+        w = t.split() if t else []
+        n = max(1, len(w) - 2) if w else 0
+        if len(raw) + n > LOT:
+            flush()
+        shingle = lambda i: sha1(" ".join(w[i : i + 3]).encode()).digest()[:8]
+        if n > LOT:
+            ones = sum(_ones([shingle(i) for i in range(lo, min(n, lo + LOT))]).sum(axis=0, dtype=np.int64) for lo in range(0, n, LOT))
+            out[k] = _majority([n], ones[None])[0]
+        elif n:
+            raw += [shingle(i) for i in range(n)]
+            sizes.append(n)
+            at.append(k)
+    flush()
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def simhash(norm: pd.Series) -> pd.Series:
     """64-bit SimHash over 3-word shingles (first 8 bytes of SHA-1), a tie gives 0; signed. Null stays null."""
-    sha1, raw, sizes = hashlib.sha1, [], []
-    for t in norm:
-        w = t.split() if t else []
-        sizes.append(max(1, len(w) - 2) if w else 0)
-        raw += [sha1(" ".join(w[i : i + 3]).encode()).digest()[:8] for i in range(sizes[-1])]
-    size = np.array(sizes, np.int64)
-    out = np.zeros(len(size), np.int64)
-    if raw:
-        some = np.flatnonzero(size)
-        starts, found = np.cumsum(size[some]) - size[some], np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
-        bits = np.zeros(len(some), np.uint64)
-        for b in range(64):  # one bit of all shingles of the batch at a time
-            ones = np.add.reduceat((found >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
-            bits |= (2 * ones > size[some]).astype(np.uint64) << np.uint64(b)
-        out[some] = bits.view(np.int64)
-    return pd.Series(out, index=norm.index, dtype="Int64").mask(norm.isna())
+    return pd.Series(simhashes(norm).view(np.int64), index=norm.index, dtype="Int64").mask(norm.isna())
 
 
 def hex64(bits: Column) -> Column:

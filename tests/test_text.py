@@ -116,3 +116,28 @@ def test_content_hash_tells_a_null_from_no_column(spark):
     assert h(a) != h(a.select("k")) and h(a) != h(a.withColumn("v", F.lit("null")))
     assert h(spark.createDataFrame([(1, 2.0)], "k int, v double")) == h(spark.createDataFrame([(1, 2)], "k int, v int"))
     assert h(a.union(a)) != h(a)
+
+
+def test_simhash_holds_a_lot_of_shingles_at_a_time():
+    """Long batches and one long text take little memory, and lots do not change a fingerprint."""
+    import hashlib
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(50)]
+    made = lambda n: " ".join(rng.choices(words, k=n))
+    texts = ["", None, "one", "one two", made(70000), *[made(rng.randrange(1, 900)) for _ in range(300)], made(text.LOT + 2), made(2 * text.LOT + 7)]
+
+    def brute(t):
+        w = t.split() if t else []
+        hs = [int.from_bytes(hashlib.sha1(" ".join(w[i : i + 3]).encode()).digest()[:8]) for i in range(max(1, len(w) - 2) if w else 0)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    assert text.simhashes(texts).tolist() == [brute(t) for t in texts]
+    many = [made(500) for _ in range(2000)]  # a million shingles
+    tracemalloc.start()
+    text.simhashes(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20

@@ -43,6 +43,18 @@ def scratch_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+def looked_up(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """``df`` left-joined to ``other`` on equal keys. Rows without a key meet nothing; they are dealt by their other values, not to one task."""
+    kinds = dict(df.dtypes)
+    if kinds[key] != dict(other.dtypes)[other_key]:
+        return df.join(other, df[key] == other[other_key], "left")
+    plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
+    lot, lot_of = free_names(df, "_lot", "_lot_of")
+    dealt = df.withColumn(lot, F.when(F.col(key).isNull(), F.xxhash64(*plain)).otherwise(F.xxhash64(key)))
+    held = other.where(F.col(other_key).isNotNull()).withColumn(lot_of, F.xxhash64(other_key))
+    return dealt.join(held, (dealt[key] == held[other_key]) & (dealt[lot] == held[lot_of]), "left").drop(lot, lot_of)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder; survives lost executors."""
     scratch_folder(df.sparkSession)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..session import free_names
+from ..session import free_names, looked_up
 from .posts import original_post  # noqa: F401
 
 
@@ -249,11 +249,11 @@ def rating_cell(value: Column) -> Column:
 def checked_rows(df: DataFrame, key: str, parent: str | None = None) -> DataFrame:
     """``df`` with an array ``reasons``: all rows of a repeated id are refused, and rows whose parent is missing or refused."""
     times, above, clean_name = free_names(df, "_times", "_above", "_clean")
-    n = df.groupBy(key).agg(F.count("*").alias(times))
-    got = df.join(n, key, "left").withColumn("reasons", F.array_compact(F.array(F.when(F.col(key).isNull(), "missing_id"), F.when(F.col(times) > 1, "duplicate_id")))).drop(times)
+    n = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(above)).agg(F.count("*").alias(times))
+    got = looked_up(df, key, n, above).select(key, *[c for c in df.columns if c != key], times).withColumn("reasons", F.array_compact(F.array(F.when(F.col(key).isNull(), "missing_id"), F.when(F.col(times) > 1, "duplicate_id")))).drop(times)
     if parent:
-        clean = got.groupBy(F.col(key).alias(above)).agg(F.min(F.size("reasons") == 0).alias(clean_name))
-        got = got.join(clean, got[parent] == F.col(above), "left")
+        clean = got.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(above)).agg(F.min(F.size("reasons") == 0).alias(clean_name))
+        got = looked_up(got, parent, clean, above)
         bad = F.when(F.col(parent).isNotNull() & F.col(above).isNull(), "orphan_parent").when(F.col(parent).isNotNull() & ~F.col(clean_name), "parent_rejected")
         got = got.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(bad)))).drop(above, clean_name)
     return got

@@ -1,6 +1,7 @@
 """What several runs or a careless export could break: shared budgets, secrets, temporary names."""
 
 import threading
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,20 @@ def test_names_that_clash(spark):
     assert free_names(df, "_Times", "_new") == ["__Times", "_new"]
     docs = df.selectExpr("*", "text as source_url_key", "text as raw_text_sha256")
     assert all(map(same, reference.import_new(docs, docs.select("source_url_key", "raw_text_sha256")).collect()))
+
+
+def test_rows_without_key_or_parent_are_dealt_over_all_tasks(spark):
+    """Half the rows of a sheet may have no parent; a shuffled join must not bring them to one task."""
+    df = spark.range(8000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("k"), F.when(F.col("id") % 4 == 0, F.col("id") + 1).alias("up"), F.col("id").alias("row"))
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        got = readers.checked_rows(df, "k", "up").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 8000 and max(Counter(r.part for r in got).values()) < 2000
+    clean = {i for i in range(8000) if i % 3}
+    assert all(r.reasons == ([] if r.row in clean else ["missing_id"]) + (["orphan_parent"] if r.up is not None and r.up not in clean else []) for r in got)

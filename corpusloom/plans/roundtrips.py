@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from ..functions import ids
 from ..operators import evidence, routing
@@ -113,9 +112,13 @@ def exact_queries(t):
 ORDERS = workbooks.Sheet("orders", ("id", "parent", "priority", "price"), ("id",), {"priority": lambda c: readers.enum_cell(c, ["high", "low"], {"1-urgent": "high", "2-high": "high", "5-low": "low"}), "price": lambda c: c.try_cast("double")})
 
 
-@F.pandas_udf(BinaryType())
-def _book(rows: pd.Series) -> pd.Series:
-    return pd.Series([workbooks.workbook_bytes({"orders": [["price", "id", "parent", "priority"], *[[r["price"], r["id"], r["parent"], r["priority"]] for r in rs]]}) for rs in rows])
+def _books(batches):
+    """(path, content) of (path, rows): a workbook is made and handed on before the next one's rows become objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, rows = (c[i].as_py() for c in batch.columns)
+            book = workbooks.workbook_bytes({"orders": [["price", "id", "parent", "priority"], *[[r["price"], r["id"], r["parent"], r["priority"]] for r in rows]]})
+            yield pa.record_batch([pa.array([path], pa.string()), pa.array([book], pa.binary())], names=["path", "content"])
 
 
 @query("""
@@ -129,6 +132,6 @@ def workbook_import(t):
     k = F.col("o_orderkey")
     cell = F.struct(k.alias("k"), F.when(k % 29 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price"), F.when(k % 19 == 0, None).when(k % 23 == 0, "twice").otherwise(F.concat(F.lit("o"), k.cast("string"))).alias("id"), F.when(k % 6 == 0, F.concat(F.lit("o"), (k - 1).cast("string"))).alias("parent"), F.col("o_orderpriority").alias("priority"))
     lots = t("orders").groupBy(F.concat(F.lit("f"), F.floor(k / 512).cast("string")).alias("path")).agg(F.sort_array(F.collect_list(cell)).alias("rows"))  # 512 orders at most
-    files = lots.select("path", _book("rows").alias("content"))
+    files = lots.mapInArrow(_books, "path string, content binary")
     got = workbooks.typed_rows(workbooks.workbook_rows(files, [ORDERS]), ORDERS, "id", "parent")
     return got.select("path", "row", "id", "priority", F.array_join(F.array_sort("reasons"), "|").alias("reasons"))

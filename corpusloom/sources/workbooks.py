@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import free_names, ship
+from ..session import free_names, looked_up, ship
 from .readers import checked_rows, sheet_names, sheet_rows
 
 ROWS = "path string, sheet string, row int, cells map<string,string>, error string"
@@ -75,7 +75,8 @@ def workbook_rows(files: DataFrame, sheets: list[Sheet]) -> DataFrame:
     def run(batches):
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            for path, content, sheet in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):  # one workbook at a time, not a batch of them
+                path, content, sheet = (c[i].as_py() for c in batch.columns)
                 lot = []
                 for one in read(content, sheet):
                     lot.append((path, sheet, *one))
@@ -121,7 +122,7 @@ def typed_rows(rows: DataFrame, sheet: Sheet, key: str | None = None, parent: st
     clean = clean.withColumn(first, F.concat(first, "reasons")).drop("reasons")
     if parent:
         fine = clean.groupBy(F.col(own).alias("p_key")).agg(F.min(F.size(first) == 0).alias("p_fine"))
-        clean = clean.join(fine, F.col(up) == F.col("p_key"), "left")
+        clean = looked_up(clean, up, fine, "p_key")
         why = F.when(F.col(up).isNotNull() & F.col("p_key").isNull(), "orphan_parent").when(F.col(up).isNotNull() & ~F.col("p_fine"), "parent_rejected")
         clean = clean.withColumn(first, F.concat(first, F.array_compact(F.array(why)))).drop("p_key", "p_fine", up)
     return clean.drop(own).withColumnRenamed(first, "reasons")

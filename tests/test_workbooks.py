@@ -56,3 +56,15 @@ def test_files_through_spark(spark, tmp_path):
     files = M.workbook_files(spark, str(tmp_path))
     docs = M.typed_rows(M.workbook_rows(files, [DOCS, LOG]), DOCS, "id", "parent")
     assert docs.where(F.size("reasons") == 0).count() == 6
+
+
+def test_workbooks_are_made_one_at_a_time():
+    import pyarrow as pa
+
+    from corpusloom.plans import roundtrips
+
+    rows = [{"k": 1, "price": "2.5", "id": "o1", "parent": None, "priority": "high"}]
+    batch = pa.record_batch([pa.array([f"f{i}" for i in range(5)]), pa.array([rows] * 5)], names=["path", "rows"])
+    made = list(roundtrips._books(iter([batch])))
+    assert [(b.num_rows, b.column(0)[0].as_py()) for b in made] == [(1, f"f{i}") for i in range(5)]
+    assert made[0].column(1)[0].as_py()[:2] == b"PK"

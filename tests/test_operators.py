@@ -41,6 +41,25 @@ def test_duplicate_links(spark):
     assert ("b", "c") not in kind and ("b", "d") not in kind  # a star, not all pairs of a group
 
 
+def test_confirmed_links_alone_are_those_among_all(spark):
+    """A near pair that is also quoted needs review; quotes are sought among near pairs without the rest of the corpus."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(12):
+        base = rng.sample(words, 300)
+        other = list(base)
+        other[rng.randrange(300)] = "changed"
+        cut = base[: 300 - i % 3]  # a part of the base: quoted; of i % 3 = 0, a copy
+        rows += [(f"a{i:02}", "p", None, None, None, " ".join(base)), (f"b{i:02}", "p", None, None, None, " ".join(other)), (f"c{i:02}", "p" if i % 2 else "q", None, None, None, " ".join(cut))]
+    made = docs(spark, rows).localCheckpoint()
+    every = dedupe.detect_links(made)
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = key(every.where("review_state = 'auto_confirmed'"))
+    assert want and every.where("method = 'simhash' and distance <= 3 and review_reason_code = 'quoted_repeat_ambiguous'").count() > 0
+    assert key(dedupe.detect_links(made, confirmed_only=True)) == want
+
+
 def test_hamming_pairs_equal_all_pairs(spark):
     rng = random.Random(10)
     base = [rng.getrandbits(64) for _ in range(40)]

@@ -27,6 +27,8 @@ from .words import Table, cut, id_flow, portions
 
 #: Words that a task keeps in each of two generations, and pairs of tokens, which start anew beyond it.
 KEPT_WORDS = 200_000
+#: Bytes of text that are encoded at a time: the places and ids of its words take many times as much.
+PORTION = 1_500_000
 IDS = np.dtype("<u4")
 
 
@@ -202,6 +204,20 @@ def _digests(texts: pa.Array, path: str) -> tuple[list[int], list[str], list[str
     return np.diff(bounds).tolist(), hashes[0], hashes[1]
 
 
+def digest_batches(batches, path: str):
+    """Digests of each record batch of ids and texts. Memory goes by the portions, and by the longest text, not by the batches."""
+    for batch in batches:
+        n, ids, text = [], [], []
+        for part, _ in portions(batch.column(1), PORTION):
+            for all_, some in zip((n, ids, text), _digests(part, path)):
+                all_ += some
+        pa.default_memory_pool().release_unused()  # else freed arrays stay with the worker
+        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    enc, kept = encoder(path)  # workers are used again; what a task kept is not
+    kept.clear()
+    enc.side.clear()
+
+
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``.
 
@@ -210,18 +226,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
     ship(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            n, ids, text = [], [], []
-            for part, _ in portions(batch.column(1), 6_000_000):
-                for all_, some in zip((n, ids, text), _digests(part, path)):
-                    all_ += some
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc, kept = encoder(path)  # workers are used again; what a task kept is not
-        kept.clear()
-        enc.side.clear()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: digest_batches(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -234,7 +239,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", out_col: s
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         lists = []
-        for part, _ in portions(column, 6_000_000):
+        for part, _ in portions(column, PORTION):
             flow, bounds = encode_texts(part, path)
             lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flow.astype(np.int32))))
         return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))

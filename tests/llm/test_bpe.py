@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +66,16 @@ def test_a_very_long_text_and_word(spark):
     for r in M.encode_column(df, PATH, out_col="doc_id2").collect():
         assert r.doc_id2 == LIB.encode(texts[r.doc_id], add_special_tokens=False).ids
     assert [r.ids for r in M.encode_column(spark.createDataFrame([(None,), ("",)], "text string"), PATH).collect()] == [[], []]
+
+
+def test_memory_does_not_go_by_the_batch():
+    """numpy's and Python's part of it; a batch of 5.7 MB took 92 MB when it was encoded at once."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 500)) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    next(M.digest_batches([batch.slice(0, 1)], PATH))  # the vocabulary is read
+    tracemalloc.start()
+    got = next(M.digest_batches([batch], PATH))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == len(texts) and peak < 45_000_000, peak

@@ -115,6 +115,28 @@ def test_quotes_wherever_they_lie(spark):
     assert {k: v for k, v in got.items() if k[1][0] == "t"} == want
 
 
+def test_quotes_by_windows_are_those_of_the_words(spark):
+    """Short texts around a line that many hold, whole, cut or twice, beside texts of up to three times the windowed length."""
+    rng, line, rows = random.Random(7), [f"line{i}" for i in range(14)], []
+    for i in range(160):
+        own = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+        held = line[rng.randrange(4) : rng.randrange(10, 15)]
+        rows.append((f"k{i:03}", " ".join(own(rng.randrange(20 if i % 2 else 180)) + held + own(rng.randrange(12)) + held * (i % 3 == 0))))
+    words = {k: t.split() for k, t in rows}
+    for n, (k, w) in enumerate(list(words.items())[:6]):  # halves of longer texts, beyond the windowed length too
+        words[f"q{n}"] = ["x"] + (w * 4)[: 70 + n] + ["y"]
+        words[f"r{n}"] = (w * 4)[: 70 + n] + ["z"] * 90
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "k string, normalized_text string")
+    got = {(r.a, r.b) for r in dedupe.quotes_of_all(texts, "k").collect()}
+    want = set()
+    for a, x in words.items():
+        size = max(dedupe.RUN, -(-len(x) // 2))
+        own = {tuple(x[i : i + size]) for i in range(len(x) - size + 1)}
+        want |= {(min(a, b), max(a, b)) for b, y in words.items() if len(y) > len(x) and any(tuple(y[i : i + size]) in own for i in range(len(y) - size + 1))}
+    assert got == want and len(want) > 500
+    assert got == {(r.a, r.b) for r in dedupe.quoted_pairs(texts, "k").collect()}
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0b11111), ("c", 0b11111111 << 20)], "doc_id string, simhash long")
     none = spark.createDataFrame([("b", "a", "l1", "pending_review")], "doc_id string, canonical_doc_id string, link_id string, review_state string")

@@ -137,6 +137,35 @@ def test_quotes_by_windows_are_those_of_the_words(spark):
     assert got == {(r.a, r.b) for r in dedupe.quoted_pairs(texts, "k").collect()}
 
 
+def test_quotes_of_a_common_line_are_kept_by_class(spark, monkeypatch):
+    """What is kept of the quotes of a line and of a passage grows with the texts, not with the pairs, and no pair is made twice."""
+    rng, rows = random.Random(9), []
+    line, passage = [f"line{i}" for i in range(14)], [f"pass{i}" for i in range(70)]
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    rows += [(f"s{i:03}", " ".join(own(3 + i % 6) + line)) for i in range(40)]
+    rows += [(f"t{i:03}", " ".join(own(9 + i) + line + own(i % 5) + line * (i % 3 == 0))) for i in range(150)]
+    rows += [(f"p{i:03}", " ".join(own(i % 30) + passage)) for i in range(60)] + [(f"q{i:03}", " ".join(own(70 + i) + passage + own(7))) for i in range(60)]
+    monkeypatch.setattr(dedupe, "LOT", 16)
+    monkeypatch.setattr(dedupe, "OFTEN", 8)
+    texts = spark.createDataFrame(rows, "k string, normalized_text string").localCheckpoint()
+    asks, members, far = dedupe.quotes_by_class(texts, "k")
+    made = sorted((r.a, r.b) for r in dedupe.quotes_of_all(texts, "k").collect())
+    want = sorted((r.a, r.b) for r in dedupe.quoted_pairs(texts, "k").collect())
+    assert made == want and len(want) > 10_000
+    assert asks.count() < len(want) / 10 and members.count() < 20 * len(rows) and far.count() == 0
+    assert members.groupBy("sig", "lot").count().agg(F.max("count")).first()[0] <= 3 * 16
+
+
+def test_a_source_pair_that_is_also_a_quote_is_linked_once(spark):
+    line = [f"line{i}" for i in range(14)]
+    rows = [(f"s{i}", "p1", f"it{i}", None, None, " ".join([f"s{i}a", f"s{i}b", *line])) for i in range(6)]
+    rows += [(f"t{i}", "p1", f"it{i}", None, None, " ".join([*[f"t{i}x{j}" for j in range(20 + i)], *line])) for i in range(6)]
+    made = dedupe.detect_links(docs(spark, rows)).collect()
+    got = {(r.canonical_doc_id, r.doc_id): r.method for r in made}
+    assert len(made) == len(got) and sum(a[0] == "s" and b[0] == "t" for a, b in got) == 36
+    assert {k for k, m in got.items() if m == "source_item_key"} == {(f"s{i}", f"t{i}") for i in range(6)}
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0b11111), ("c", 0b11111111 << 20)], "doc_id string, simhash long")
     none = spark.createDataFrame([("b", "a", "l1", "pending_review")], "doc_id string, canonical_doc_id string, link_id string, review_state string")

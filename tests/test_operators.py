@@ -156,6 +156,18 @@ def test_quotes_of_a_common_line_are_kept_by_class(spark, monkeypatch):
     assert members.groupBy("sig", "lot").count().agg(F.max("count")).first()[0] <= 3 * 16
 
 
+def test_open_items_are_in_order_and_dealt_as_two_columns(spark):
+    reasons = [*dedupe.PRIORITY, "low_confidence", None]
+    rows = [(f"{i:012x}", reasons[i % 6 - 1], "auto_confirmed" if i % 7 == 0 else "pending_review") for i in range(3000)]
+    items = dedupe.open_items(spark.createDataFrame(rows, "link_id string, review_reason_code string, review_state string").repartition(5))
+    got = [(r.priority, r.item_id) for r in items.collect()]
+    assert got == sorted(got) and len(got) == sum(s == "pending_review" and r is not None for _, r, s in rows)
+    plan = items._jdf.queryExecution().optimizedPlan()
+    while "RepartitionByExpression" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    assert plan.output().size() == 2
+
+
 def test_a_source_pair_that_is_also_a_quote_is_linked_once(spark):
     line = [f"line{i}" for i in range(14)]
     rows = [(f"s{i}", "p1", f"it{i}", None, None, " ".join([f"s{i}a", f"s{i}b", *line])) for i in range(6)]
